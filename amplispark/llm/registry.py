@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import quality, sharding
+from amplispark.llm import langid, quality, sharding, toxicity
 
-MODULES = (quality, sharding)
+MODULES = (langid, quality, sharding, toxicity)
 
 
 def queries() -> dict:

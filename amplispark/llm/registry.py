@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import langid, quality, sharding, toxicity
+from amplispark.llm import langid, quality, secrets, sharding, toxicity
 
-MODULES = (langid, quality, sharding, toxicity)
+MODULES = (langid, quality, secrets, sharding, toxicity)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import langid, packing, quality, secrets, sharding, toxicity
+from amplispark.llm import dedup, langid, packing, quality, secrets, sharding, toxicity
 
-MODULES = (langid, packing, quality, secrets, sharding, toxicity)
+MODULES = (dedup, langid, packing, quality, secrets, sharding, toxicity)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import dedup, langid, packing, quality, secrets, sharding, toxicity
+from amplispark.llm import dedup, html_text, langid, packing, quality, secrets, sharding, topk, toxicity
 
-MODULES = (dedup, langid, packing, quality, secrets, sharding, toxicity)
+MODULES = (dedup, html_text, langid, packing, quality, secrets, sharding, topk, toxicity)
 
 
 def queries() -> dict:

@@ -127,8 +127,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with their columns as they were."""
     held = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    judged = quality_rules(held, id_col="_row", text_col="text")
-    return judged.where("kept").select("doc_id.*")
+    # The row number keeps the optimizer from copying the measures into the filter, where each would be computed again.
+    judged = quality_rules(held, id_col="_row", text_col="text").withColumn("_n", F.monotonically_increasing_id())
+    return judged.where("kept AND _n >= 0").select("doc_id.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amplispark.llm.common import let, table
+from amplispark.llm.common import Workspace, let, table
 
 _SPAN = "struct<start:int,end:int>"
 
@@ -149,7 +149,7 @@ def secret_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of each text masked and ``n_chars`` as it is then; a null text stays null."""
     names = docs.columns
     held = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    back = joined_back(held, scan(held), carry=["_row", "text"])
+    back = joined_back(held, Workspace(docs.sparkSession, "ledger").save(scan(held)), carry=["_row", "text"])
     new = back.withColumn("_new", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"))))
     changed = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars"))}
     return new.select(*[(changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in names])
@@ -157,7 +157,7 @@ def secret_stage(docs: DataFrame) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = joined_back(docs, scan(docs))
+    out = joined_back(docs, Workspace(spark, "ledger").save(scan(docs)))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in RULES]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(

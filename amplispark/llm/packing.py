@@ -31,7 +31,7 @@ from amplispark.llm.common import table
 WINDOW = 2048
 END_ID = 1
 #: Words that a worker remembers between texts; a cache without influence on results.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 _PARTS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,6 +62,16 @@ class Words(dict):
                 self[w] = self[parts[0]] + self[parts[1]]
 
 
+_KNOWN: dict[str, Words] = {}
+
+
+def known_words(path: str) -> Words:
+    """The worker's words, which its tasks share."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Words(path)
+    return _KNOWN[path]
+
+
 def _letters(word: bytes) -> bool:
     return word.isalpha() if word.isascii() else word.decode().isalpha()
 
@@ -110,7 +120,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def pack_task(docs: Iterator[tuple[object, str | None]], tokenizer: str, task: int, window: int, piece: int, group: int, fill: float, batch: int = 64) -> Iterator[list[tuple]]:
     """Lists of rows of SCHEMA for the documents of one task."""
-    known, rows, waiting, size, used = Words(tokenizer), [], [], 0, 0
+    known, rows, waiting, size, used = known_words(tokenizer), [], [], 0, 0
 
     def place(pieces: list[tuple]) -> None:
         nonlocal used

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The modules of this package that register queries.
+TOPICS = ("sequences", "grades")
+
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -21,9 +25,16 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLES[name] = sql
 
 
+def _load() -> None:
+    for topic in TOPICS:
+        importlib.import_module(f"amplispark.plans.{topic}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)

@@ -48,7 +48,7 @@ FROM g4
 
 #: One row per binding site of an off-target search, from lineitem.
 SITES = """
-SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS site_id,
+SELECT CAST(l_orderkey AS BIGINT) * 100000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000000 AS site_id,
        CASE WHEN l_linenumber % 3 = 0 THEN 'probe' WHEN l_linenumber % 3 = 1 THEN 'forward' ELSE 'reverse' END AS role,
        CASE l_returnflag WHEN 'A' THEN 'near' WHEN 'N' THEN 'background' ELSE 'other' END AS tier,
        'NC_' || lpad(CAST(l_suppkey AS {STR}), 6, '0') AS accession, CAST(l_suppkey AS BIGINT) AS taxid,

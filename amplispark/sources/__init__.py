@@ -1 +1 @@
-"""amplispark.sources"""
+"""Readers of files that assays and searches come in."""

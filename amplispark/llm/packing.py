@@ -50,17 +50,36 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         """Adds words that are not known."""
-        split = {w: m.groups() if (m := _PARTS.fullmatch(w)) and w[-1:] and _letters(m[1]) else (w,) for w in words}
-        new = list({p for parts in split.values() for p in parts if p not in self})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+        split = {w: m.groups() if (m := _PARTS.fullmatch(w)) and _letters(m[1]) else (w,) for w in words}
+        new = {p for parts in split.values() for p in parts if p not in self}
+        plain = [p for p in new if _letters(p)]
+        if plain and self._learn_joined(plain):
+            new.difference_update(plain)
+        rest = list(new)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
             self[p] = np.asarray(e.ids, dtype="<u4").tobytes()
         for w, parts in split.items():
             if len(parts) == 2:
                 self[w] = self[parts[0]] + self[parts[1]]
 
+    def _learn_joined(self, plain: list[bytes]) -> bool:
+        """Adds words of letters in one call: each ends with the first id that ends a word; False if the count differs."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(plain) or cuts[-1] != 4 * len(ids):
+            return False
+        raw, start = ids.tobytes(), 0
+        for p, cut in zip(plain, cuts, strict=True):
+            self[p] = raw[start:cut]
+            start = cut
+        return True
+
 
 _KNOWN: dict[str, Words] = {}
 
@@ -73,7 +92,8 @@ def known_words(path: str) -> Words:
 
 
 def _letters(word: bytes) -> bool:
-    return word.isalpha() if word.isascii() else word.decode().isalpha()
+    """Whether a word is of letters alone, in lower case too."""
+    return word.isalpha() if word.isascii() else (w := word.decode()).isalpha() and w.lower().isalpha()
 
 
 def words_of(text: str | None) -> list[bytes]:

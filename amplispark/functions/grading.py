@@ -114,11 +114,15 @@ def grade(q: Column, s: Column, role: Column, mgb: Column) -> Column:
         # a gap: the class stands if it is at_risk or worse, else nothing can be said
         stands = F.when(plain.isin(AT_RISK, FAILURE), plain).otherwise(F.lit(INDETERMINATE))
         # a bulge of one in a run of three equal bases or more, which ends before the last three
-        base = F.get(gaps, F.lit(0))
-        run = F.regexp_extract(F.regexp_replace(q, "-", ""), "(A{3,}|C{3,}|G{3,}|T{3,})", 1)
-        moved = F.coalesce(F.when(base["b"] == "-", base["a"]).otherwise(base["b"]), F.lit(""))
-        bulge = ~probe & (F.size(gaps) == 1) & (F.length(run) > 0) & (F.substring(run, 1, 1) == moved) & q.rlike(r"(A-?A-?A|C-?C-?C|G-?G-?G|T-?T-?T)")
-        bulge_rank = F.greatest(plain, F.when(base["pos"] > 3, F.lit(AT_RISK)).otherwise(F.lit(FAILURE)))
+        gap = F.get(gaps, F.lit(0))
+        base = F.coalesce(F.when(gap["b"] == "-", gap["a"]).otherwise(gap["b"]), F.lit("-"))
+        own = F.regexp_replace(q, "-", "")
+        place = F.length(own) - F.coalesce(gap["pos"], F.lit(0)) + 1
+        before, after = F.substring(own, F.lit(1), place - 1), F.substring(own, place, F.length(own))
+        ahead = F.length(after) - F.length(F.ltrim(after, base))
+        run = F.length(before) - F.length(F.rtrim(before, base)) + ahead
+        bulge = ~probe & (F.size(gaps) == 1) & (run >= 3)
+        bulge_rank = F.greatest(plain, F.when(F.length(after) - ahead >= 3, F.lit(AT_RISK)).otherwise(F.lit(FAILURE)))
         # a deletion in the template under a probe
         deletion = probe & (deleted > 0) & (inserted == 0)
         deletion_rank = F.when((plain == FAILURE) | (deleted >= 6) | (g["n"] >= 3), F.lit(FAILURE)).otherwise(F.lit(AT_RISK))

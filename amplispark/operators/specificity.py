@@ -40,13 +40,14 @@ def level() -> Column:
 def kept_sites(sites: DataFrame, most_minor: int = 25) -> DataFrame:
     """SP-11: all sites above minor, and the best minor ones of each (tier, role)."""
     graded = sites.withColumn("level", level())
-    order = Window.partitionBy("tier", "role").orderBy(*QUALITY)
+    order = Window.partitionBy("tier", "role").orderBy(*quality())
     minor = graded.where("level = 'minor'").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_minor).drop("_n")
     return graded.where("level <> 'minor'").unionByName(minor)
 
 
-#: SP-22: the order of sites, the best first.
-QUALITY = ("mismatches", "gaps", F.desc("clean3"), "site_id")
+def quality() -> list[Column | str]:
+    """SP-22: the order of sites, the best first."""
+    return ["mismatches", "gaps", F.desc("clean3"), "site_id"]
 
 
 def saturation(hsps: DataFrame, list_size: int) -> DataFrame:

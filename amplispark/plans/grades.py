@@ -48,10 +48,9 @@ def probe_sql(q: str, s: str, mgb: str) -> str:
 
 
 _CLASS = "['perfect', 'tolerated', 'at_risk', 'likely_failure', 'indeterminate']"
-_NO = F.lit(False)
 register(
     "grade_primer",
-    lambda s, d: view(s, d, PRIMERS).select("k", grading.grade(F.col("q"), F.col("s"), F.lit("forward"), _NO).alias("g")).select("k", "g.*"),
+    lambda s, d: view(s, d, PRIMERS).select("k", grading.grade(F.col("q"), F.col("s"), F.lit("forward"), F.lit(False)).alias("g")).select("k", "g.*"),
     f"SELECT k, {_CLASS}[g.rank + 1] AS class, g.rule AS rule, CAST(g.n AS INTEGER) AS mismatches FROM (SELECT k, {primer_sql('q', 's')} AS g FROM {duck(PRIMERS)})",
 )
 register(
@@ -70,7 +69,7 @@ EVIDENCE = f"SELECT DISTINCT s AS site, CASE WHEN length(replace(s, 'A', '')) %
 
 
 def _with_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    graded = view(spark, sf, PRIMERS).select("k", F.col("s").alias("site"), grading.grade(F.col("q"), F.col("s"), F.lit("forward"), _NO)["class"].alias("class"))
+    graded = view(spark, sf, PRIMERS).select("k", F.col("s").alias("site"), grading.grade(F.col("q"), F.col("s"), F.lit("forward"), F.lit(False))["class"].alias("class"))
     joined = graded.join(view(spark, sf, EVIDENCE), "site", "left")
     return joined.select("k", grading.with_evidence(F.col("class"), F.col("observed")).alias("class"), F.col("observed").isNotNull().alias("tested"))
 

@@ -33,6 +33,8 @@ from amplispark.llm.common import table
 BUCKETS = 1 << 20
 REMEMBERED = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Standard errors by which a word's share in positives must differ to become a feature.
+_SURE = 4.0
 
 
 @dataclass
@@ -107,7 +109,8 @@ def _learn(positive: np.ndarray, buckets: list, prior: float, n_words: int, n_cl
     in_pos = np.bincount(place[positive[row]], minlength=len(seen)) / n_pos
     in_all = np.bincount(place, minlength=len(seen)) / len(buckets)
     lift = (in_pos - in_all) / np.sqrt(in_all + 0.01)  # a word of a handful of texts says little
-    best = np.sort(np.lexsort((seen, -np.abs(lift)))[:n_words])
+    order = np.lexsort((seen, -np.abs(lift)))[:n_words]
+    best = np.sort(order[np.abs(lift[order]) * np.sqrt(n_pos) >= _SURE])
     column = np.full(len(seen), -1)
     column[best] = np.arange(len(best))
     x = np.zeros((len(buckets), len(best)), np.float32)
@@ -119,7 +122,7 @@ def _learn(positive: np.ndarray, buckets: list, prior: float, n_words: int, n_cl
     return Model(seen[best], np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
 
-def non_negative_pu(pos: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def non_negative_pu(pos: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss, by Adam on all rows."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     theta = np.zeros(pos.shape[1] + 1)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from amplispark.functions.session import shared_dir
 from amplispark.operators import alignment, oligo_qc
 from amplispark.plans.catalogue import register
 from amplispark.plans.sequences import BEST_SQL, best
@@ -90,8 +90,7 @@ SELECT key, accession, CASE WHEN failures >= 2 THEN 'unavailable' WHEN failures
 
 def _incremental(s, d):
     """Orders as a stream into an empty store, read back."""
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
-    at = f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
     schema = s.read.parquet(f"{d}/orders.parquet").schema
     source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/orders.parquet*")
     rows = source.select(store.store_key(F.lit(1), F.lit("refs")).alias("key"), F.concat(F.lit("A"), F.pmod("o_custkey", F.lit(500)).cast("string")).alias("accession"), F.to_date("o_orderdate").alias("release_date"))

@@ -95,7 +95,8 @@ def fit(
     at = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
     toxic = known.where((F.col("toxic") == 1) & (at < limit(n_positive, n_toxic))).select("doc_id", F.lit(True).alias("positive"))
     pool = docs.where(at < F.greatest(limit(n_positive, n_toxic), limit(n_unlabelled, n_docs))).select("doc_id", "text")
-    rows = pool.join(toxic, "doc_id", "left").where(F.col("positive") | (at < limit(n_unlabelled, n_docs)))
+    # The threshold bounds the positives that are sent to every task, at about n_positive ids.
+    rows = pool.join(F.broadcast(toxic), "doc_id", "left").where(F.col("positive") | (at < limit(n_unlabelled, n_docs)))
     got = _hashed(rows.select(F.coalesce("positive", F.lit(False)).alias("positive"), "text")).toPandas()
     return _learn(got["positive"].to_numpy(bool), list(got["buckets"]), float(prior), n_words, n_classifiers, seed)
 

@@ -14,6 +14,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import os
 import re
@@ -56,7 +57,7 @@ class Words(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Adds words that are not known."""
-        split = {w: m.groups() if (m := _PARTS.fullmatch(w)) and _letters(m[1]) else (w,) for w in words}
+        split = {w: m.groups() if not w.isalpha() and (m := _PARTS.fullmatch(w)) and _letters(m[1]) else (w,) for w in words}
         new = {p for parts in split.values() for p in parts if p not in self}
         plain = [p for p in new if _letters(p)]
         if plain and self._learn_joined(plain):
@@ -176,9 +177,20 @@ def pack_task(docs: Iterator[tuple[object, str | None]], tokenizer: str, task: i
     held: list[tuple[object, list[bytes]]] = []
 
     def tokenize() -> None:
-        known.learn({w for _, words in held for w in words if w not in known})
-        for doc_id, words in held:
-            add(doc_id, b"".join(map(known.__getitem__, words)) + end)
+        found, unknown = [], []
+        for _, words in held:
+            ids = list(map(known.get, words))
+            found.append(ids)
+            k = -1
+            with contextlib.suppress(ValueError):  # no further None
+                while True:
+                    k = ids.index(None, k + 1)
+                    unknown.append((ids, k, words[k]))
+        known.learn({w for _, _, w in unknown})
+        for ids, k, w in unknown:
+            ids[k] = known[w]
+        for (doc_id, _), ids in zip(held, found, strict=True):
+            add(doc_id, b"".join(ids) + end)
         held.clear()
         if len(known) > REMEMBERED:
             known.clear()

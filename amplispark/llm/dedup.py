@@ -39,7 +39,7 @@ from amplispark.llm.shingles import WordNumbers, band_keys, shingle_set, signatu
 
 BANDS, ROWS = 40, 6
 FIRST_BANDS = 6
-BLOCK = 1024
+BLOCK = 512
 _CHUNK = 512
 
 

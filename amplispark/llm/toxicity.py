@@ -98,6 +98,8 @@ def fit(
     # The threshold bounds the positives that are sent to every task, at about n_positive ids.
     rows = pool.join(F.broadcast(toxic), "doc_id", "left").where(F.col("positive") | (at < limit(n_unlabelled, n_docs)))
     got = _hashed(rows.select(F.coalesce("positive", F.lit(False)).alias("positive"), "text")).toPandas()
+    if not got["positive"].any():
+        return Model(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([-np.inf]))
     return _learn(got["positive"].to_numpy(bool), list(got["buckets"]), float(prior), n_words, n_classifiers, seed)
 
 

@@ -42,3 +42,10 @@ def test_hard_documents(spark, hard_docs, name):
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
 def test_no_documents(spark, no_docs, name):
     assert registry.queries()[name](spark, no_docs).collect() == []
+
+
+def test_labels_without_documents(spark, tables):
+    from .conftest import DOC_SCHEMA
+
+    at = tables(documents=([(1, "a b", "en", "s", 3, True, 1, 0.5, "x", 1)], DOC_SCHEMA), labels=([(7, 1, 1), (8, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert [(r.doc_id, r.score, r.predicted) for r in registry.queries()["op3_toxicity"](spark, at).collect()] == [(1, 0.0, 0)]

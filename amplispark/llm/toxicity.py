@@ -161,7 +161,8 @@ class _Places(dict):
 def score_text(text: str | None, model: Model, places: _Places) -> float:
     cols = sorted({k for k in map(places.__getitem__, words_of(text)) if k >= 0})
     z = model.weights[:, cols].sum(axis=1) + model.bias
-    return float((1 / (1 + np.exp(-np.clip(z, -700, 700)))).mean())
+    with np.errstate(over="ignore"):  # a model without positives has a bias of minus infinity
+        return float((1 / (1 + np.exp(-z))).mean())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -87,8 +87,9 @@ def deduplicated(copies: DataFrame, within: int = 20) -> DataFrame:
     """LC-18: copies of one record and strand that start within ``within`` bases of the one before, as one."""
     order = Window.partitionBy("accession", "strand").orderBy("start", "end")
     opens = F.when(F.col("start") - F.lag("start").over(order) <= within, 0).otherwise(1)
-    islands = copies.withColumn("_o", opens).withColumn("_i", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("accession", "strand", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_i")
+    places = copies.groupBy("accession", "strand", "start", "end").agg(F.count("*").alias("n"))
+    islands = places.withColumn("_o", opens).withColumn("_i", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("accession", "strand", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_i")
 
 
 def in_lineage(sites: DataFrame, closure: DataFrame, taxon: int) -> DataFrame:

@@ -68,9 +68,10 @@ register(
 register(
     "deduplicated_copies",
     lambda s, d: windows.deduplicated(view(s, d, SITES).select("accession", F.col("orientation").alias("strand"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))),
-    f"""WITH o AS (SELECT accession, orientation AS strand, s_start AS start, s_end AS "end", CASE WHEN s_start - lag(s_start) OVER w <= 20 THEN 0 ELSE 1 END AS o FROM {_S} WINDOW w AS (PARTITION BY accession, orientation ORDER BY s_start, s_end)),
+    f"""WITH p AS (SELECT accession, orientation AS strand, s_start AS start, s_end AS "end", count(*) AS k FROM {_S} GROUP BY ALL),
+o AS (SELECT *, CASE WHEN start - lag(start) OVER w <= 20 THEN 0 ELSE 1 END AS o FROM p WINDOW w AS (PARTITION BY accession, strand ORDER BY start, "end")),
 i AS (SELECT *, sum(o) OVER (PARTITION BY accession, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM o)
-SELECT accession, strand, min(start) AS start, max("end") AS "end", count(*) AS n FROM i GROUP BY accession, strand, i""",
+SELECT accession, strand, min(start) AS start, max("end") AS "end", CAST(sum(k) AS BIGINT) AS n FROM i GROUP BY accession, strand, i""",
 )
 register(
     "lineage_sites",

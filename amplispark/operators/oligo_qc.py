@@ -20,6 +20,8 @@ BANDS = {
 }
 RUN, G_RUN = (5, 7), (4, 6)
 PRIMER_TM_DIFF = (3, 6)
+#: Bases that a task scans at once, about; a longer contig is scanned by itself.
+BASES_AT_ONCE = 4_000_000
 RANKS = ("INFO", "PASS", "WARN", "FAIL")
 
 
@@ -110,18 +112,27 @@ def find_sites(contigs: DataFrame, oligos: tuple[tuple[str, str], ...], most: in
     strand; N in a sequence matches nothing. Narrow: no shuffle, whole contigs.
     """
 
+    def located(names: list[str], seqs: list[str]) -> pa.RecordBatch:
+        width, out = dict(oligos), []
+        for k, oligo, strand, start, m in kernels.find_sites_in(list(oligos), seqs, most):
+            site = seqs[k][start : start + len(width[oligo])]
+            out.append((names[k], oligo, strand, start, m, kernels.reverse_complement(site) if strand == "-" else site))
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        columns = zip(*out, strict=True) if out else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["accession", "oligo", "strand", "start", "mismatches", "site"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seqs, bases = [], [], 0
         for b in batches:
-            out = []
-            for accession, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for name, o in oligos:
-                    for strand, start, m in kernels.find_sites(o, s or "", most):
-                        site = s[start : start + len(o)]
-                        out.append((accession, name, strand, start, m, kernels.reverse_complement(site) if strand == "-" else site))
-            if out:
-                types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-                names = ["accession", "oligo", "strand", "start", "mismatches", "site"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            for accession, s in zip(b.column(0), b.column(1), strict=True):
+                names.append(accession.as_py())
+                seqs.append(s.as_py() or "")
+                bases += len(seqs[-1])
+                if bases >= BASES_AT_ONCE:
+                    yield located(names, seqs)
+                    names, seqs, bases = [], [], 0
+        if names:
+            yield located(names, seqs)
 
     return contigs.select("accession", "seq").mapInArrow(run, "accession string, oligo string, strand string, start int, mismatches int, site string")
 

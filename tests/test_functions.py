@@ -123,6 +123,10 @@ def test_other_kernels():
     assert kernels.banded_identity("TTACGTACGTAA", "ACGTACGT", 2, 3) == 1.0
     assert kernels.chains([(0, 10, 5), (6, 16, 5), (0, 100, 4)]) == [[0, 1], [2]]
     assert kernels.find_sites("ACG", "ACGTTCGN", 0) == [("+", 0, 0), ("-", 1, 0)]
+    seqs = ["ACGTTCGN", "", "AC", "GACG", "NNACGTACG", "TTCGTT"]
+    got = kernels.find_sites_in([("a", "ACG"), ("b", "TTC")], seqs, 1)
+    want = [(k, n, *x) for n, o in (("a", "ACG"), ("b", "TTC")) for k, s in enumerate(seqs) for x in kernels.find_sites(o, s, 1)]
+    assert sorted(got) == sorted(want)
     assert structures.dimer("ACACACAC", "ACACACAC") is None
     assert structures.dimer("GCGCGCGC", "GCGCGCGC")[0] > structures.dimer("ATATATAT", "ATATATAT")[0]
     assert structures.hairpin("GGGGGCTTTTGCCCCC") is not None and structures.hairpin("AAAAAAAAAAAA") is None

@@ -11,7 +11,8 @@ Inline elements belong to the block around them; scripts, styles, comments and
 controls have no text. Character references are decoded after the markup is cut.
 
 Defined cases: a null or empty page has no text; text outside of any element
-belongs to the root; unclosed and stray tags are tolerated, nesting of any depth
+belongs to the root; unclosed and stray tags are tolerated (whatever a head cannot
+hold ends it, and a block's start ends a control without an end tag), nesting of any depth
 and pages of any length are handled without recursion; repeated rows are read
 each by itself; an empty table gives an empty result; other columns are not read.
 """
@@ -40,6 +41,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video select option button textarea head title".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_P = BLOCKS - {"html", "body"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LISTS = frozenset("ul ol dl table menu".split())
@@ -60,6 +62,28 @@ class Node:
     stops: int = 0
 
 
+def closed_controls(page: str) -> set[int]:
+    """Where those silent elements start that have an end tag of their own, before the end of the element around them."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if open_at is not None:
+                if tag in SILENT:
+                    out.add(stack[open_at][1])
+                del stack[open_at:]
+        elif tag in RAW:
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
+        elif tag in BLOCKS or (tag in SILENT and not (m[3] or m[6] or "").endswith("/")):
+            stack.append((tag, m.start()))
+    return out
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """The block nodes, each after its parent, and (node, block run, text) in page order.
 
@@ -67,12 +91,15 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """
     nodes = [Node("root", -1)]
     texts: list[tuple[int, int, str]] = []
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements with the node that their text belongs to, -1 in silent ones
+    stack: list[tuple[str, int, int]] = [("root", 0, 0)]  # open elements with the node that their text belongs to, -1 in silent ones, and their place
+    closed: set[int] | None = None  # looked up when a block first starts in a silent element
     run, links, at = 0, 0, 0
     page = page or ""
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
+        if stack[-1][0] == "head" and page[at:end].strip():
+            stack.pop()
         if end > at and stack[-1][1] >= 0:
             raw = page[at:end]
             if text := html.unescape(raw) if "&" in raw else raw:
@@ -91,11 +118,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if m[1] or m[4]:
             open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if open_at:
-                links -= sum(t == "a" for t, _ in stack[open_at:])
-                if any(t in BLOCKS for t, _ in stack[open_at:]):
+                links -= sum(x[0] == "a" for x in stack[open_at:])
+                if any(x[0] in BLOCKS for x in stack[open_at:]):
                     run += 1
                 del stack[open_at:]
             continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            stack.pop()
         if tag in VOID:
             if stack[-1][1] >= 0:
                 texts.append((stack[-1][1], run, " "))
@@ -104,12 +133,18 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
+        if tag in BLOCKS and stack[-1][1] < 0:
+            closed = closed_controls(page) if closed is None else closed
+            outer = next(i for i, x in enumerate(stack) if x[1] < 0)
+            if not any(t in SILENT and place in closed for t, _, place in stack[outer:]):
+                links -= sum(x[0] == "a" for x in stack[outer:])
+                del stack[outer:]
         if tag in ENDS_P:
             closes = CLOSED_BY.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i][0]
                 if t == "p" or t in closes:
-                    links -= sum(x == "a" for x, _ in stack[i:])
+                    links -= sum(x[0] == "a" for x in stack[i:])
                     del stack[i:]
                     if t == "p" and closes:
                         continue
@@ -134,7 +169,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if tag == "a":
             links += 1
         if not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS:
-            stack.append((tag, owner))
+            stack.append((tag, owner, m.start()))
     return nodes, texts
 
 

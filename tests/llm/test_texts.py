@@ -151,6 +151,22 @@ def test_pages():
         assert isinstance(html_text.main_text(odd, model), str)
 
 
+def test_unclosed_head_and_controls():
+    model = html_text.train(html_pages.labelled_pages())
+    body = "<article><h1>Title</h1><p>First text, here.</p><p>Second one.</p></article>"
+    want = "Title\nFirst text, here.\nSecond one."
+    for head in ("<head><title>x</title>", "<head><meta charset=utf-8><script>a()</script>", "<head><template><p>no</p></template>"):
+        for start in ("<body>", ""):
+            assert html_text.main_text(f"<html>{head}{start}{body}</html>", model) == want
+    own = lambda page: "".join(t for _, _, t in html_text.parse(page)[1]).split()
+    assert own("<head><title>x</title> loose <b>text</b>") == ["loose", "text"]
+    for tag in ("button", "select", "svg", "object", "video", "math", "canvas", "option"):
+        assert html_text.main_text(f"<html><body><{tag}>no{body}</body></html>", model) == want
+        assert own(f"<body><{tag}>no<div>no</div></{tag}><p>yes</p>") == ["yes"]
+        assert own(f"<body><div><{tag}>no</div><p>yes</p><{tag}><div>no</div></{tag}>") == ["yes"]
+    assert own("<body><select><option>no<div>no</div><option>no</select><p>yes") == ["yes"]
+
+
 def brute_marginals(nodes, own, pair):
     import itertools
 

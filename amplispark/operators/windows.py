@@ -98,12 +98,17 @@ def in_lineage(sites: DataFrame, closure: DataFrame, taxon: int) -> DataFrame:
 
 
 def cut_products(products: DataFrame, most: int) -> DataFrame:
-    """JN-10: per tier how many products its cap cut, and whether any of those would be detected."""
+    """JN-04, JN-10: per tier its products, how many of them a cap of ``most`` cuts, and whether none of those would be detected.
+
+    Takes the products before any cap. What is beyond the cap is all less what is
+    within it, so that no task ranks a whole tier.
+    """
     order = Window.partitionBy("tier").orderBy("accession", "start", "end", "left_id", "right_id")
-    placed = products.withColumn("_n", F.row_number().over(order))
-    beyond = F.col("_n") > most
-    per = placed.groupBy("tier").agg(F.count(F.when(beyond, 1)).alias("cut"), F.count(F.when(beyond & F.col("probe_id").isNotNull(), 1)).alias("detected"))
-    return per.select("tier", "cut", ((F.col("cut") == 0) | (F.col("detected") == 0)).alias("harmless"))
+    counts = lambda p, n, detected: p.groupBy("tier").agg(F.count("*").alias(n), F.count("probe_id").alias(detected))
+    kept = products.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    per = counts(products, "products", "_all").join(counts(kept, "_kept", "_within"), "tier")
+    cut = F.col("products") - F.col("_kept")
+    return per.select("tier", "products", cut.alias("cut"), (cut > 0).alias("truncated"), (F.col("_all") == F.col("_within")).alias("harmless"))
 
 
 def axis_rows(release: DataFrame, collection: DataFrame, axis: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from amplispark.operators import assess, reports, specificity
 from amplispark.plans.catalogue import register
 from amplispark.plans.grades import EVIDENCE, PRIMERS
-from amplispark.plans.search import _LEVEL, _PAIRS
+from amplispark.plans.search import _ALL_PAIRS, _LEVEL, _PAIRS
 from amplispark.plans.sequences import DEGENERATE
 from amplispark.plans.synthetic import CONTIGS, HSPS, SITES, duck, view
 
@@ -101,6 +101,13 @@ register(
 m AS (SELECT tier, count(*) AS products, count(DISTINCT accession) AS records, count(probe_id) AS detected FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1)
 SELECT coalesce(c.tier, m.tier) AS tier, coalesce(sites, 0) AS sites, coalesce(closest, 0) AS closest, coalesce(products, 0) AS products, coalesce(records, 0) AS records, coalesce(detected, 0) AS detected FROM c FULL JOIN m ON c.tier = m.tier""",
 )
+register(
+    "tier_overview_whole",
+    lambda s, d: reports.tier_overview(view(s, d, SITES), specificity.products(view(s, d, SITES), per_tier=None)),
+    f"""WITH {_ALL_PAIRS}, c AS (SELECT tier, count(*) AS sites, min(mismatches + gaps) AS closest FROM s WHERE role <> 'probe' GROUP BY 1),
+m AS (SELECT tier, count(*) AS products, count(DISTINCT accession) AS records, count(probe_id) AS detected FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1)
+SELECT coalesce(c.tier, m.tier) AS tier, coalesce(sites, 0) AS sites, coalesce(closest, 0) AS closest, coalesce(products, 0) AS products, coalesce(records, 0) AS records, coalesce(detected, 0) AS detected FROM c FULL JOIN m ON c.tier = m.tier""",
+)
 _FOUND = f"""(WITH s AS (SELECT *, {_LEVEL} AS level FROM {_S}) SELECT CASE WHEN role = 'probe' THEN 'INFO' ELSE 'WARN' END AS severity, CASE WHEN role = 'probe' THEN 'probe site' ELSE 'primer site' END AS topic, tier, count(*) AS n FROM s WHERE level <> 'minor' GROUP BY 1, 2, 3)"""
 
 

@@ -32,6 +32,13 @@ register(
 b AS (SELECT *, CAST(greatest(align_len - identity - gaps, 0) + gaps + ceil(u5 / 4) + ceil(u3 / 4) AS INTEGER) AS lower_bound FROM c)
 SELECT tier, query, hit, hsp, u5, u3, lower_bound, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tier, query ORDER BY lower_bound, identity DESC, evalue, hit, hsp) AS rank FROM b) WHERE rank <= 200""",
 )
+register(
+    "candidate_bound_topk_2000",
+    lambda s, d: specificity.candidates(view(s, d, HSPS)).select("tier", "query", "hit", "hsp", "u5", "u3", "lower_bound", "rank"),
+    f"""WITH c AS (SELECT *, query_from - 1 AS u5, greatest(query_len - query_to, 0) AS u3 FROM {_H}),
+b AS (SELECT *, CAST(greatest(align_len - identity - gaps, 0) + gaps + ceil(u5 / 4) + ceil(u3 / 4) AS INTEGER) AS lower_bound FROM c)
+SELECT tier, query, hit, hsp, u5, u3, lower_bound, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tier, query ORDER BY lower_bound, identity DESC, evalue, hit, hsp) AS rank FROM b) WHERE rank <= 2000""",
+)
 _LEVEL = """CASE WHEN role = 'probe' THEN CASE WHEN mismatches <= 3 AND gaps <= 0 THEN 'critical' WHEN mismatches <= 5 AND gaps <= 1 THEN 'warning' ELSE 'minor' END
   ELSE CASE WHEN mismatches <= 3 AND gaps <= 0 AND clean3 >= 5 THEN 'critical' WHEN mismatches <= 5 AND gaps <= 1 AND clean3 >= 3 THEN 'warning' ELSE 'minor' END END"""
 register(
@@ -77,6 +84,8 @@ _PAIRS = f"""s AS (SELECT * FROM {_S}), pairs AS (
    AND l.s_start < r.s_start AND l.s_end < r.s_end AND r.s_end - l.s_start + 1 <= 2000),
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY accession, start, "end", left_id, right_id) AS n FROM pairs) WHERE n <= 500),
 best AS (SELECT c.left_id, c.right_id, arg_min(p.site_id, row(p.mismatches + p.gaps, CAST(p.site_id AS VARCHAR))) AS probe_id FROM cut c JOIN s p ON p.role = 'probe' AND p.tier = c.tier AND p.accession = c.accession AND p.s_start >= c.start AND p.s_end <= c."end" GROUP BY 1, 2)"""
+#: The same with nothing cut.
+_ALL_PAIRS = _PAIRS.replace(" WHERE n <= 500", "")
 register(
     "predict_products",
     lambda s, d: specificity.products(view(s, d, SITES)),
@@ -87,6 +96,11 @@ register(
     lambda s, d: specificity.product_patterns(specificity.products(view(s, d, SITES))),
     f"WITH {_PAIRS} SELECT tier, left_role, right_role, probe_id IS NOT NULL AS detected, count(*) AS n, count(DISTINCT accession) AS records, min(length) AS shortest FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1, 2, 3, 4",
 )
+register(
+    "product_groups_whole",
+    lambda s, d: specificity.product_patterns(specificity.products(view(s, d, SITES), per_tier=None)),
+    f"WITH {_ALL_PAIRS} SELECT tier, left_role, right_role, probe_id IS NOT NULL AS detected, count(*) AS n, count(DISTINCT accession) AS records, min(length) AS shortest FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1, 2, 3, 4",
+)
 register(
     "overlap_antijoin",
     lambda s, d: specificity.not_overlapping(view(s, d, SITES).where("role = 'forward'"), view(s, d, SITES).where("role = 'probe' AND mismatches = 0")).select("site_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from amplispark.operators import locate, specificity, taxonomy, windows
 from amplispark.plans.catalogue import register
-from amplispark.plans.search import _LEVEL, CLOSURE
+from amplispark.plans.search import _ALL_PAIRS, _LEVEL, CLOSURE
 from amplispark.plans.synthetic import CONTIGS, FORWARD, FRAGMENT, HSPS, REVERSE, SITES, TAXA, duck, view
 
 _S = duck(SITES)
@@ -81,6 +81,12 @@ register(
 register("cut_products", lambda s, d: windows.cut_products(specificity.products(view(s, d, SITES), per_tier=500), 200).select("tier", "cut"), f"""WITH s AS (SELECT * FROM {_S}), p AS (
   SELECT l.tier, count(*) AS n FROM s l JOIN s r ON l.tier = r.tier AND l.accession = r.accession AND l.orientation = '+' AND r.orientation = '-' AND l.role <> 'probe' AND r.role <> 'probe' AND l.s_start < r.s_start AND l.s_end < r.s_end AND r.s_end - l.s_start + 1 <= 2000 GROUP BY 1)
 SELECT tier, greatest(least(n, 500) - 200, 0) AS cut FROM p""")
+register(
+    "cut_products_whole",
+    lambda s, d: windows.cut_products(specificity.products(view(s, d, SITES), per_tier=None), 500),
+    f"""WITH {_ALL_PAIRS}
+SELECT tier, count(*) AS products, count(*) FILTER (n > 500) AS cut, count(*) > 500 AS truncated, count(probe_id) FILTER (n > 500) = 0 AS harmless FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1""",
+)
 _SCANS = "SELECT 't' || CAST(n_nationkey AS {STR}) AS tier, CAST(n_nationkey * 3 AS INT) AS windows, CAST(n_regionkey * 20 AS INT) AS scanned, n_nationkey % 2 = 0 AS bounded FROM {nation}"
 register("scan_findings", lambda s, d: windows.scan_findings(view(s, d, _SCANS)), f"SELECT CASE WHEN bounded THEN 'INFO' ELSE 'INCOMPLETE' END AS severity, tier, windows - scanned AS n FROM {duck(_SCANS)} WHERE windows > scanned")
 register(

@@ -95,9 +95,9 @@ def role_spread(checks: DataFrame) -> DataFrame:
     return tm.groupBy("role").agg(F.countDistinct("oligo").alias("n"), (F.max("high") - F.min("low")).alias("spread")).where("n > 1")
 
 
-def matrix(checks: DataFrame, oligos: list[str]) -> DataFrame:
-    """QC-12: statuses, a row per check and a column per oligo."""
-    return checks.groupBy("check").pivot("oligo", oligos).agg(F.first("status"))
+def matrix(checks: DataFrame, oligos: list[str], by: tuple[str, ...] = ("check",)) -> DataFrame:
+    """QC-12: statuses, a row per check (of each assay, where ``by`` names it) and a column per oligo."""
+    return checks.groupBy(*by).pivot("oligo", oligos).agg(F.first("status"))
 
 
 def overall(checks: DataFrame) -> DataFrame:

@@ -162,6 +162,25 @@ register(
     lambda s, d: oligo_qc.oligo_pairs(view(s, d, _PAIRS)).select("assay", "oligo_a", "oligo_b", seq.count_mismatches(F.col("sequence_a"), F.col("sequence_b")).alias("mismatches")),
     f"WITH o AS (SELECT * FROM {duck(_PAIRS)}) SELECT a.assay, a.oligo AS oligo_a, b.oligo AS oligo_b, CAST(hamming(a.sequence, b.sequence) AS INTEGER) AS mismatches FROM o a JOIN o b ON a.assay = b.assay AND a.pos < b.pos",
 )
+#: Eight oligos an assay, over all parts.
+_EIGHTS = f"SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS assay, CAST(p_partkey AS BIGINT) AS pos, CAST(p_partkey AS {{STR}}) AS oligo, substr({dna('p_partkey')}, 1, 20) AS sequence FROM {{part}}"
+register(
+    "qc_pairs_whole",
+    lambda s, d: oligo_qc.oligo_pairs(view(s, d, _EIGHTS)).select("assay", "oligo_a", "oligo_b", seq.count_mismatches(F.col("sequence_a"), F.col("sequence_b")).alias("mismatches")),
+    f"WITH o AS (SELECT * FROM {duck(_EIGHTS)}) SELECT a.assay, a.oligo AS oligo_a, b.oligo AS oligo_b, CAST(hamming(a.sequence, b.sequence) AS INTEGER) AS mismatches FROM o a JOIN o b ON a.assay = b.assay AND a.pos < b.pos",
+)
+
+
+def _by_position(s, d):
+    k = F.col("oligo").cast("long")
+    return _checks(s, d).where(F.col("check") != "tm").withColumns({"assay": F.floor(k / 8), "oligo": (k % 8).cast("string")})
+
+
+register(
+    "qc_pivot_whole",
+    lambda s, d: oligo_qc.matrix(_by_position(s, d), [str(i) for i in range(8)], ("assay", "check")),
+    f"""{_QC_SQL} SELECT CAST(floor(CAST(oligo AS BIGINT) / 8) AS BIGINT) AS assay, "check", {", ".join(f"max(status) FILTER (CAST(oligo AS BIGINT) % 8 = {i}) AS \"{i}\"" for i in range(8))} FROM w GROUP BY 1, 2""",
+)
 
 
 def _windows(names: tuple[str, ...], most: int) -> str:

@@ -4,7 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from amplispark.functions import seq
 from amplispark.plans import catalogue
+from amplispark.plans.sequences import DEGENERATE
+from amplispark.plans.synthetic import view
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -30,3 +33,8 @@ def test_all_oligos_are_in_the_matrix(spark):
     checks = m.select("check").distinct().count()
     cells = sum(x is not None for r in m.select(*[str(i) for i in range(8)]).collect() for x in r)
     assert cells == checks * len(keys(spark))
+
+
+def test_all_oligos_are_planned(spark):
+    concrete = view(spark, SF, DEGENERATE).agg(F.sum(F.size(seq.expand(F.col("sequence"))))).first()[0]
+    assert {r.searches for r in run(spark, "planned_searches_whole").collect()} == {concrete}

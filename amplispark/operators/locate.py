@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amplispark.functions import kernels, seq
+from amplispark.operators import windows
 
 # Parameters of the search.
 SEED, STEP, MOST_HITS = 16, 2, 50
+CONTEXT_STEP, COARSE_STEP = 8, 32
 ANCHORED, CONTEXT, IDENTITY, IDENTITY_ANCHORED, MAX_INDEL = 32, 32, 0.75, 16, 150
 
 
@@ -21,19 +23,26 @@ def seeds(fragment: str, k: int = SEED, step: int = STEP) -> list[tuple[int, str
     return [(p, fragment[p : p + k]) for p in sorted({*range(0, last + 1, step), last}) if p >= 0]
 
 
+def context_seeds(left: str, fragment: str, right: str, k: int = SEED, step: int = STEP, context_step: int = CONTEXT_STEP) -> list[tuple[int, str]]:
+    """LC-01: the fragment's seeds with those of its flanks, every ``context_step`` bases; places count from the fragment's start."""
+    flank = lambda s, at: [(at + p, s[p : p + k]) for p in range(0, len(s) - k + 1, context_step)]
+    both = flank(left, -len(left)) + seeds(fragment, k, step) + flank(right, len(fragment))
+    return sorted((p, x) for p, x in both if set(x) <= set("ACGT")) if left or right else both
+
+
 def strands(contigs: DataFrame) -> DataFrame:
     """Each (accession, seq) on both strands."""
     both = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), seq.reverse_complement(F.col("seq")).alias("s")))
     return contigs.select("accession", F.explode(both).alias("x")).select("accession", "x.strand", "x.s")
 
 
-def seed_hits(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP, most: int = MOST_HITS) -> DataFrame:
+def seed_hits(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP, most: int = MOST_HITS, left: str = "", right: str = "") -> DataFrame:
     """LC-02: (accession, strand, place, start) where a seed occurs as it is; a seed with more than ``most`` hits in a strand has none.
 
     A hash join of every k-mer with the fragment's seeds, which are few whatever
     the genomes; the k-mers are never shuffled.
     """
-    table = contigs.sparkSession.createDataFrame(seeds(fragment, k, step), "place int, kmer string")
+    table = contigs.sparkSession.createDataFrame(context_seeds(left, fragment, right, k, step), "place int, kmer string")
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("s"), F.lit(1))), lambda i: i + (k - 1) <= F.length("s"))
     kmers = strands(contigs).select("accession", "strand", F.posexplode(F.transform(starts, lambda i: F.substring("s", i, F.lit(k)))).alias("start", "kmer"))
     hits = kmers.join(F.broadcast(table), "kmer")
@@ -52,15 +61,29 @@ def exact_blocks(hits: DataFrame, k: int = SEED) -> DataFrame:
     return blocks.select("accession", "strand", "place", "start", "length")
 
 
-def copies(contigs: DataFrame, fragment: str, max_indel: int = MAX_INDEL) -> DataFrame:
-    """LC-05, LC-06: candidate copies (accession, strand, start, end, anchored, identity, cut) from chained blocks.
+def covered(blocks: list[tuple[int, int, int]], lo: int, hi: int) -> int:
+    """Places in [lo, hi) that the blocks cover."""
+    return len({p for place, _, size in blocks for p in range(max(lo, place), min(hi, place + size))})
+
+
+def near_coarse(blocks: list[tuple[int, int, int]], n: int, left: str, right: str, reach: int) -> list[tuple[int, int, int]]:
+    """The blocks within ``reach`` of one in the fragment or on a coarse seed of a flank: the dense seeds of the flanks only measure."""
+    coarse = sorted({*range(-len(left), -SEED + 1, COARSE_STEP), *range(n, n + len(right) - SEED + 1, COARSE_STEP)})
+    sure = [b for b in blocks if covered([b], 0, n) >= 1 or any(b[0] <= p and p + SEED <= b[0] + b[2] for p in coarse)]
+    return [b for b in blocks if any(b[1] >= s[1] - reach and b[1] + b[2] <= s[1] + s[2] + reach for s in sure)]
+
+
+def copies(contigs: DataFrame, fragment: str, max_indel: int = MAX_INDEL, left: str = "", right: str = "") -> DataFrame:
+    """LC-05, LC-06: candidate copies (accession, strand, start, end, anchored, identity, cut, context_left, context_right) from chained blocks.
 
     Starts count from 0 on the strand and may lie outside of the contig, which
-    makes the copy a cut one. A genome's blocks are few; each chain is one task's
-    work on one (accession, strand).
+    makes the copy a cut one. ``left`` and ``right`` are the fragment's flanks in
+    a record of its own (:func:`context`); what of them is found beside a copy is
+    its context. A genome's blocks are few; each chain is one task's work on one
+    (accession, strand).
     """
     n = len(fragment)
-    blocks = exact_blocks(seed_hits(contigs, fragment))
+    blocks = exact_blocks(seed_hits(contigs, fragment, left=left, right=right))
     grouped = blocks.groupBy("accession", "strand").agg(F.sort_array(F.collect_list(F.struct("place", "start", "length"))).alias("blocks"))
     rows = grouped.join(strands(contigs), ["accession", "strand"])
 
@@ -69,23 +92,40 @@ def copies(contigs: DataFrame, fragment: str, max_indel: int = MAX_INDEL) -> Dat
             out = []
             for accession, strand, found, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 blocks = [(x["place"], x["start"], x["length"]) for x in found]
-                taken: list[tuple[int, int]] = []
+                if left or right:
+                    blocks = near_coarse(blocks, n, left, right, len(left) + n + len(right) + max_indel)
+                here = []
                 for chain in kernels.chains(blocks, max_indel):
-                    first, last = blocks[chain[0]], blocks[chain[-1]]
-                    start, end = first[1] - first[0], last[1] + last[2] + n - last[0] - last[2]
-                    if any(start < e and a < end for a, e in taken):
-                        continue
-                    taken.append((start, end))
-                    anchored = len({p for k in chain for p in range(blocks[k][0], blocks[k][0] + blocks[k][2])})
-                    lo, hi = max(0, start - 20), min(len(s), end + 20)
-                    identity = kernels.banded_identity(s[lo:hi], fragment, start - lo, 20)
-                    out.append((accession, strand, start, end, anchored, identity, start < 0 or end > len(s)))
+                    anchors = [blocks[k] for k in chain]
+                    start, end = (at + min(anchors, key=lambda b: _distance(at, b))[1] - min(anchors, key=lambda b: _distance(at, b))[0] for at in (0, n))
+                    anchored, identity = covered(anchors, 0, n), None
+                    if anchored:
+                        lo, hi = max(0, start - 20), min(len(s), end + 20)
+                        identity = kernels.banded_identity(s[lo:hi], fragment, start - lo, 20)
+                    here.append((accession, strand, start, end, anchored, identity, start < 0 or end > len(s), covered(anchors, -len(left), 0), covered(anchors, n, n + len(right))))
+                taken: list[tuple[int, int]] = []
+                for x in sorted(here, key=lambda x: (-x[4], -(x[5] or 0.0))):
+                    if not any(x[2] < e and a < x[3] for a, e in taken):
+                        taken.append((x[2], x[3]))
+                        out.append(x)
             if out:
-                types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
-                names = ["accession", "strand", "start", "end", "anchored", "identity", "cut"]
+                types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())
+                names = ["accession", "strand", "start", "end", "anchored", "identity", "cut", "context_left", "context_right"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return rows.select("accession", "strand", "blocks", "s").mapInArrow(run, "accession string, strand string, start int, end int, anchored int, identity double, cut boolean")
+    return rows.select("accession", "strand", "blocks", "s").mapInArrow(run, "accession string, strand string, start int, end int, anchored int, identity double, cut boolean, context_left int, context_right int")
+
+
+def _distance(at: int, block: tuple[int, int, int]) -> int:
+    a, b = block[0], block[0] + block[2]
+    return 0 if a <= at < b else min(abs(at - a), abs(at - b))
+
+
+def context(found: DataFrame, contigs: DataFrame, size: int = 1000) -> tuple[str, str]:
+    """LC-12: the flanks of the best whole copy of all, by anchored bases, identity and place; empty where there is none."""
+    best = found.where("NOT cut").orderBy(F.desc("anchored"), F.desc("identity"), "accession", "strand", "start").limit(1)
+    row = windows.flanks(best, contigs, size).first()
+    return (row["left"], row["right"]) if row else ("", "")
 
 
 def is_copy(anchored: Column, identity: Column, left: Column, right: Column, touches: Column) -> Column:
@@ -96,7 +136,8 @@ def is_copy(anchored: Column, identity: Column, left: Column, right: Column, tou
 
 def classify(found: DataFrame, contigs: DataFrame) -> DataFrame:
     """LC-15, LC-16: per listed genome its copies: whole, only cut ones, or none."""
-    c = found.where(is_copy(F.col("anchored"), F.col("identity"), F.lit(0), F.lit(0), F.lit(False)))
+    touches = (F.col("anchored") > 0) | F.col("cut")
+    c = found.where(is_copy(F.col("anchored"), F.col("identity"), F.col("context_left"), F.col("context_right"), touches))
     per = c.groupBy("accession").agg(F.count(F.when(~F.col("cut"), 1)).alias("whole"), F.count(F.when(F.col("cut"), 1)).alias("cut"))
     j = contigs.select("accession").join(per, "accession", "left")
     state = F.when(F.coalesce("whole", F.lit(0)) > 0, F.lit("found")).when(F.coalesce("cut", F.lit(0)) > 0, F.lit("contig_break")).otherwise(F.lit("not_found"))

@@ -20,7 +20,15 @@ b AS (SELECT *, sum(CASE WHEN before IS NULL OR place > before THEN 1 ELSE 0 END
 blocks AS (SELECT accession, strand, min(place) AS place, min(start) AS start, CAST(max(place) + 16 - min(place) AS INTEGER) AS length FROM b GROUP BY accession, strand, start - place, block)"""
 register("exact_blocks", lambda s, d: locate.exact_blocks(locate.seed_hits(view(s, d, CONTIGS), FRAGMENT)), f"WITH {_BLOCKS_SQL} SELECT * FROM blocks")
 register("chain_copies", lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT))
-register("copy_states", lambda s, d: locate.classify(locate.copies(view(s, d, CONTIGS), FRAGMENT), view(s, d, CONTIGS)).groupBy("state").agg(F.count("*").alias("genomes"), F.sum("copies").alias("copies")))
+
+
+def _with_context(s, d):
+    contigs = view(s, d, CONTIGS)
+    left, right = locate.context(locate.copies(contigs, FRAGMENT), contigs)
+    return locate.copies(contigs, FRAGMENT, left=left, right=right)
+
+
+register("copy_states", lambda s, d: locate.classify(_with_context(s, d), view(s, d, CONTIGS)).groupBy("state").agg(F.count("*").alias("genomes"), F.sum("copies").alias("copies")))
 _CANDIDATES = "SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INT) AS n, CAST(l_partkey % 64 AS INT) AS anchored, CAST(l_suppkey % 100 AS INT) / 100.0 AS identity, CAST(l_quantity AS INT) AS ctx_left, CAST(l_partkey % 50 AS INT) AS ctx_right, l_linestatus = 'O' AS touches FROM {lineitem}"
 register(
     "copy_rule",

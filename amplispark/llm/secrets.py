@@ -89,7 +89,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """The ledger after a scan of ``versions``: (blob, scanned), a row per distinct text.
 
     ``scanned`` maps "kind@version" to the spans found. With the ledger of
-    earlier scans (same columns) only unseen pairs are scanned.
+    earlier scans (same columns) only unseen pairs are scanned, and blobs that
+    ``versions`` lack stay as they are.
     """
     texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     blobs = texts.select(blob_of(F.col("_text")).alias("blob"), "_text").groupBy("blob").agg(F.first("_text").alias("_text"))
@@ -97,14 +98,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     if ledger is None:
         blobs = blobs.withColumn("_known", empty)
     else:
-        blobs = blobs.join(ledger.select("blob", F.col("scanned").alias("_known")), "blob", "left")
+        blobs = blobs.join(ledger.select("blob", F.col("scanned").alias("_known")), "blob", "full")
     known = lambda r: F.element_at(F.col("_known"), F.lit(r.key))
     found = [F.coalesce(known(r), spans(F.col("_text"), r)) if ledger is not None else spans(F.col("_text"), r) for r in rules]
     fresh = F.map_from_arrays(F.array(*[F.lit(r.key) for r in rules]), F.array(*found))
     if ledger is None:
         return blobs.select("blob", fresh.alias("scanned"))
     own = F.map_filter(F.coalesce("_known", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<array<{_SPAN}>>"))), lambda k, _: ~k.isin([r.key for r in rules]))
-    return blobs.select("blob", F.map_concat(own, fresh).alias("scanned"))
+    return blobs.select("blob", F.when(F.col("_text").isNull(), F.col("_known")).otherwise(F.map_concat(own, fresh)).alias("scanned"))
 
 
 def findings(scanned: Column, rules: tuple[Rule, ...] = RULES) -> Column:

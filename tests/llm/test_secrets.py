@@ -41,6 +41,17 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert "assign@1" in rescanned.where(F.size("scanned") > 3).first()["scanned"]
 
 
+def test_ledger_keeps_earlier_blobs(spark):
+    old = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[2]), (3, "")], "doc_id long, text string")
+    new = spark.createDataFrame([(4, TEXTS[1]), (5, TEXTS[2])], "doc_id long, text string")
+    first = {bytes(r.blob): r.scanned for r in secrets.scan(old).collect()}
+    both = secrets.scan(new, secrets.scan(old))
+    got = {bytes(r.blob): r.scanned for r in both.collect()}
+    assert len(got) == 4 and all(got[b] == x for b, x in first.items())
+    found = {r.doc_id: r.s for r in secrets.joined_back(old.union(new), both).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()}
+    assert found == {1: brute_force(TEXTS[0]), 2: brute_force(TEXTS[2]), 3: "", 4: brute_force(TEXTS[1]), 5: brute_force(TEXTS[2])}
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "a token=" + "0f" * 20 + " b", 99, "x"), (2, None, 5, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: (r.text, r.n_chars, r.spans) for r in secrets.secret_stage(docs).collect()}

@@ -1,4 +1,4 @@
-"""Alignment and structure kernels over distinct inputs, joined back (AL-01 .. AL-05, TH-03, TH-04, JN-06, JN-07)."""
+"""Alignment and structure kernels over distinct inputs, joined back (AL-01 .. AL-05, TH-03, TH-04, JN-06)."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def measure(q: Column, s: Column, unobserved_matches: bool = True) -> Column:
 
 
 def partner_scan(anchors: DataFrame, contigs: DataFrame, partners: DataFrame, reach: int = 2000, most: int = 5, budget: int | None = None) -> DataFrame:
-    """JN-06, JN-07: sites of partner oligos in the window that faces an anchor.
+    """JN-06 in part: sites of partner oligos in the window that faces an anchor; those that overlap known ones are not rejected.
 
     Anchors are (anchor_id, accession, orientation, s_start, s_end), from 1 and
     inclusive; partners (oligo, oligo_seq) are an assay's own, a handful.

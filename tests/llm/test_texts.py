@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -244,3 +246,15 @@ def test_round_trip(spark, vocabulary):
     again = segmentation.sample_segmentations(df, segmentation.piece_bpe(), k=3)
     assert sorted(sampled.collect(), key=str) == sorted(again.collect(), key=str)
     assert {r.doc_id: r.inclusion for r in sampled.collect()}[1] == 1.0  # the empty text has one segmentation
+
+
+@pytest.mark.parametrize("mix", [segmentation.mixed, np.zeros_like])
+def test_units_are_exact_even_where_hashes_are_equal(vocabulary, monkeypatch, mix):
+    monkeypatch.setattr(segmentation, "mixed", mix)
+    rng, split = random.Random(1), re.compile("\n|▁*[^▁\n]+|▁+")
+    texts = ["".join(rng.choice(["▁", "\n", "a", "bc", "é", "漢", "▁▁"]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "▁", "\n\n"]
+    units = segmentation.Units(vocabulary)
+    for _ in range(2):  # new units, then known ones
+        got, la = units.of(texts), units.lattice
+        shown = lambda k: "".join(map(chr, la.codes[la.starts[k] : la.starts[k] + la.left[la.starts[k]]]))
+        assert [[shown(k) for k in g] for g in got] == [split.findall(t) for t in texts]

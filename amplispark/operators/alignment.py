@@ -1,4 +1,4 @@
-"""Alignment and structure kernels over distinct inputs, joined back (AL-01 .. AL-05, TH-03, TH-04, JN-06)."""
+"""Alignment and structure kernels in place (AL-01 .. AL-04, TH-03, JN-06, JN-07)."""
 
 from __future__ import annotations
 
@@ -12,36 +12,69 @@ from pyspark.sql.types import StructType
 from amplispark.functions import kernels, seq, structures
 
 
-def over_distinct(rows: DataFrame, inputs: list[str], kernel: Callable[..., tuple | None], out: str) -> DataFrame:
-    """``rows`` with the columns ``out`` (DDL) of a kernel, run once per distinct input; nulls where it returns None."""
+def with_kernel(rows: DataFrame, inputs: list[str], kernel: Callable[[list[tuple]], list[tuple | None]], out: str) -> DataFrame:
+    """``rows`` with the columns ``out`` (DDL) of a kernel that takes many inputs at once; nulls where it returns None or an input is null.
+
+    AS-15: equal inputs of a batch are computed once; nothing is shuffled.
+    """
     spec = StructType.fromDDL(out)
-    distinct = rows.select(*inputs).distinct()
+    types = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.dataType.simpleString()] for f in spec]
+    names = [f"_{i}" for i in range(len(inputs))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            args = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
-            found = [kernel(*a) or (None,) * len(spec) for a in args]
+            args = list(zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names], strict=True))
+            distinct = [a for a in dict.fromkeys(args) if None not in a]
+            of = dict(zip(distinct, kernel(distinct), strict=True))
+            found = [of.get(a) or (None,) * len(spec) for a in args]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)] if found else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*inputs, *spec.names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["_row", *spec.names])
 
-    types = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.dataType.simpleString()] for f in spec]
-    schema = StructType([*distinct.schema.fields, *spec.fields])
-    return rows.join(distinct.mapInArrow(run, schema), inputs, "left")
+    held = rows.select(F.struct("*").alias("_row"), *[F.col(c).alias(n) for c, n in zip(inputs, names, strict=True)])
+    schema = StructType([held.schema["_row"], *spec.fields])
+    return held.mapInArrow(run, schema).select("_row.*", *spec.names)
 
 
 def semi_global(rows: DataFrame) -> DataFrame:
-    """AL-01, AL-04: (…, oligo_seq, window) with the alignment of the whole oligo, by run length where that reads without mismatch."""
-    return over_distinct(rows, ["oligo_seq", "window"], kernels.semi_global, "q_aln string, s_aln string, s_start int, s_end int, score int")
+    """AL-01: (…, oligo_seq, window) with the alignment of the whole oligo."""
+    return with_kernel(rows, ["oligo_seq", "window"], kernels.semi_global, "q_aln string, s_aln string, s_start int, s_end int, score int")
 
 
 def run_length(rows: DataFrame) -> DataFrame:
-    """AL-03"""
-    return over_distinct(rows, ["oligo_seq", "window"], kernels.homopolymer_shift, "shift int, run_start int")
+    """AL-03: (…, oligo_seq, window) with the change of one run's length that explains the window, and its alignment; nulls where none does."""
+    each = lambda pairs: [kernels.run_length(*p) for p in pairs]
+    return with_kernel(rows, ["oligo_seq", "window"], each, "shift int, run_start int, q_aln string, s_aln string, s_start int, s_end int")
+
+
+def _chosen(pairs: list[tuple]) -> list[tuple]:
+    """AL-04 for each pair: its alignment, or the reading by run length where that leaves no mismatch and the alignment is not perfect."""
+    out = []
+    for (oligo, window), (q, s, start, end, score) in zip(pairs, kernels.semi_global(pairs), strict=True):
+        other = None if score == kernels.MATCH * len(oligo) else kernels.run_length(oligo, window)
+        if other is None:
+            out.append((q, s, start, end, None, None))
+        else:
+            change, at, *lines = other
+            run = len(oligo[at:]) - len(oligo[at:].lstrip(oligo[at]))
+            out.append((*lines, oligo[at], f"{run}->{run + change}"))
+    return out
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """AL-04: (…, oligo_seq, window) with the alignment to judge; where it is one by run length, ``run_base`` and ``run_change`` ("4->5") name it."""
+    return with_kernel(rows, ["oligo_seq", "window"], _chosen, "q_aln string, s_aln string, s_start int, s_end int, run_base string, run_change string")
 
 
 def pair_structures(pairs: DataFrame) -> DataFrame:
-    """QC-07, TH-03: (…, seq_a, seq_b) with the most stable dimer of each pair; QC-08's limits apply to its Tm."""
-    return over_distinct(pairs, ["seq_a", "seq_b"], structures.dimer, "tm double, dg double")
+    """QC-07, TH-03: (…, seq_a, seq_b) with the most stable dimer of each pair."""
+    each = lambda rows: [structures.dimer(*r) for r in rows]
+    return with_kernel(pairs, ["seq_a", "seq_b"], each, "tm double, dg double")
+
+
+def hairpins(oligos: DataFrame) -> DataFrame:
+    """QC-07, TH-03: (…, sequence) with the most stable hairpin of each oligo; nulls where it has none."""
+    each = lambda rows: [structures.hairpin(r[0]) for r in rows]
+    return with_kernel(oligos, ["sequence"], each, "hairpin_tm double, hairpin_dg double")
 
 
 def measure(q: Column, s: Column, unobserved_matches: bool = True) -> Column:

@@ -1,53 +1,80 @@
-"""Copies of a fragment in genomes (LC-*): seeds, exact blocks, chains, the copy rule."""
+"""Copies of a fragment in genomes (LC-*): seeds, exact blocks, chains, masked and shorter-seed search, the copy rule."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amplispark.functions import kernels, seq
+from amplispark.functions import seeds as search
+from amplispark.functions import seq
+from amplispark.functions.seeds import ANCHORED, CONTEXT, FALLBACK, IDENTITY, IDENTITY_ANCHORED, MAX_INDEL, MOST_HITS, SEED, STEP, Reference
 from amplispark.operators import windows
 
-# Parameters of the search.
-SEED, STEP, MOST_HITS = 16, 2, 50
-CONTEXT_STEP, COARSE_STEP = 8, 32
-ANCHORED, CONTEXT, IDENTITY, IDENTITY_ANCHORED, MAX_INDEL = 32, 32, 0.75, 16, 150
+#: Contigs that a task reads side by side, and their bases at most (a longer contig is read by itself).
+_ROWS, _BASES = 4000, 4_000_000
+CANDIDATE = (
+    "accession string, contig string, strand string, ref int, start int, end int, length int, anchored int, identity double, cut boolean, "
+    "context_left int, context_right int, n_left int, n_inside int, n_right int, kind string, "
+    "anchors array<struct<place:int,start:int,size:int>>, region string, region_start int"
+)
+_TYPES = [
+    *(pa.string(),) * 3, *(pa.int32(),) * 5, pa.float64(), pa.bool_(), *(pa.int32(),) * 5, pa.string(),
+    pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("size", pa.int32())])), pa.string(), pa.int32(),
+]
+_NAMES = [c.split()[0] for c in CANDIDATE.split(", ")]
 
 
 def seeds(fragment: str, k: int = SEED, step: int = STEP) -> list[tuple[int, str]]:
     """LC-01: (place, k-mer) every ``step`` bases, and the last one."""
-    last = len(fragment) - k
-    return [(p, fragment[p : p + k]) for p in sorted({*range(0, last + 1, step), last}) if p >= 0]
+    return [(p, fragment[p : p + k]) for p in search.seed_places(Reference(fragment), k, step)]
 
 
-def context_seeds(left: str, fragment: str, right: str, k: int = SEED, step: int = STEP, context_step: int = CONTEXT_STEP) -> list[tuple[int, str]]:
-    """LC-01: the fragment's seeds with those of its flanks, every ``context_step`` bases; places count from the fragment's start."""
-    flank = lambda s, at: [(at + p, s[p : p + k]) for p in range(0, len(s) - k + 1, context_step)]
-    both = flank(left, -len(left)) + seeds(fragment, k, step) + flank(right, len(fragment))
-    return sorted((p, x) for p, x in both if set(x) <= set("ACGT")) if left or right else both
+def _named(contigs: DataFrame) -> DataFrame:
+    """(accession, contig, seq); a genome of one contig need not name it."""
+    return contigs.select("accession", F.col("contig") if "contig" in contigs.columns else F.col("accession").alias("contig"), "seq")
 
 
-def strands(contigs: DataFrame) -> DataFrame:
-    """Each (accession, seq) on both strands."""
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), seq.reverse_complement(F.col("seq")).alias("s")))
-    return contigs.select("accession", F.explode(both).alias("x")).select("accession", "x.strand", "x.s")
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str], search.Contigs]]:
+    """(accessions, contig names, contigs) of the rows with a sequence, a bounded number of bases at a time."""
+    for b in batches:
+        held, bases = [], 0
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if row[2] is None:
+                continue
+            if held and (bases + len(row[2]) > _BASES or len(held) >= _ROWS):
+                yield _side_by_side(held)
+                held, bases = [], 0
+            held.append(row)
+            bases += len(row[2])
+        if held:
+            yield _side_by_side(held)
 
 
-def seed_hits(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP, most: int = MOST_HITS, left: str = "", right: str = "") -> DataFrame:
-    """LC-02: (accession, strand, place, start) where a seed occurs as it is; a seed with more than ``most`` hits in a strand has none.
+def _side_by_side(rows: list[tuple]) -> tuple[list[str], list[str], search.Contigs]:
+    accessions, names, seqs = zip(*rows, strict=True)
+    return accessions, names, search.Contigs(list(seqs))
 
-    A hash join of every k-mer with the fragment's seeds, which are few whatever
-    the genomes; the k-mers are never shuffled.
+
+def seed_hits(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP, most: int = MOST_HITS) -> DataFrame:
+    """LC-02: (accession, strand, place, start) where a seed occurs as it is; a seed with more than ``most`` hits in a strand of a contig has none.
+
+    Contigs are read where they lie: every k-mer is looked up in the table of
+    the fragment's seeds, on both strands at once, and only hits leave the task.
     """
-    table = contigs.sparkSession.createDataFrame(context_seeds(left, fragment, right, k, step), "place int, kmer string")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("s"), F.lit(1))), lambda i: i + (k - 1) <= F.length("s"))
-    kmers = strands(contigs).select("accession", "strand", F.posexplode(F.transform(starts, lambda i: F.substring("s", i, F.lit(k)))).alias("start", "kmer"))
-    hits = kmers.join(F.broadcast(table), "kmer")
-    n = F.count("*").over(Window.partitionBy("accession", "strand", "place"))
-    return hits.withColumn("_n", n).where(F.col("_n") <= most).select("accession", "strand", "place", "start")
+    reference = Reference(fragment)
+    table = search.SeedTable(reference, search.seed_places(reference, k, step), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for accessions, _, sequences in _stretches(batches):
+            hits = table.hits(sequences)
+            hits = search.pick(hits, search.informative(hits, most=most))
+            columns = [pa.array([accessions[i] for i in hits.contig.tolist()], pa.string()), pa.array([("+", "-")[x] for x in hits.strand.tolist()], pa.string()), pa.array(hits.place, pa.int32()), pa.array(hits.start, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["accession", "strand", "place", "start"])
+
+    return _named(contigs).mapInArrow(run, "accession string, strand string, place int, start int")
 
 
 def exact_blocks(hits: DataFrame, k: int = SEED) -> DataFrame:
@@ -61,70 +88,50 @@ def exact_blocks(hits: DataFrame, k: int = SEED) -> DataFrame:
     return blocks.select("accession", "strand", "place", "start", "length")
 
 
-def covered(blocks: list[tuple[int, int, int]], lo: int, hi: int) -> int:
-    """Places in [lo, hi) that the blocks cover."""
-    return len({p for place, _, size in blocks for p in range(max(lo, place), min(hi, place + size))})
-
-
-def near_coarse(blocks: list[tuple[int, int, int]], n: int, left: str, right: str, reach: int) -> list[tuple[int, int, int]]:
-    """The blocks within ``reach`` of one in the fragment or on a coarse seed of a flank: the dense seeds of the flanks only measure."""
-    coarse = sorted({*range(-len(left), -SEED + 1, COARSE_STEP), *range(n, n + len(right) - SEED + 1, COARSE_STEP)})
-    sure = [b for b in blocks if covered([b], 0, n) >= 1 or any(b[0] <= p and p + SEED <= b[0] + b[2] for p in coarse)]
-    return [b for b in blocks if any(b[1] >= s[1] - reach and b[1] + b[2] <= s[1] + s[2] + reach for s in sure)]
-
+def candidates(contigs: DataFrame, references: Sequence[Reference], max_indel: int = MAX_INDEL, fallback: int | None = FALLBACK, flank: int = search.FLANK) -> DataFrame:
+    """LC-01 .. LC-09, LC-20: the candidate copies (``CANDIDATE``) of some references in genomes of one contig or several.
 
-def copies(contigs: DataFrame, fragment: str, max_indel: int = MAX_INDEL, left: str = "", right: str = "") -> DataFrame:
-    """LC-05, LC-06: candidate copies (accession, strand, start, end, anchored, identity, cut, context_left, context_right) from chained blocks.
+    A region reaches ``flank`` bases and the tolerance beyond its candidate.
 
-    Starts count from 0 on the strand and may lie outside of the contig, which
-    makes the copy a cut one. ``left`` and ``right`` are the fragment's flanks in
-    a record of its own (:func:`context`); what of them is found beside a copy is
-    its context. A genome's blocks are few; each chain is one task's work on one
-    (accession, strand).
+    One pass over the contigs where they lie; only candidates are shuffled, to
+    tell which genomes have one with ``ANCHORED`` bases: those have no use for
+    what lies under N or was found by seeds of ``fallback`` bases, and the
+    latter is for genomes without the former.
     """
-    n = len(fragment)
-    blocks = exact_blocks(seed_hits(contigs, fragment, left=left, right=right))
-    grouped = blocks.groupBy("accession", "strand").agg(F.sort_array(F.collect_list(F.struct("place", "start", "length"))).alias("blocks"))
-    rows = grouped.join(strands(contigs), ["accession", "strand"])
+    exact = [search.Searcher(r, SEED, STEP, max_indel) for r in references]
+    shorter = [search.Searcher(r, fallback, STEP, max_indel) for r in references] if fallback else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for accession, strand, found, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                blocks = [(x["place"], x["start"], x["length"]) for x in found]
-                if left or right:
-                    blocks = near_coarse(blocks, n, left, right, len(left) + n + len(right) + max_indel)
-                here = []
-                for chain in kernels.chains(blocks, max_indel):
-                    anchors = [blocks[k] for k in chain]
-                    start, end = (at + min(anchors, key=lambda b: _distance(at, b))[1] - min(anchors, key=lambda b: _distance(at, b))[0] for at in (0, n))
-                    anchored, identity = covered(anchors, 0, n), None
-                    if anchored:
-                        lo, hi = max(0, start - 20), min(len(s), end + 20)
-                        identity = kernels.banded_identity(s[lo:hi], fragment, start - lo, 20)
-                    here.append((accession, strand, start, end, anchored, identity, start < 0 or end > len(s), covered(anchors, -len(left), 0), covered(anchors, n, n + len(right))))
-                taken: list[tuple[int, int]] = []
-                for x in sorted(here, key=lambda x: (-x[4], -(x[5] or 0.0))):
-                    if not any(x[2] < e and a < x[3] for a, e in taken):
-                        taken.append((x[2], x[3]))
-                        out.append(x)
-            if out:
-                types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())
-                names = ["accession", "strand", "start", "end", "anchored", "identity", "cut", "context_left", "context_right"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    return rows.select("accession", "strand", "blocks", "s").mapInArrow(run, "accession string, strand string, start int, end int, anchored int, identity double, cut boolean, context_left int, context_right int")
-
-
-def _distance(at: int, block: tuple[int, int, int]) -> int:
-    a, b = block[0], block[0] + block[2]
-    return 0 if a <= at < b else min(abs(at - a), abs(at - b))
+        for accessions, names, sequences in _stretches(batches):
+            rows = [
+                (
+                    accessions[c.contig], names[c.contig], ("+", "-")[c.strand], c.ref, c.start, c.end, c.length, c.anchored, c.identity, c.start < 0 or c.end > c.length,
+                    c.context_left, c.context_right, c.n_left, c.n_inside, c.n_right, c.kind,
+                    [{"place": p, "start": s, "size": n} for p, s, n in c.anchors], c.region, c.region_start,
+                )
+                for c in search.locate(sequences, exact, shorter, flank)
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+    found = _named(contigs).mapInArrow(run, CANDIDATE)
+    genome = Window.partitionBy("accession")
+    strong = F.max((F.col("kind") == "exact") & (F.col("anchored") >= ANCHORED)).over(genome)
+    hidden = F.max(F.col("kind") == "masked").over(genome)
+    flagged = found.withColumn("_strong", strong).withColumn("_hidden", hidden)
+    return flagged.where("kind = 'exact' OR NOT _strong AND (kind = 'masked' OR NOT _hidden)").drop("_strong", "_hidden")
+
+
+def copies(contigs: DataFrame, fragment: str, max_indel: int = MAX_INDEL, left: str = "", right: str = "", flank: int = search.FLANK) -> DataFrame:
+    """:func:`candidates` of one fragment with its flanks in a record of its own (:func:`context`)."""
+    return candidates(contigs, [Reference(fragment, left, right)], max_indel, flank=flank)
 
 
 def context(found: DataFrame, contigs: DataFrame, size: int = 1000) -> tuple[str, str]:
-    """LC-12: the flanks of the best whole copy of all, by anchored bases, identity and place; empty where there is none."""
-    best = found.where("NOT cut").orderBy(F.desc("anchored"), F.desc("identity"), "accession", "strand", "start").limit(1)
-    row = windows.flanks(best, contigs, size).first()
+    """LC-12: the flanks of the best whole copy of all, by anchored bases, identity and place; empty where none has ``ANCHORED`` bases."""
+    whole = found.where((F.col("kind") == "exact") & ~F.col("cut") & (F.col("anchored") >= ANCHORED))
+    best = whole.orderBy(F.desc("anchored"), F.desc("identity"), "accession", "contig", "strand", "start").limit(1)
+    row = windows.flanks_in(best, _named(contigs), size).first()
     return (row["left"], row["right"]) if row else ("", "")
 
 
@@ -134,11 +141,53 @@ def is_copy(anchored: Column, identity: Column, left: Column, right: Column, tou
     return (anchored >= ANCHORED) | context | ((identity >= IDENTITY) & (anchored >= IDENTITY_ANCHORED))
 
 
-def classify(found: DataFrame, contigs: DataFrame) -> DataFrame:
-    """LC-15, LC-16: per listed genome its copies: whole, only cut ones, or none."""
+def judged(found: DataFrame) -> DataFrame:
+    """LC-10 for every kind of candidate, as ``is_copy``: one hidden by N always counts, one of shorter seeds by identity alone."""
     touches = (F.col("anchored") > 0) | F.col("cut")
-    c = found.where(is_copy(F.col("anchored"), F.col("identity"), F.col("context_left"), F.col("context_right"), touches))
-    per = c.groupBy("accession").agg(F.count(F.when(~F.col("cut"), 1)).alias("whole"), F.count(F.when(F.col("cut"), 1)).alias("cut"))
-    j = contigs.select("accession").join(per, "accession", "left")
-    state = F.when(F.coalesce("whole", F.lit(0)) > 0, F.lit("found")).when(F.coalesce("cut", F.lit(0)) > 0, F.lit("contig_break")).otherwise(F.lit("not_found"))
-    return j.select("accession", state.alias("state"), F.coalesce(F.col("whole") + F.col("cut"), F.lit(0)).alias("copies"))
+    by_identity = F.coalesce((F.col("identity") >= IDENTITY) & (F.col("anchored") >= IDENTITY_ANCHORED), F.lit(False))
+    exact = F.coalesce(is_copy(F.col("anchored"), F.col("identity"), F.col("context_left"), F.col("context_right"), touches), F.lit(False))
+    return found.withColumn("is_copy", F.when(F.col("kind") == "masked", True).when(F.col("kind") == "fallback", by_identity).otherwise(exact))
+
+
+def classify(found: DataFrame, contigs: DataFrame) -> DataFrame:
+    """LC-11, LC-15, LC-16: (accession, state, copies, beside) of every listed genome.
+
+    A copy under N or by shorter seeds gives way to an exact one at its place.
+    The state is found, contig_break where all copies are cut, and not_found,
+    also where all are cut and none has a base of the fragment, which then is
+    not in the assembly. ``beside`` tells of anchored regions that are no copy:
+    beside copies, related without one, or flanked where only flanks were found.
+    """
+    item = F.struct("contig", "strand", "start", "end", "anchored", "cut", "kind", "is_copy", F.greatest("context_left", "context_right").alias("context"))
+    per = judged(found).groupBy("accession").agg(F.collect_list(item).alias("all"))
+    meets = lambda x, rows: F.exists(rows, lambda y: (x["contig"] == y["contig"]) & (x["strand"] == y["strand"]) & (F.least(x["end"], y["end"]) > F.greatest(x["start"], y["start"])))
+    per = per.withColumn("sure", F.filter("all", lambda x: x["is_copy"] & (x["kind"] == "exact")))
+    per = per.withColumn("chosen", F.concat("sure", F.filter("all", lambda x: x["is_copy"] & (x["kind"] != "exact") & ~meets(x, F.col("sure")))))
+    per = per.withColumn("others", F.filter("all", lambda x: ~x["is_copy"] & (x["anchored"] > 0) & (x["kind"] != "fallback") & ~meets(x, F.col("chosen"))))
+    some, other = F.size("chosen") > 0, F.size("others") > 0
+    beside = F.when(some & other, "beside").when(other, "related").when(~some & F.exists("all", lambda x: x["context"] >= CONTEXT), "flanked")
+    cut = F.forall("chosen", lambda x: x["cut"])
+    absent = cut & F.forall("chosen", lambda x: x["anchored"] == 0)
+    state = F.when(~some | absent, "not_found").when(cut, "contig_break").otherwise("found")
+    n = F.when(state == "not_found", 0).otherwise(F.size("chosen"))
+    told = per.select("accession", state.alias("state"), n.cast("long").alias("copies"), beside.alias("beside"))
+    listed = contigs.select("accession").distinct().join(told, "accession", "left")
+    return listed.select("accession", F.coalesce("state", F.lit("not_found")).alias("state"), F.coalesce("copies", F.lit(0).cast("long")).alias("copies"), "beside")
+
+
+def role_windows(found: DataFrame, roles: DataFrame, pad: int = 15) -> DataFrame:
+    """AS-02: (accession, contig, strand, start, oligo, oligo_seq, window) of each copy and oligo; the window is null where its site runs off the region.
+
+    Roles are (oligo, oligo_seq, on, place, size): where the oligo lies on the
+    fragment and on which strand of it. A site is placed by the nearest block,
+    so that a copy longer or shorter than the fragment has each site in its place.
+    """
+    off = lambda b: F.when((b["place"] <= F.col("place")) & (F.col("place") < b["place"] + b["size"]), 0).otherwise(F.least(F.abs(F.col("place") - b["place"]), F.abs(F.col("place") - b["place"] - b["size"])))
+    near = F.array_min(F.transform("anchors", lambda b, i: F.struct(off(b).alias("off"), i.alias("i"), (b["start"] - b["place"]).alias("shift"))))["shift"]
+    j = found.crossJoin(roles)  # an assay's own oligos, a handful
+    at = near + F.col("place") - F.col("region_start")
+    lo, hi = F.greatest(at - pad, F.lit(0)), F.least(at + F.col("size") + pad, F.length("region"))
+    cut = F.substring(F.col("region"), lo + 1, hi - lo)
+    inside = (at >= 0) & (at + F.col("size") <= F.length("region"))
+    window = F.when(inside, F.when(F.col("on") == "-", seq.reverse_complement(cut)).otherwise(cut))
+    return j.select("accession", "contig", "strand", "start", "oligo", "oligo_seq", window.alias("window"))

@@ -48,14 +48,28 @@ def gapped_probe_binds(sites: DataFrame) -> DataFrame:
     return probe.groupBy("tier").agg(F.bool_or((F.col("gaps") > 0) & (F.col("level") != "minor")).alias("binds"))
 
 
-def flanks(copies: DataFrame, contigs: DataFrame, size: int = 1000) -> DataFrame:
-    """LC-12: the flanks of each genome's best whole copy, by anchored bases, identity and place."""
-    whole = copies.where("NOT cut")
-    best = whole.groupBy("accession").agg(F.max_by(F.struct("strand", "start", "end"), F.struct("anchored", "identity", (-F.col("start")).alias("s"))).alias("c"))
-    j = best.join(contigs.select("accession", "seq"), "accession")
+def _best_whole(copies: DataFrame) -> DataFrame:
+    """LC-12: (accession, c) with each genome's best whole copy, by anchored bases, identity and place."""
+    order = F.struct("anchored", "identity", (-F.col("start")).alias("s"))
+    return copies.where("NOT cut").groupBy("accession").agg(F.max_by(F.struct("contig", "strand", "start", "end", "region", "region_start"), order).alias("c"))
+
+
+def _around(s: Column, start: Column, end: Column, size: int) -> tuple[Column, Column]:
+    lo = F.greatest(start - size, F.lit(0))
+    return F.substring(s, lo + 1, start - lo).alias("left"), F.substring(s, end + 1, F.lit(size)).alias("right")
+
+
+def flanks(copies: DataFrame, size: int) -> DataFrame:
+    """LC-12: (accession, left, right) of each genome's best whole copy, out of its region, which must reach ``size`` bases beyond it."""
+    at = lambda x: F.col(f"c.{x}") - F.col("c.region_start")
+    return _best_whole(copies).select("accession", *_around(F.col("c.region"), at("start"), at("end"), size))
+
+
+def flanks_in(copies: DataFrame, contigs: DataFrame, size: int = 1000) -> DataFrame:
+    """LC-12: the same out of the contigs themselves, for the copies of a few genomes."""
+    j = contigs.join(F.broadcast(_best_whole(copies)), "accession").where(F.col("contig") == F.col("c.contig"))
     s = F.when(F.col("c.strand") == "-", seq.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    lo = F.greatest(F.col("c.start") - size, F.lit(0))
-    return j.select("accession", F.substring(s, lo + 1, F.col("c.start") - lo).alias("left"), F.substring(s, F.col("c.end") + 1, F.lit(size)).alias("right"))
+    return j.select("accession", *_around(s, F.col("c.start"), F.col("c.end"), size))
 
 
 def cut_fragment(contigs: DataFrame, forward: str, reverse: str) -> DataFrame:
@@ -78,7 +92,7 @@ def oligo_windows(sites: DataFrame) -> DataFrame:
 
 
 def best_copies(copies: DataFrame) -> DataFrame:
-    """AS-02, AS-05: of each genome the copy with the fewest failing, then undetermined sites, then defects, then the longest clean ends, then the first."""
+    """AS-05: of each genome the copy with the fewest failing, then undetermined sites, then defects, then the longest clean ends, then the first."""
     order = Window.partitionBy("accession").orderBy("fails", "undetermined", "defects", F.desc("clean3"), "copy")
     return copies.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

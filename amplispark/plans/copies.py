@@ -19,7 +19,7 @@ _BLOCKS_SQL = f"""{_HITS_SQL}, a AS (SELECT *, max(place + 16) OVER (PARTITION B
 b AS (SELECT *, sum(CASE WHEN before IS NULL OR place > before THEN 1 ELSE 0 END) OVER (PARTITION BY accession, strand, start - place ORDER BY place) AS block FROM a),
 blocks AS (SELECT accession, strand, min(place) AS place, min(start) AS start, CAST(max(place) + 16 - min(place) AS INTEGER) AS length FROM b GROUP BY accession, strand, start - place, block)"""
 register("exact_blocks", lambda s, d: locate.exact_blocks(locate.seed_hits(view(s, d, CONTIGS), FRAGMENT)), f"WITH {_BLOCKS_SQL} SELECT * FROM blocks")
-register("chain_copies", lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT))
+register("chain_copies", lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT).select("accession", "strand", "start", "end", "anchored", "identity", "cut", "context_left", "context_right", "kind"))
 
 
 def _with_context(s, d):

@@ -21,7 +21,7 @@ register(
     lambda s, d: alignment.run_length(view(s, d, _WINDOWS)).select("k", "shift"),
     f"""WITH w AS (SELECT * FROM {duck(_WINDOWS)}),
 v AS (SELECT * FROM (VALUES (1, -1), (2, 1), (3, -2), (4, 2), (5, -3), (6, 3)) AS t(o, shift), (SELECT unnest([5, 11]) AS pos)),
-c AS (SELECT k, o, shift FROM w, v WHERE (pos = 5 AND contains(w."window", 'GA' || repeat('C', 4 + shift) || 'AAAATCAGCGAAAT') AND 4 + shift >= 1) OR (pos = 11 AND contains(w."window", 'GACCCC' || repeat('A', 4 + shift) || 'TCAGCGAAAT') AND 4 + shift >= 1))
+c AS (SELECT k, o, shift FROM w, v WHERE (pos = 5 AND contains(w."window", 'GA' || repeat('C', 4 + shift) || 'AAAATCAGCGAAAT') AND 4 + shift >= 2) OR (pos = 11 AND contains(w."window", 'GACCCC' || repeat('A', 4 + shift) || 'TCAGCGAAAT') AND 4 + shift >= 2))
 SELECT w.k, CAST(arg_min(shift, o) AS INTEGER) AS shift FROM w LEFT JOIN c USING (k) GROUP BY 1""",
 )
 _ALN = f"SELECT CAST(p_partkey AS BIGINT) AS k, substr({dna('p_partkey')}, 1, 20) AS q, substr({dna('p_partkey')}, 1, CAST(5 + p_partkey % 9 AS INT)) || substr({dna('p_partkey + 3')}, 1, CAST(15 - p_partkey % 9 AS INT)) AS s FROM {{part}}"

@@ -45,7 +45,7 @@ register(
     lambda s, d: windows.gapped_probe_binds(view(s, d, SITES).withColumn("level", specificity.level())),
     f"SELECT tier, bool_or(gaps > 0 AND level <> 'minor') AS binds FROM (SELECT *, {_LEVEL} AS level FROM {_S}) WHERE role = 'probe' GROUP BY 1",
 )
-register("copy_flanks", lambda s, d: windows.flanks(locate.copies(view(s, d, CONTIGS), FRAGMENT), view(s, d, CONTIGS), 40))
+register("copy_flanks", lambda s, d: windows.flanks(locate.copies(view(s, d, CONTIGS), FRAGMENT, flank=40), 40))
 _CUT = lambda x: f"CASE WHEN strpos({x}, '{FORWARD}') > 0 AND strpos(substr({x}, strpos({x}, '{FORWARD}')), '{REVERSE.translate(str.maketrans('ACGT', 'TGCA'))[::-1]}') > 0 THEN substr({x}, strpos({x}, '{FORWARD}'), strpos(substr({x}, strpos({x}, '{FORWARD}')), '{REVERSE.translate(str.maketrans('ACGT', 'TGCA'))[::-1]}') + {len(REVERSE) - 1}) END"
 register(
     "cut_fragments",

@@ -1,8 +1,11 @@
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from amplispark.functions import grading, kernels, seq, structures, thermo
-from amplispark.operators import specificity
+from amplispark.operators import alignment, specificity
 
 
 def one(spark, column):
@@ -110,18 +113,82 @@ def global_score(q, s):
     return max(m[-1][-1], x[-1][-1], y[-1][-1])
 
 
-@pytest.mark.parametrize(("q", "s"), [("ACGTAC", "TTACGTACTT"), ("ACGTACGT", "TACGTTACGTA"), ("AAACCC", "AAATCCC"), ("ACGTTTGACCA", "GGACGTTGACCAG"), ("ACGT", "T")])
-def test_semi_global(q, s):
-    q_aln, s_aln, start, end, score = kernels.semi_global(q, s)
-    assert q_aln.replace("-", "") == q and s_aln.replace("-", "") == s[start:end] and len(q_aln) == len(s_aln)
-    assert score == brute_alignment(q, s)
+def test_semi_global():
+    rng = random.Random(4)
+    dna = lambda n: "".join(rng.choice("AACGT") for _ in range(n))
+    pairs = [("ACGTAC", "TTACGTACTT"), ("ACGTACGT", "TACGTTACGTA"), ("AAACCC", "AAATCCC"), ("ACGTTTGACCA", "GGACGTTGACCAG"), ("ACGT", "T"), ("ACG", ""), *[(dna(rng.randint(1, 8)), dna(rng.randint(0, 12))) for _ in range(60)]]
+    for (q, s), (q_aln, s_aln, start, end, score) in zip(pairs, kernels.semi_global(pairs), strict=True):
+        assert q_aln.replace("-", "") == q and s_aln.replace("-", "") == s[start:end] and len(q_aln) == len(s_aln)
+        assert score == brute_alignment(q, s)
+    assert kernels.semi_global([("ACGT", "ACGTTACGT"), ("", "ACG")]) == [("ACGT", "ACGT", 0, 4, 4), ("", "", 0, 0, 0)]  # the leftmost of equal ends
+    assert kernels.semi_global([("ACGTRN", "ACGTAC")])[0][4] == 6  # codes that share a base match
+    # Seven bases pair on either side of what the window lacks (a gap of two costs 9, four mismatches 12) or has too much.
+    assert kernels.semi_global([("GACCTGAGTCATTGCAGG", "TTGACCTGATCATTGCAGGTT")])[0][:2] == ("GACCTGAGTCATTGCAGG", "GACCTGA-TCATTGCAGG")
+    assert kernels.semi_global([("GACCTGAGTCATTGCAGG", "TTGACCTGACCGTCATTGCAGGTT")])[0][:2] == ("GACCTGA--GTCATTGCAGG", "GACCTGACCGTCATTGCAGG")
+
+
+def brute_identity(region, fragment, offset, band):
+    """Every banded path, by recursion on (score, matches)."""
+    first, last = max(0, -offset), min(len(fragment), len(region) - offset)
+    if last <= first:
+        return 0.0
+
+    @functools.cache
+    def best(i, j):
+        if not 0 <= j <= len(region) or abs(j - i - offset) > band:
+            return (-(10**6), 0)
+        if i == first:
+            return (0, 0)
+        same = fragment[i - 1] == region[j - 1] != "N" if j else False
+        a, b = best(i - 1, j - 1) if j else (-(10**6), 0), best(i - 1, j)
+        found = [(a[0] + (1 if same else -1), a[1] + same), (b[0] - 2, b[1])]
+        if j and abs(j - 1 - i - offset) <= band:
+            c = best(i, j - 1)
+            found.append((c[0] - 2, c[1]))
+        return max(found)
+
+    return round(max(best(last, j) for j in range(len(region) + 1))[1] / (last - first), 3)
+
+
+def test_identities():
+    rng = random.Random(6)
+    dna = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    rows = [("TTACGTACGTAA", "ACGTACGT", 2, 3), ("", "ACG", 0, 3), ("ACG", "ACG", 9, 3)]
+    for _ in range(80):
+        f = dna(rng.randint(1, 15))
+        rows.append((dna(rng.randint(0, 6)) + f[: len(f) // 2] + dna(rng.randint(0, 2)) + f[len(f) // 2 :] + dna(rng.randint(0, 6)), f, rng.randint(-5, 9), rng.choice((2, 5))))
+    assert kernels.identities(rows) == [brute_identity(*r) for r in rows]
+
+
+def test_run_length():
+    assert kernels.run_length("ACGTTTTTGCA", "CCACGTTTTGCACC") == (-1, 3, "ACGTTTTTGCA", "ACG-TTTTGCA", 2, 12)
+    assert kernels.run_length("ACGTTTTGCA", "CCACGTTTTTTGCACC") == (2, 3, "ACG--TTTTGCA", "ACGTTTTTTGCA", 2, 14)
+    assert kernels.run_length("ACGTTTTGCA", "ACGTGCA") is None  # a run keeps two bases
+    assert kernels.run_length("ACGTTTTGCA", "ACGTTGCA")[0] == -2
+    assert kernels.run_length("ACGNNNNGCA", "ACGNNNGCA") is None  # a run of an ambiguous code is none
+    assert kernels.run_length("ACGTTTGCA", "ACGTTGCA") is None  # nor one of three bases
+    assert kernels.run_length("AAAACGTTTT", "AAACGTTTTAAAAACGTTTT")[0] == -1  # shorter before longer
+    assert kernels.run_length("ACGTGCA", "TT") is None
+
+
+def test_chosen_alignment(spark):
+    rows = spark.createDataFrame([(1, "ACGGTTTTTGCA", "CCACGGTTTTGCACC"), (2, "ACGGTTTTTGCA", "CCACGGTTTTTGCACC"), (3, "ACGGTTTTTGCA", None), (4, "ACGGTTTTTGCA", "CCACGGTTTTGGACC")], "k int, oligo_seq string, window string")
+    got = {r.k: r for r in alignment.chosen(rows).collect()}
+    assert (got[1].q_aln, got[1].s_aln, got[1].run_base, got[1].run_change) == ("ACGGTTTTTGCA", "ACGG-TTTTGCA", "T", "5->4")
+    assert (got[2].s_aln, got[2].run_base) == ("ACGGTTTTTGCA", None) and got[3].q_aln is None and got[4].run_base is None
+    shorter = alignment.run_length(rows).orderBy("k").collect()
+    assert [r.shift for r in shorter] == [-1, None, None, None]
+
+
+def test_chains():
+    assert kernels.chains([(0, 10, 5), (6, 16, 5), (0, 100, 4)]) == [[0, 1], [2]]
+    assert kernels.chains([(0, 10, 20), (10, 40, 20), (40, 400, 20)], 150, 100) == [[0, 1], [2]]  # groups
+    assert kernels.chains([(0, 0, 10), (20, 220, 30), (30, 30, 10)], 150) == [[1], [0, 2]]  # diagonals 200 apart; the longer first
+    assert kernels.chains([(0, 0, 10), (5, 5, 10)], 150) == [[0, 1]]
+    assert kernels.chains([]) == []
 
 
 def test_other_kernels():
-    assert kernels.homopolymer_shift("ACGTTTTTGCA", "CCACGTTTTGCACC") == (-1, 3)
-    assert kernels.homopolymer_shift("ACGTGCA", "TT") is None
-    assert kernels.banded_identity("TTACGTACGTAA", "ACGTACGT", 2, 3) == 1.0
-    assert kernels.chains([(0, 10, 5), (6, 16, 5), (0, 100, 4)]) == [[0, 1], [2]]
     assert kernels.find_sites("ACG", "ACGTTCGN", 0) == [("+", 0, 0), ("-", 1, 0)]
     seqs = ["ACGTTCGN", "", "AC", "GACG", "NNACGTACG", "TTCGTT"]
     got = kernels.find_sites_in([("a", "ACG"), ("b", "TTC")], seqs, 1)

@@ -71,7 +71,8 @@ def seed_hits(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP
         for accessions, _, sequences in _stretches(batches):
             hits = table.hits(sequences)
             hits = search.pick(hits, search.informative(hits, most=most))
-            columns = [pa.array([accessions[i] for i in hits.contig.tolist()], pa.string()), pa.array([("+", "-")[x] for x in hits.strand.tolist()], pa.string()), pa.array(hits.place, pa.int32()), pa.array(hits.start, pa.int32())]
+            named = [pa.array(x, pa.string()).take(pa.array(n)) for x, n in ((accessions, hits.contig), (("+", "-"), hits.strand))]
+            columns = [*named, pa.array(hits.place, pa.int32()), pa.array(hits.start, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["accession", "strand", "place", "start"])
 
     return _named(contigs).mapInArrow(run, "accession string, strand string, place int, start int")

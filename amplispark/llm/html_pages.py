@@ -6,9 +6,11 @@ Every element that opens a region bears ``data-content="1"`` (main text) or
 
 from __future__ import annotations
 
+import itertools
 import random
 
 _SYLLABLES = "ba co de fi gu la me no pi ra so tu ve wi xa yo en ter is on al".split()
+_WORDS = ["".join(x) for n in (1, 2, 3) for x in itertools.product(_SYLLABLES, repeat=n)][::7]
 
 
 class _Writer:
@@ -16,10 +18,10 @@ class _Writer:
         self.rng = random.Random(seed)
 
     def word(self) -> str:
-        return "".join(self.rng.choice(_SYLLABLES) for _ in range(self.rng.randint(1, 4)))
+        return self.rng.choice(_WORDS)
 
     def words(self, low: int, high: int) -> str:
-        return " ".join(self.word() for _ in range(self.rng.randint(low, high)))
+        return " ".join(self.rng.choices(_WORDS, k=self.rng.randint(low, high)))
 
     def sentence(self) -> str:
         s = self.words(3, 14)
@@ -48,19 +50,38 @@ class _Writer:
             f'<header data-content="0" id="{self.pick("masthead", "header", "site-header")}"><p>{self.words(2, 6)}</p></header>',
         )
 
+    def named(self, words: str) -> str:
+        """A class or an id of one of the words, by itself or as part of a longer name."""
+        name = self.pick(*words.split())
+        name = self.pick(name, name, name, f"{name}-{self.word()}", f"{self.word()}-{name}", f"{name} {self.word()}")
+        return f'{self.pick("class", "class", "id")}="{name}"'
+
+    def boxed(self, inner: str) -> str:
+        """Sometimes in a box without a telling name."""
+        return f'<div{self.maybe(0.5, f" class={self.word()}")}>{inner}</div>' if self.rng.random() < 0.25 else inner
+
+    def text_of(self) -> str:
+        """What a region beside the main text may say, short or long."""
+        return self.pick(self.sentence(), f"<p>{self.sentence()}</p>", f"<p>{self.paragraph()}</p>", f"<p>{self.paragraph()}</p><p>{self.sentence()}</p>", f"<h3>{self.words(1, 4)}</h3><p>{self.paragraph()}</p>")
+
     def advert(self) -> str:
-        return f'<{(t := self.pick("div", "div", "section", "aside"))} data-content="0" class="{self.pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner")}">{self.maybe(0.5, f"<p>{self.paragraph()}</p>") or self.sentence()}</{t}>'
+        t = self.pick("div", "div", "div", "section", "aside", "p", "p")
+        inner = self.sentence() if t == "p" else self.boxed(self.text_of()) + self.maybe(0.3, f'<a href="/{self.word()}">{self.words(1, 3)}</a>')
+        return f'<{t} data-content="0" {self.named("ad ad ads advert advertisement adverts sponsored sponsor promo promotion banner commercial adsense")}>{inner}</{t}>'
 
     def notice(self) -> str:
-        return f'<div data-content="0" class="{self.pick("cookie", "notice", "cookie-banner", "alert", "newsletter", "subscribe", "consent", "popup", "paywall")}"><p>{self.paragraph()}</p>{self.maybe(0.5, f"<button>{self.word()}</button>")}</div>'
+        t = self.pick("div", "div", "div", "section", "p", "p")
+        inner = self.sentence() if t == "p" else self.boxed(self.text_of()) + self.maybe(0.4, f"<button>{self.word()}</button>")
+        return f'<{t} data-content="0" {self.named("cookie cookies notice notice cookie-banner alert newsletter subscribe subscription signup consent gdpr popup modal overlay paywall privacy disclaimer")}>{inner}</{t}>'
 
     def sidebar(self) -> str:
         t = self.pick("aside", "div")
-        return f'<{t} data-content="0" class="{self.pick("sidebar", "related", "widget", "share", "social", "tags", "recommended", "toc")}"><h3>{self.words(1, 3)}</h3><ul>{self.links(self.rng.randint(2, 6))}</ul>{self.maybe(0.4, f"<p>{self.sentence()}</p>")}</{t}>'
+        inner = f"<h3>{self.words(1, 3)}</h3><ul>{self.links(self.rng.randint(2, 6))}</ul>{self.maybe(0.4, f'<p>{self.sentence()}</p>')}"
+        return f'<{t} data-content="0" {self.named("sidebar sidebar related related widget share sharing social tags recommended toc more popular")}>{self.boxed(self.pick(inner, inner, self.text_of()))}</{t}>'
 
     def comments(self) -> str:
-        each = "".join(f'<{(t := self.pick("div", "li", "article"))} class="comment"><span class="author">{self.word()}</span><p>{self.paragraph()}</p></{t}>' for _ in range(self.rng.randint(1, 5)))
-        return f'<{(t := self.pick("section", "div", "ol"))} data-content="0" {self.pick("id", "class")}="{self.pick("comments", "comment-list", "discussion", "responses", "replies")}"><h2>{self.words(1, 2)}</h2>{each}</{t}>'
+        each = "".join(f'<{(t := self.pick("div", "li", "article"))} class="{self.pick("comment", "reply", "response", "comment-body")}"><span class="author">{self.word()}</span><p>{self.paragraph()}</p></{t}>' for _ in range(self.rng.randint(1, 5)))
+        return f'<{(t := self.pick("section", "div", "ol"))} data-content="0" {self.named("comments comments comment-list discussion responses replies")}><h2>{self.words(1, 2)}</h2>{each}</{t}>'
 
     def form(self) -> str:
         return f'<form data-content="0" action="/{self.word()}"><label>{self.words(1, 3)}</label><input name="q"><button>{self.word()}</button>{self.maybe(0.4, f"<p>{self.sentence()}</p>")}</form>'
@@ -76,8 +97,8 @@ class _Writer:
                 self.pick(*[f"<p>{self.paragraph()}</p>"] * 6, f"<p><b>{self.paragraph()}<br>", f"<h2>{self.words(1, 6)}</h2>", f"<p>{self.words(1, 2)}.</p>", f"<p>{self.sentence()} <a href='/x'>{self.words(1, 3)}</a>, {self.paragraph()}</p>",
                           f"<blockquote><p>{self.paragraph()}</p></blockquote>", f"<ul>{''.join(f'<li>{self.sentence()}</li>' for _ in range(3))}</ul>", f"<table><tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr></table>", f"<pre>{self.words(4, 9)}</pre>")
             )
-        inside = [self.advert, self.sidebar, self.notice, self.form]
-        for _ in range(self.rng.choice((0, 0, 0, 1))):
+        inside = [self.advert, self.sidebar, self.notice, self.form, self.comments]
+        for _ in range(self.rng.choice((0, 0, 1, 2))):
             out.insert(self.rng.randint(1, len(out)), self.rng.choice(inside)())
         return "".join(out) + self.maybe(0.15, self.comments())
 
@@ -96,5 +117,5 @@ class _Writer:
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{''.join(before)}<!-- {self.word()} -->{main}{''.join(after)}</body></html>"
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
     return [_Writer(seed * 100_000 + i).page() for i in range(n)]

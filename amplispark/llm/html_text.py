@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 The block elements of a page are the nodes; each is content or not. A node has a
-potential of its own (a logistic model of its tag, the words of its attributes,
-its text and links) and one with its parent. Sum-product messages, once upward
+potential of its own (a logistic model of its tag, the words of its attributes
+and of those of the nearest element around it that has any, the kind of section it
+is in, its text and links) and one with its parent. Sum-product messages, once upward
 and once downward, give the exact marginal of every node; the text of the nodes
 whose marginal is at least one half is the result. Both potentials are trained
 from labelled pages (``html_pages``), on the driver, once.
@@ -11,7 +12,7 @@ Inline elements belong to the block around them; scripts, styles, comments and
 controls have no text. Character references are decoded after the markup is cut.
 
 Defined cases: a null or empty page has no text; text outside of any element
-belongs to the root; unclosed and stray tags are tolerated (whatever a head cannot
+belongs to the root, so that a page without markup is judged as one block by its text; unclosed and stray tags are tolerated (whatever a head cannot
 hold ends it, and a block's start ends a control without an end tag), nesting of any depth
 and pages of any length are handled without recursion; repeated rows are read
 each by itself; an empty table gives an empty result; other columns are not read.
@@ -22,8 +23,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_P = BLOCKS - {"html", "body"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SECTIONS = frozenset("article main aside nav header footer form".split())
 LISTS = frozenset("ul ol dl table menu".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -66,21 +70,24 @@ def closed_controls(page: str) -> set[int]:
     """Where those silent elements start that have an end tag of their own, before the end of the element around them."""
     out: set[int] = set()
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # so that an end tag without a start is not looked for in the stack
     at = 0
     while m := _TOKEN.search(page, at):
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if m[1] or m[4]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if open_at is not None:
+            if opened[tag]:
+                open_at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 if tag in SILENT:
                     out.add(stack[open_at][1])
+                opened.subtract(t for t, _ in stack[open_at:])
                 del stack[open_at:]
         elif tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
         elif tag in BLOCKS or (tag in SILENT and not (m[3] or m[6] or "").endswith("/")):
             stack.append((tag, m.start()))
+            opened[tag] += 1
     return out
 
 
@@ -93,13 +100,19 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
     texts: list[tuple[int, int, str]] = []
     stack: list[tuple[str, int, int]] = [("root", 0, 0)]  # open elements with the node that their text belongs to, -1 in silent ones, and their place
     closed: set[int] | None = None  # looked up when a block first starts in a silent element
-    run, links, at = 0, 0, 0
+    opened: Counter[str] = Counter()
+    run, at = 0, 0
     page = page or ""
+
+    def shut(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if stack[-1][0] == "head" and page[at:end].strip():
-            stack.pop()
+            shut(len(stack) - 1)
         if end > at and stack[-1][1] >= 0:
             raw = page[at:end]
             if text := html.unescape(raw) if "&" in raw else raw:
@@ -107,7 +120,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 texts.append((n, run, text))
                 size = len(text.strip())
                 nodes[n].chars += size
-                nodes[n].link_chars += size if links else 0
+                nodes[n].link_chars += size if opened["a"] else 0
                 nodes[n].stops += text.count(".") + text.count(",")
         if not m:
             break
@@ -116,15 +129,14 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if not tag:
             continue
         if m[1] or m[4]:
-            open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if open_at:
-                links -= sum(x[0] == "a" for x in stack[open_at:])
+            if opened[tag]:
+                open_at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
                 if any(x[0] in BLOCKS for x in stack[open_at:]):
                     run += 1
-                del stack[open_at:]
+                shut(open_at)
             continue
         if stack[-1][0] == "head" and tag not in HEAD:
-            stack.pop()
+            shut(len(stack) - 1)
         if tag in VOID:
             if stack[-1][1] >= 0:
                 texts.append((stack[-1][1], run, " "))
@@ -137,15 +149,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
             closed = closed_controls(page) if closed is None else closed
             outer = next(i for i, x in enumerate(stack) if x[1] < 0)
             if not any(t in SILENT and place in closed for t, _, place in stack[outer:]):
-                links -= sum(x[0] == "a" for x in stack[outer:])
-                del stack[outer:]
-        if tag in ENDS_P:
-            closes = CLOSED_BY.get(tag, ())
+                shut(outer)
+        closes = CLOSED_BY.get(tag, ())
+        if tag in ENDS_P and (opened["p"] or any(opened[t] for t in closes)):
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i][0]
                 if t == "p" or t in closes:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
+                    shut(i)
                     if t == "p" and closes:
                         continue
                     if t != "td" and t != "th":
@@ -166,10 +176,9 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
             owner = len(nodes) - 1
         elif tag in SILENT:
             owner = -1
-        if tag == "a":
-            links += 1
         if not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS:
             stack.append((tag, owner, m.start()))
+            opened[tag] += 1
     return nodes, texts
 
 
@@ -186,12 +195,16 @@ def features(nodes: list[Node]) -> list[list[str]]:
         links[p] += links[i]
         stops[p] += stops[i]
     out = []
+    around: list[tuple[list[str], str]] = []  # for the nodes within one: the nearest names, the nearest section
     for i, n in enumerate(nodes):
         share = links[i] / chars[i] if chars[i] else 0.0
         parent = nodes[n.parent].tag if n.parent >= 0 else ""
+        names, section = around[n.parent] if n.parent >= 0 else ([], "")
+        around.append((list(dict.fromkeys(n.names)) or names, n.tag if n.tag in SECTIONS else section))
         out.append(
-            [f"tag={n.tag}", f"in={parent}", f"size={_level(chars[i], (0, 15, 60, 200, 800))}", f"links={_level(share, (0, 0.3, 0.7))}", f"stops={_level(stops[i], (0, 2, 6))}"]
-            + [f"name={x}" for x in n.names]
+            [f"tag={n.tag}", f"in={parent}", f"section={section}", f"size={_level(chars[i], (0, 15, 60, 200, 800))}", f"links={_level(share, (0, 0.3, 0.7))}", f"stops={_level(stops[i], (0, 2, 6))}"]
+            + [f"name={x}" for x in dict.fromkeys(n.names)]
+            + [f"within={x}" for x in names]
         )
     return out
 
@@ -242,29 +255,57 @@ def labels(nodes: list[Node]) -> list[int]:
     return [max(0, x) for x in out]
 
 
-def train(pages: list[str], steps: int = 300, rate: float = 0.3, decay: float = 1e-3) -> Model:
-    """Own potentials by logistic regression, divided by the share of content; pair potentials from the counted transitions."""
+def forest_marginals(parent: np.ndarray, levels: list[np.ndarray], own: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`marginals` of many trees at once, a level of depth at a time, and the summed probabilities of (parent, child) labels."""
+    up = np.stack([np.zeros(len(own)), own])
+    sent = np.zeros_like(up)
+    for at in reversed(levels[1:]):
+        sent[:, at] = np.logaddexp(pair[:, :1] + up[0, at], pair[:, 1:] + up[1, at])
+        for x in (0, 1):
+            np.add.at(up[x], parent[at], sent[x, at])
+    below, joint = up.copy(), np.zeros((2, 2))
+    for at in levels[1:]:
+        rest = up[:, parent[at]] - sent[:, at]
+        both = rest[:, None] + pair[:, :, None] + below[None, :, at]
+        both = np.exp(both - both.max(axis=(0, 1)))
+        joint += (both / both.sum(axis=(0, 1))).sum(axis=2)
+        up[:, at] += np.logaddexp(pair[0][:, None] + rest[0], pair[1][:, None] + rest[1])
+    return 1 / (1 + np.exp(np.clip(up[0] - up[1], -700, 700))), joint
+
+
+def train(pages: list[str], steps: int = 200, rate: float = 0.3, decay: float = 1e-7) -> Model:
+    """Own and pair potentials together, by the likelihood of the labels: observed less expected features, the latter by sum-product."""
     parsed = [parse(p)[0] for p in pages]
     named = [f for nodes in parsed for f in features(nodes)]
-    y = np.array([x for nodes in parsed for x in labels(nodes)], float)
+    y = np.array([x for nodes in parsed for x in labels(nodes)])
+    first = np.cumsum([0, *map(len, parsed)])
+    parent = np.array([max(0, n.parent) + a for nodes, a in zip(parsed, first[:-1].tolist(), strict=True) for n in nodes])
+    depth = np.zeros(len(y), np.int64)
+    for i, p in enumerate(parent.tolist()):
+        depth[i] = depth[p] + 1 if p != i else 0
+    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+    inner = np.flatnonzero(depth > 0)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[parent[inner]], y[inner]), 1)
     index = {f: k for k, f in enumerate(sorted({f for fs in named for f in fs}))}
     rows = np.repeat(np.arange(len(named)), [len(f) for f in named])
     cols = np.array([index[f] for fs in named for f in fs])
-    w, b, m, v = np.zeros(len(index)), 0.0, np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+    n = len(index)
+    w, m, v = (np.zeros(n + 5) for _ in range(3))
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols], len(named)) + b
-        e = (1 / (1 + np.exp(-z)) - y) / len(y)
-        g = np.append(np.bincount(cols, e[rows], len(w)) + decay * w / 10, e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    pair = np.full((2, 2), 0.5)
-    for nodes in parsed:
-        of = labels(nodes)
-        for n, x in zip(nodes[1:], of[1:], strict=True):
-            pair[of[n.parent], x] += 1
-    share = y.mean()
-    return Model(float(b - math.log(share / (1 - share))), {f: float(w[k]) for f, k in index.items()}, np.log(pair / pair.sum(axis=1, keepdims=True)).tolist())
+        own, pair = np.bincount(rows, w[cols], len(y)) + w[n], w[n + 1 :].reshape(2, 2)
+        p, joint = forest_marginals(parent, levels, own, pair)
+        e = (p - y) / len(y)
+        g = np.concatenate([np.bincount(cols, e[rows], n), [e.sum()], ((joint - seen) / len(y)).ravel()]) + decay * w / 10
+        m, v = 0.9 * m + 0.1 * g, 0.95 * v + 0.05 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.95**t)) + 1e-9)
+    return Model(float(w[n]), {f: float(w[k]) for f, k in index.items()}, w[n + 1 :].reshape(2, 2).tolist())
+
+
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of the generated pages."""
+    return train(labelled_pages())
 
 
 def main_text(page: str | None, model: Model) -> str:
@@ -283,7 +324,7 @@ def main_text(page: str | None, model: Model) -> str:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of (page_id, url, html)."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    sent = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -128,14 +128,48 @@ def test_held_out_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def binary(x):
+    return toxicity.Rows.of([np.flatnonzero(r) for r in x], np.arange(x.shape[1]))
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 6)) < 0.3
     y = x[:, 0] & x[:, 1]
-    w, b = toxicity.non_negative_pu(x[y][:150].astype(np.float32), x[150:].astype(np.float32), float(y.mean()))
+    w, b = toxicity.non_negative_pu(binary(x[y][:150]), binary(x[150:]), float(y.mean()))
     assert ((x @ w + b > 0) == y).mean() > 0.97
 
 
+def test_risk_and_gradient():
+    """One step's gradient against differences of the non-negative risk written out on dense rows."""
+    rng = np.random.default_rng(2)
+    p, u = rng.random((30, 4)) < 0.5, rng.random((50, 4)) < 0.3
+    w, b = toxicity.non_negative_pu(binary(p), binary(u), 0.2, steps=3000, decay=0.0)
+    loss = lambda t, x, y: np.logaddexp(0, (1 - 2 * y) * (x @ t[:-1] + t[-1])).mean()
+    risk = lambda t: 0.2 * loss(t, p, 1) + max(0.0, loss(t, u, 0) - 0.2 * loss(t, p, 0))
+    best = np.append(w, b)
+    assert all(risk(best) <= risk(best + d) + 1e-3 for d in rng.normal(size=(200, 5)) * 0.3)
+
+
+def test_words_are_counted_over_all_texts(spark):
+    texts = ["Bad words here", "bad, bad day", None, "", "a day here"] * 7
+    buckets = np.sort(np.array([toxicity.bucket_of(x) for x in ("bad", "day", "here", "never")]))
+    n, got = toxicity.document_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), buckets)
+    assert n == len(texts) and got.tolist() == [sum(int(k) in {toxicity.bucket_of(w) for w in toxicity.words_of(t)} for t in texts) for k in buckets]
+
+
+def test_toxicity_scores_against_the_model(spark):
+    """Scores of the query's operator against the classifiers applied to whole texts one by one; positives stay among the unlabelled."""
+    docs = [(i, f"plain text number {i} of some length " + ("vile slur here" if i % 5 == 0 else "nice word there")) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert {int(b) for b in model.buckets} == {toxicity.bucket_of(x) for x in ("vile", "slur", "here")}
+    for r in toxicity.score(df, model).collect():
+        words = {toxicity.bucket_of(x) for x in docs[r.doc_id][1].split()}
+        z = [sum(w for w, k in zip(ws, model.buckets, strict=True) if int(k) in words) + b for ws, b in zip(model.weights, model.bias, strict=True)]
+        assert r.score == pytest.approx(np.mean([1 / (1 + np.exp(-x)) for x in z])) and (r.score >= 0.5) == (r.doc_id % 5 == 0)
+
+
 def test_pages():
     model = html_text.train(html_pages.labelled_pages())
     wrong = total = 0

@@ -6,13 +6,13 @@ decides, down to single characters; a word unknown even there says nothing. A
 text's language has the highest sum.
 
 Fitting reads a bounded sample of the labelled rows (``docs_per_language``, by
-hash threshold) and keeps a bounded table (``words_per_language``); scoring reads
-every text whole.
+hash threshold) and learns every word of it; scoring reads every text whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 tie between languages goes to the first in alphabetical order; repeated rows are
-scored each by itself; without labelled rows every text is ``und``; an empty
-table gives an empty result; other columns are not read.
+scored each by itself; without labelled rows every text is ``und``; a row without
+doc_id is in no fold (``held_out`` is null), is never learned from and is judged
+like any other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amplispark.llm.common import table
@@ -38,25 +38,35 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SURE_AFTER = 25
 
 
+class Table:
+    """Strings with a row of log frequencies by language each."""
+
+    def __init__(self, rows: dict[str, int], counts: np.ndarray):
+        """Counts by language become smoothed log shares."""
+        self.rows = rows
+        totals, v = counts.sum(axis=0), max(1, len(counts))
+        self.logs = np.log((counts + 0.1) / (totals + 0.1 * v))
+
+
 @dataclass
 class Model:
-    """Log frequencies by language (columns of the rows) of words and of character n-grams, by n."""
+    """Log frequencies by language of words and of character n-grams, by n."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
+    words: Table | None = None
+    grams: dict[int, Table] = field(default_factory=dict)
 
-    def of(self, word: str) -> tuple[float, ...]:
+    def of(self, word: str) -> np.ndarray:
         """The scores of one word, by language."""
-        if (known := self.words.get(word)) is not None:
-            return known
+        if (k := self.words.rows.get(word)) is not None:
+            return self.words.logs[k]
         marked = f"^{word}$"
         for n in range(LONGEST, 0, -1):
-            known_n = self.grams.get(n, {})
-            rows = [r for g in grams(marked, n) if (r := known_n.get(g)) is not None]
+            known = self.grams[n]
+            rows = [k for g in grams(marked, n) if (k := known.rows.get(g)) is not None]
             if rows:
-                return tuple(sum(c) / len(rows) for c in zip(*rows, strict=True))
-        return (0.0,) * len(self.langs)
+                return known.logs[rows].mean(axis=0)
+        return np.zeros(len(self.langs))
 
 
 def grams(marked: str, n: int) -> list[str]:
@@ -66,28 +76,25 @@ def grams(marked: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _log_rows(counts: dict[str, list[float]], n_langs: int) -> dict[str, tuple[float, ...]]:
-    """Counts by language as smoothed log shares."""
-    totals = [sum(c[k] for c in counts.values()) for k in range(n_langs)]
-    v = max(1, len(counts))
-    return {w: tuple(math.log((c[k] + 0.1) / (totals[k] + 0.1 * v)) for k in range(n_langs)) for w, c in counts.items()}
-
-
 def model_of(counted: list[tuple[str, str, int]]) -> Model:
-    """A model of (lang, word, count) rows, a bounded table."""
+    """A model of (lang, word, count) rows of a bounded sample."""
     langs = sorted({x[0] for x in counted})
     at = {x: k for k, x in enumerate(langs)}
-    words: dict[str, list[float]] = {}
-    by_n: dict[int, dict[str, list[float]]] = {n: {} for n in range(1, LONGEST + 1)}
-    for lang, word, count in counted:
-        words.setdefault(word, [0.0] * len(langs))[at[lang]] += count
-    for word, c in words.items():
-        for n, known in by_n.items():
-            for g in grams(f"^{word}$", n):
-                row = known.setdefault(g, [0.0] * len(langs))
-                for k, x in enumerate(c):
-                    row[k] += x
-    return Model(langs, _log_rows(words, len(langs)), {n: _log_rows(c, len(langs)) for n, c in by_n.items()})
+    words: dict[str, int] = {}
+    place = [words.setdefault(word, len(words)) for _, word, _ in counted]
+    counts = np.zeros((len(words), len(langs)))
+    np.add.at(counts, (place, [at[lang] for lang, _, _ in counted]), [n for _, _, n in counted])
+    by_n = {}
+    for n in range(1, LONGEST + 1):
+        rows: dict[str, int] = {}
+        sizes, found = np.zeros(len(words), np.int64), []
+        for i, word in enumerate(words):
+            own = [rows.setdefault(g, len(rows)) for g in grams(f"^{word}$", n)]
+            sizes[i] = len(own)
+            found += own
+        owner, which = np.repeat(np.arange(len(words)), sizes), np.array(found, np.int64)
+        by_n[n] = Table(rows, np.stack([np.bincount(which, counts[owner, k], len(rows)) for k in range(len(langs))], axis=1))
+    return Model(langs, Table(words, counts), by_n)
 
 
 def train_fold(doc_id: Column) -> Column:
@@ -95,7 +102,7 @@ def train_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 3000, words_per_language: int = 15000) -> Model:
+def fit(labelled: DataFrame, docs_per_language: int = 1000) -> Model:
     """Learns from (doc_id, text, lang) rows; at most about ``docs_per_language`` of a language are read, by the hash of doc_id."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -105,10 +112,8 @@ def fit(labelled: DataFrame, docs_per_language: int = 3000, words_per_language:
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(scale, int(scale * docs_per_language / n) + 1))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limits[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counted.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= words_per_language)
-    return model_of([(r["lang"], r["word"], r["n"]) for r in kept.select("lang", "word", "n").collect()])
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
+    return model_of(sorted(zip(*(counted[c].to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 class _Rows(dict):
@@ -164,8 +169,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def language_stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a score of at least ``least``; their columns stay as they were.
 
-    The model learns from the training rows of ``docs`` itself.
+    The model learns from the training rows of ``docs`` itself, those with a
+    ``lang``; without any, every document is undetermined and goes, and without
+    that column there is an error. A text that is null or has no letter goes; a
+    row without doc_id is judged like any other; an empty table stays empty.
     """
+    if "lang" not in docs.columns:
+        raise ValueError("the language stage learns from a column lang")
     model = fit(docs.where(train_fold(F.col("doc_id"))).select("doc_id", "text", "lang"))
     held = docs.select(F.struct("*").alias("_row"), "text")
     judged = identify(held, model, id_col="_row")

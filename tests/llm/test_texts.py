@@ -108,7 +108,56 @@ def test_language(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert [got[i][0] for i in range(6)] == ["en", "de", "fr", "und", "und", "und"]
     assert all(0 <= s <= 1 for _, s in got.values()) and got[6][0] in LANGS
-    assert model.of("the") == model.words["the"] and model.of("holzhaus") != (0.0, 0.0, 0.0)
+    assert model.of("the").tolist() == model.words.logs[model.words.rows["the"]].tolist() and model.of("holzhaus").any()
+
+
+def plain_scores(word, counted, langs):
+    """A word's score in each language from (lang, word, count) rows, written out."""
+    def logs(of):
+        keys = {g for _, w, _ in counted for g in of(w)}
+        sums = {(lang, g): 0.0 for lang in langs for g in keys}
+        for lang, w, n in counted:
+            for g in of(w):
+                sums[lang, g] += n
+        total = {lang: sum(v for (x, _), v in sums.items() if x == lang) for lang in langs}
+        return keys, lambda g: [np.log((sums[lang, g] + 0.1) / (total[lang] + 0.1 * len(keys))) for lang in langs]
+
+    keys, of = logs(lambda w: [w])
+    if word in keys:
+        return of(word)
+    for n in range(5, 0, -1):
+        cut = lambda w, n=n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+        keys, of = logs(cut)
+        if rows := [of(g) for g in cut(word) if g in keys]:
+            return np.mean(rows, axis=0).tolist()
+    return [0.0] * len(langs)
+
+
+def test_language_against_plain_sums(spark):
+    docs = [(0, "the the house ends", "en"), (1, "das haus endet das", "de"), (2, "la maison, la fin", "fr"), (3, "The HOUSE again", "en"), (None, "ignored", None)]
+    counted = [("en", "the", 3), ("en", "house", 2), ("en", "ends", 1), ("en", "again", 1), ("de", "das", 2), ("de", "haus", 1), ("de", "endet", 1), ("fr", "la", 2), ("fr", "maison", 1), ("fr", "fin", 1)]
+    model, langs = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string")), ["de", "en", "fr"]
+    for word in ("the", "houses", "endlich", "zz", "q", "fin", "ain"):
+        assert np.allclose(model.of(word), plain_scores(word, counted, langs))
+    asked = [(k, t) for k, t in enumerate(["the houses again", "haus endlich!", "maisons fin fin", "q", "Das again das", None])] * 2
+    for r in langid.identify(spark.createDataFrame(asked, "doc_id int, text string"), model).collect():
+        words = re.findall("[a-z]+", (asked[r.doc_id][1] or "").lower())
+        sums = np.sum([plain_scores(w, counted, langs) for w in words], axis=0) if words else None
+        assert r.lang_pred == (langs[int(np.argmax(sums))] if words else "und")
+        if words:
+            z = np.exp((sums - sums.max()) / len(words) * min(len(words), 25))
+            assert r.score == pytest.approx(z.max() / z.sum())
+
+
+def test_language_stage(spark):
+    docs = [(n, f"{LANGS[lang]} {LANGS[lang]}", lang, n) for n, lang in enumerate(list(LANGS) * 20)]
+    odd = [(900, None, "en", 1), (901, "", "en", 2), (902, "12 34", None, 3), (None, LANGS["de"], None, 4)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string, score int")
+    kept = langid.language_stage(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d[0] for d in docs} | {None}
+    assert langid.language_stage(df.limit(0)).count() == 0 and langid.language_stage(df.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+    with pytest.raises(ValueError, match="lang"):
+        langid.language_stage(df.drop("lang"))
 
 
 def test_held_out_language(spark, sf):

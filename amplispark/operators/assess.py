@@ -59,21 +59,25 @@ def shown_years(years: DataFrame, lookback: int, run_year: int) -> DataFrame:
     return spine.join(years, "year", "left").select("year", F.coalesce("listed", F.lit(0)).alias("listed"))
 
 
-def budgeted(listing: DataFrame, done: DataFrame, budget: int) -> DataFrame:
-    """SRC-19, TW-07, ST-02: what a run processes of what the store lacks, newest year first.
+def newest_first(rows: DataFrame, when: str, budget: int) -> DataFrame:
+    """The ``budget`` newest rows by ``when`` (null is oldest), then by accession.
 
-    Whole years are counted first; only the year in which the budget runs out is
-    numbered row by row.
+    Rows are counted by ``when`` first; those of the one value in which the
+    budget runs out are ordered, up to what is left of it, and no others.
     """
-    missing = listing.join(done, "accession", "left_anti")
-    per = missing.groupBy("year").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    years = per.select("year", "n", before.alias("before"))  # a row a year
-    rows = missing.join(F.broadcast(years.where(F.col("before") < budget)), "year")
-    whole = rows.where(F.col("before") + F.col("n") <= budget)
-    last = rows.where(F.col("before") + F.col("n") > budget)
-    left = F.col("before") + F.row_number().over(Window.partitionBy("year").orderBy("accession"))
-    return whole.select("accession", "year").unionByName(last.withColumn("_p", left).where(F.col("_p") <= budget).select("accession", "year"))
+    order = Window.orderBy(F.desc_nulls_last(when)).rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(when).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))  # a row a year or day
+    cut = counts.where(F.col("upto") > budget).orderBy("upto").first()
+    if cut is None:
+        return rows
+    newer = F.col(when).isNotNull() if cut[when] is None else F.coalesce(F.col(when) > F.lit(cut[when]), F.lit(False))
+    at = rows.where(F.col(when).eqNullSafe(F.lit(cut[when]))).orderBy("accession").limit(budget - (cut["upto"] - cut["n"]))
+    return rows.where(newer).unionByName(at)
+
+
+def budgeted(listing: DataFrame, done: DataFrame, budget: int) -> DataFrame:
+    """SRC-19, TW-07, ST-02: what a run processes of what the store lacks, newest year first."""
+    return newest_first(listing.join(done, "accession", "left_anti"), "year", budget).select("accession", "year")
 
 
 def channel_results(calls: DataFrame) -> DataFrame:

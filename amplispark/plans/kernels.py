@@ -94,7 +94,7 @@ def _incremental(s, d):
     schema = s.read.parquet(f"{d}/orders.parquet").schema
     source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/orders.parquet*")
     rows = source.select(store.store_key(F.lit(1), F.lit("refs")).alias("key"), F.concat(F.lit("A"), F.pmod("o_custkey", F.lit(500)).cast("string")).alias("accession"), F.to_date("o_orderdate").alias("release_date"))
-    store.collect(rows, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    store.collect(rows, f"{at}/table", f"{at}/checkpoint")
     return s.read.parquet(f"{at}/table").groupBy("key").agg(F.count("*").alias("genomes"), F.countDistinct("accession").alias("distinct_genomes"))
 
 

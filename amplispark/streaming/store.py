@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from amplispark.operators.assess import newest_first
+
 #: ST-03: how often a genome may fail before it counts as unavailable.
 FAILURES = 2
 
@@ -37,25 +39,43 @@ def with_dates(store: DataFrame, dates: DataFrame) -> DataFrame:
     return store.join(late, "accession", "left").withColumn("collected", F.coalesce("_late", "collected")).drop("_late")
 
 
-def collect(source: DataFrame, path: str, checkpoint: str, budget: int | None = None) -> StreamingQuery:
-    """ST-01, ST-02: appends the genomes of a stream that the store at ``path`` lacks; of each batch at most ``budget``, newest first.
+def listen(source: DataFrame, listing: str, checkpoint: str) -> StreamingQuery:
+    """ST-01: appends what a stream lists to the table at ``listing``; whatever the budget of a run, nothing listed is lost.
 
-    Rows of a batch carry its number, so a batch that is run again writes the
-    same rows again and the store's last-wins rule drops the repeats.
+    A batch has a folder of its own, so one that is run again replaces its rows.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        done = _stored(batch.sparkSession, path)
-        fresh = batch.dropDuplicates(["key", "accession"])
-        if done is not None:
-            fresh = fresh.join(done.where(F.col("batch") != number).select("key", "accession").distinct(), ["key", "accession"], "left_anti")
-        if budget is not None:
-            fresh = fresh.orderBy(F.desc("release_date"), "accession").limit(budget)
-        fresh.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.dropDuplicates(["key", "accession"]).write.mode("overwrite").parquet(f"{listing}/batch={number}")
 
     return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def missing(spark: SparkSession, listing: str, path: str) -> DataFrame | None:
+    """ST-01: the listed genomes that the store at ``path`` lacks, each once; None where nothing was listed yet."""
+    listed, done = _stored(spark, listing), _stored(spark, path)
+    if listed is None:
+        return None
+    rows = listed.drop("batch").dropDuplicates(["key", "accession"])
+    return rows if done is None else rows.join(done.select("key", "accession"), ["key", "accession"], "left_anti")
+
+
+def collect(source: DataFrame, path: str, checkpoint: str, budget: int | None = None) -> None:
+    """ST-01, ST-02, SNK-07: one run: takes in what the stream lists, then appends to the store at ``path`` what it lacks, at most ``budget`` genomes, newest first.
+
+    The listing is kept beside the checkpoint, so the next run goes on with what
+    this one left, also if nothing new is listed. A run that was cut short left
+    either all of its genomes in the store or none.
+    """
+    listing = f"{checkpoint.rstrip('/')}-listing"
+    listen(source, listing, checkpoint).awaitTermination()
+    spark = source.sparkSession
+    fresh = missing(spark, listing, path)
+    if fresh is not None:
+        fresh = fresh if budget is None else newest_first(fresh, "release_date", budget)
+        fresh.write.mode("append").parquet(path)
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The store so far, or None before its first batch."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

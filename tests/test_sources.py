@@ -61,8 +61,28 @@ def test_store(spark, tmp_path):
     for n, rows in enumerate(([("k", "a", "2020"), ("k", "b", "2021")], [("k", "b", "2021"), ("k", "c", "2022")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        store.collect(source, str(tmp_path / "store"), str(tmp_path / "cp"), budget=2).awaitTermination()
+        store.collect(source, str(tmp_path / "store"), str(tmp_path / "cp"), budget=2)
         assert spark.read.parquet(str(tmp_path / "store")).count() == (2, 3)[n]
     dated = store.with_dates(spark.createDataFrame([("a", None), ("b", "2019")], "accession string, collected string"), spark.createDataFrame([("a", "2018", 1), ("a", "2017", 2)], "accession string, collected string, seq_no long"))
     assert {(r.accession, r.collected) for r in dated.collect()} == {("a", "2017"), ("b", "2019")}
     assert spark.range(1).select(F.length(store.store_key(F.lit(1)))).first()[0] == 64
+
+
+def test_a_budget_is_resumed(spark, tmp_path):
+    """Five genomes at two a run: newest first, and the runs after it take what the first left, though nothing new is listed."""
+    schema = "key string, accession string, release_date string"
+    rows = [("k", "a", "2020"), ("k", "b", "2021"), ("k", "c", "2021"), ("k", "d", "2022"), ("k", "e", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    at = [str(tmp_path / x) for x in ("store", "cp")]
+    seen = []
+    for _ in range(5):
+        store.collect(source, *at, budget=2)
+        seen.append(sorted(r.accession for r in spark.read.parquet(at[0]).collect()))
+    assert seen == [["b", "d"], ["a", "b", "c", "d"], *[["a", "b", "c", "d", "e"]] * 3]
+    spark.createDataFrame([("k", "a", "2020"), ("other", "a", "2020")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    store.collect(source, *at)
+    assert spark.read.parquet(at[0]).count() == 6
+    empty = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).where("key = 'none'")
+    store.collect(empty, str(tmp_path / "store2"), str(tmp_path / "cp2"), budget=1)
+    assert spark.read.parquet(str(tmp_path / "store2")).count() == 0

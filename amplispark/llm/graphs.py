@@ -22,7 +22,7 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     state = None
     while True:
         at = ws.spark.read.parquet(path)
-        new_state = at.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        new_state = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()  # 64 bits of every edge
         if new_state == state or not new_state[0]:
             break
         state = new_state

@@ -61,6 +61,7 @@ def test_many_near_copies(spark):
 
 def test_blocks_agree_with_one_block(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 8)
+    monkeypatch.setattr(dedup, "STAR", 5)
     test_many_near_copies(spark)
 
 
@@ -94,3 +95,20 @@ def test_stage_keeps_one_of_a_group(spark):
     docs = spark.createDataFrame([(3, "one two three four five six", 1), (2, "one two three four five six", 2), (9, "other words stand here alone now", 3), (9, "other words stand here alone now", 3), (None, "x", 4)], "doc_id long, text string, kept int")
     got = dedup.dedup_stage(docs).orderBy(F.col("doc_id").asc_nulls_first()).collect()
     assert [(r.doc_id, r.kept) for r in got] == [(None, 4), (2, 2), (9, 3)]
+
+
+def test_links_that_no_smallest_class_has(spark, monkeypatch):
+    """Where comparing with the smallest finds nothing, the blocks find all links; and of a hot bucket without links no text is sent."""
+    real = dedup.links_with_smallest
+    monkeypatch.setattr(dedup, "links_with_smallest", lambda *a: real(*a).where("a < 0"))
+    test_many_near_copies(spark)
+    rows = [(0, 0, n, n, 100, list(range(40)), bytes([n] * 240)) for n in range(30)]
+    assert dedup.wanted_rows(rows, 80) == []
+    assert dedup.wanted_rows(rows + [(0, 0, 99, 99, 100, list(range(40)), bytes([3] * 240))], 80) == [3, 30]
+
+
+def test_of_rows_that_share_an_id_the_same_one_stays(spark):
+    docs = [(1, "b c d e f", 1), (1, "a c d e f", 2), (1, None, 3), (2, "z y x w v", 4), (2, "z y x w v", 3)]
+    for order in (docs, docs[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, kept int").repartition(3)
+        assert sorted((r.doc_id, r.kept) for r in dedup.dedup_stage(df).collect()) == [(1, 3), (2, 3)]

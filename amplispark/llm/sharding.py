@@ -4,6 +4,10 @@ Each shard bids for each record with a hash of (key, shard); the best bid wins.
 Key and shard list alone decide, so another shard takes rows only into itself,
 and nothing moves between the old ones. Law of the result: ``key``.
 
+Equal rows are counted before anything is shuffled, and get their slots as one
+range that is dealt out in pieces, so that neither a key nor a group of copies
+gathers in a task.
+
 Defined cases: a null key is hashed as the empty string; rows of one key share a
 shard, repeated rows too, each with a slot of its own; a null text has size 1
 and the checksum of nothing; an empty table gives an empty result; other columns
@@ -19,6 +23,8 @@ from amplispark.llm.common import table
 
 #: Rows of one slot-numbering task, about; the hash prefix that deals them out grows with the count of rows.
 ROWS_PER_BUCKET = 50_000
+#: Equal rows that are written out together.
+PIECE = 1_000
 _BITS = 52
 
 
@@ -35,28 +41,22 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return (-best["minus"]).cast("int")
 
 
-def with_slots(rows: DataFrame, shard_col: str, order: list[str], n_rows: int | None = None) -> DataFrame:
-    """Adds ``slot``, gapless from 0 in each shard in the order of the MD5 of the key and then ``order``.
+def with_first_slots(groups: DataFrame, shard_col: str, n_col: str, order: list[str], n_rows: int) -> DataFrame:
+    """Adds ``first_slot`` to groups of rows: slots are gapless from 0 in each shard, in the order of ``_digest`` and then ``order``.
 
-    A shard's rows are dealt over buckets by a prefix of that digest, counted
+    A shard's groups are dealt over buckets by a prefix of that digest, counted
     there, and numbered bucket by bucket with the counts of earlier buckets
     added, so no task sees a whole shard.
     """
-    n = rows.count() if n_rows is None else n_rows
     digits = 1
-    while 16**digits * ROWS_PER_BUCKET < n and digits < 6:
+    while 16**digits * ROWS_PER_BUCKET < n_rows and digits < 6:
         digits += 1
-    rows = rows.withColumn("_b", F.substring("_digest", 1, digits))
-    counts = rows.groupBy(shard_col, "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(shard_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(shard_col, "_b", before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy(shard_col, "_b").orderBy("_digest", *order))
-    return (
-        rows.withColumn("_r", own)
-        .join(starts, [shard_col, "_b"])
-        .withColumn("slot", (F.col("_start") + F.col("_r") - 1).cast("long"))
-        .drop("_b", "_n", "_r", "_start")
-    )
+    groups = groups.withColumn("_b", F.substring("_digest", 1, digits))
+    before = lambda n, by, *of: F.coalesce(F.sum(n).over(Window.partitionBy(*of).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = groups.groupBy(shard_col, "_b").agg(F.sum(n_col).alias("_n"))
+    starts = counts.select(shard_col, "_b", before("_n", ["_b"], shard_col).alias("_start"))
+    own = groups.withColumn("_own", before(n_col, ["_digest", *order], shard_col, "_b"))
+    return own.join(starts, [shard_col, "_b"]).withColumn("first_slot", F.col("_start") + F.col("_own")).drop("_b", "_own", "_start")
 
 
 def shard_records(docs: DataFrame, weights: list[float] | None = None, key_col: str = "doc_id", text_col: str = "text", more: float = 1.0) -> DataFrame:
@@ -70,16 +70,15 @@ def shard_records(docs: DataFrame, weights: list[float] | None = None, key_col:
         raise ValueError("weights must be positive")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(
-        F.col(key_col).alias("doc_id"),
-        (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        shard_of(key, weights).alias("shard"),
-        shard_of(key, [*weights, more]).alias("grown_shard"),
-        F.md5(key.cast("binary")).alias("_digest"),
-    )
-    slotted = with_slots(rows, "shard", ["size", "text_crc32"], docs.count())
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = docs.select(F.col(key_col).alias("doc_id"), key.alias("_key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    groups = rows.groupBy("doc_id", "_key", "size", "text_crc32").agg(F.count("*").alias("_n")).select(
+        "doc_id", "size", "text_crc32", "_n", shard_of(F.col("_key"), weights).alias("shard"), shard_of(F.col("_key"), [*weights, more]).alias("grown_shard"),
+        F.md5(F.concat_ws("|", "_key", "size", "text_crc32").cast("binary")).alias("_digest"),
+    )
+    slotted = with_first_slots(groups, "shard", "_n", ["doc_id", "size", "text_crc32"], docs.count())
+    pieces = slotted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PIECE).cast("long")))).repartition("_digest", "_at")
+    slot = F.explode(F.sequence(F.col("first_slot") + F.col("_at"), F.col("first_slot") + F.least(F.col("_at") + PIECE, F.col("_n")) - 1))
+    return pieces.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -67,6 +69,30 @@ def test_sharding(spark, sf):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def winning(key, weights):
+    """The shard with the best bid, each bid written out."""
+    unit = lambda k: (int(hashlib.md5(f"{key}|{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return max(range(len(weights)), key=lambda k: (math.log(unit(k)) / weights[k], -k))
+
+
+def test_shards_against_every_bid(spark, sf):
+    for r in sharding.op9_rendezvous_sharding(spark, sf).collect():
+        assert (r.shard, r.grown_shard) == (winning(r.doc_id, [1.0] * 16), winning(r.doc_id, [1.0] * 17))
+    docs = spark.createDataFrame([(k, "x" * k) for k in range(50)], "doc_id long, text string")
+    assert all(r.shard == winning(r.doc_id, [0.5, 3.0, 1.0]) for r in sharding.shard_records(docs, weights=[0.5, 3.0, 1.0]).collect())
+
+
+def test_slots_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 20)
+    docs = [(None, None)] * 30 + [(5, "same")] * 45 + [(5, f"other {k}") for k in range(25)] + [(k, "t") for k in range(40)]
+    rows = sharding.shard_records(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+    assert {r.shard for r in rows if r.doc_id is None} == {winning("", [1.0] * 16)}
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_weighted_shards_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 50)
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(5, "x")] * 30 + [(None, None)], "doc_id long, text string"))

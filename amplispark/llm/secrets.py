@@ -92,20 +92,20 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     earlier scans (same columns) only unseen pairs are scanned, and blobs that
     ``versions`` lack stay as they are.
     """
-    texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    blobs = texts.select(blob_of(F.col("_text")).alias("blob"), "_text").groupBy("blob").agg(F.first("_text").alias("_text"))
-    empty = F.lit(None).cast(f"map<string,array<{_SPAN}>>")
+    texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("blob", blob_of(F.col("_text")))
+    keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("_known", empty)
-    else:
-        blobs = blobs.join(ledger.select("blob", F.col("scanned").alias("_known")), "blob", "full")
-    known = lambda r: F.element_at(F.col("_known"), F.lit(r.key))
-    found = [F.coalesce(known(r), spans(F.col("_text"), r)) if ledger is not None else spans(F.col("_text"), r) for r in rules]
-    fresh = F.map_from_arrays(F.array(*[F.lit(r.key) for r in rules]), F.array(*found))
-    if ledger is None:
-        return blobs.select("blob", fresh.alias("scanned"))
-    own = F.map_filter(F.coalesce("_known", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<array<{_SPAN}>>"))), lambda k, _: ~k.isin([r.key for r in rules]))
-    return blobs.select("blob", F.when(F.col("_text").isNull(), F.col("_known")).otherwise(F.map_concat(own, fresh)).alias("scanned"))
+        blobs = texts.groupBy("blob").agg(F.first("_text").alias("_text"))
+        return blobs.select("blob", F.map_from_arrays(keys, F.array(*[spans(F.col("_text"), r) for r in rules])).alias("scanned"))
+    # Digests first: a text is only sent on where a rule has not read it, and what the ledger knows of a blob is kept.
+    known = F.coalesce("scanned", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<array<{_SPAN}>>")))
+    held = texts.select("blob").distinct().join(ledger.select("blob", "scanned"), "blob", "left").select("blob", known.alias("_known"))
+    unseen = held.where(F.size(F.array_except(keys, F.map_keys("_known"))) > 0)
+    blobs = texts.join(unseen, "blob").groupBy("blob").agg(F.first("_text").alias("_text"), F.first("_known").alias("_known"))
+    found = [F.coalesce(F.element_at("_known", F.lit(r.key)), spans(F.col("_text"), r)) for r in rules]
+    others = F.map_filter("_known", lambda k, _: ~k.isin([r.key for r in rules]))
+    scanned = blobs.select("blob", F.map_concat(others, F.map_from_arrays(keys, F.array(*found))).alias("scanned"))
+    return scanned.unionByName(ledger.select("blob", "scanned").join(unseen.select("blob"), "blob", "left_anti"))
 
 
 def findings(scanned: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -4,6 +4,9 @@ Every rule compares two measures of a document, ``a * left > b * right`` in
 whole numbers, so a verdict never depends on rounding. All measures are built-in
 expressions; no user function runs.
 
+The stop words are those of twelve languages; a text in another one is rejected
+by ``no_stop_words`` unless ``rules`` leaves that rule out.
+
 Defined cases: a null or empty text has no words and fails the base rule; ties
 on a threshold are kept; repeated rows are judged each by itself; an empty table
 gives an empty result; other columns of the input are not read, whatever their
@@ -19,12 +22,14 @@ from pyspark.sql import functions as F
 
 from amplispark.llm.common import SPACES, table
 
-# Frequent function words of English, German, French and Spanish.
+# Frequent function words of English, German, French, Spanish, then Italian, Portuguese, Dutch, Swedish, Danish, Polish, Russian and Turkish.
 STOP_WORDS = (
     "the of and to a in is that it was for with as on be at by this are from or an "
     "der die und in den von zu das mit sich des auf ist im ein die eine als auch an werden aus er "
     "de la le et les des en un du une que est pour qui dans par sur au plus pas ne avec ce il "
-    "el y los se del las con no su para al lo como más o pero sus le ya este entre"
+    "el y los se del las con no su para al lo como más o pero sus le ya este entre "
+    "il che di non per sono della e do em um não uma os het een van dat niet op te voor "
+    "och att det som på är inte og til ikke af i w na z się że nie jest и в не на что с по как это ve bir bu için ile"
 ).split()
 SYMBOLS = "#*$%&|<>"
 

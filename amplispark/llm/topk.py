@@ -11,9 +11,10 @@ partition, and its local scores are the inner products over that slice.
 3. What was collected is resolved to whole scores, and the best k of each
    partition meet in the answer.
 
-Queries are taken in passes of about ``per_pass``, the only thing that is
-collected and sent out; a pass reads the vectors twice and shuffles k rows for
-each query and partition.
+Queries are numbered and dealt by number, whatever their ids, into passes of
+about ``per_pass``, the only thing that is collected and sent out; a pass reads
+the vectors twice, shuffles k rows for each query and partition, and is written
+before the next begins.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without an id, take no part; scores are of vectors with as many components
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amplispark.llm.common import table
+from amplispark.llm.common import Workspace, table
 
 SCALE = 1024
 _ROWS = 2048
@@ -153,10 +154,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, slices: int = 2, per_pass:
     asked = vectors.where(is_query)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     asked = asked.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    ws = Workspace(spark, "top-k")
+    asked = ws.save(asked.withColumn("_n", F.monotonically_increasing_id()))
     passes = max(1, math.ceil(asked.count() / per_pass))
-    out = None
+    answers = []
     for n in range(passes):
-        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).toArrow().combine_chunks()
+        got = asked.where(F.pmod(F.xxhash64("_n"), F.lit(passes)) == n).toArrow().combine_chunks()
         queries, numbered, first = {}, [], 0
         column = lambda c: got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type)  # noqa: E731, B023
         for d, (ids, x) in whole_vectors(column("vec_id"), column("embedding")).items():
@@ -168,8 +171,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, slices: int = 2, per_pass:
         found = _ranked(_phase(rows, queries, cutoffs, k, slices), k)
         names = spark.createDataFrame(numbered, "query long, query_id long")
         answer = found.join(F.broadcast(names), "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        out = answer if out is None else out.unionByName(answer)
-    return out
+        answers.append(ws.write(answer))
+    return spark.read.schema(answer.schema).parquet(*answers)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

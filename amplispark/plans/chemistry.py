@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from amplispark.functions import thermo
 from amplispark.operators import chemistry, oligo_qc
 from amplispark.plans.catalogue import register
-from amplispark.plans.sequences import _EIGHTS, _OLIGO_ROWS, _QC_SQL, DEGENERATE, _table
+from amplispark.plans.sequences import _EIGHTS, _OLIGO_ROWS, _QC_SQL, _TM, DEGENERATE, _table
 from amplispark.plans.synthetic import duck, view
 
-_VARIANTS = _QC_SQL[: _QC_SQL.index("), c AS (")] + ")"
+_VARIANTS = _QC_SQL[: _QC_SQL.index("), t AS (")] + ")"
 _SUM = lambda t, x: f"list_sum(list_transform(generate_series(1, length({x}) - 1), lambda i: ({_table(t)})[substr({x}, i, 2)]))"
 _WORST = "['INFO', 'PASS', 'WARN', 'FAIL'][max(r)]"
 
@@ -32,10 +32,6 @@ UNION ALL SELECT oligo, role, 'g_minus_c', CAST(length(regexp_replace(v, '[^G]',
   CASE WHEN length(regexp_replace(v, '[^G]', '', 'g')) > length(regexp_replace(v, '[^C]', '', 'g')) THEN 3 ELSE 2 END FROM v WHERE role = 'probe')
 SELECT oligo, role, "check", {_WORST} AS status, round(min(value), 6) AS low, round(max(value), 6) AS high, count(*) AS n_variants FROM c GROUP BY 1, 2, 3""",
 )
-_TM = f"""t AS (SELECT *, reverse(translate(v, 'ACGT', 'TGCA')) = v AS own, CASE WHEN role = 'probe' THEN 200.0 ELSE 400.0 END AS nm FROM e WHERE rest = ''), h AS (
-SELECT *, {_SUM(thermo.DH, "v")} + CASE WHEN left(v, 1) IN ('A', 'T') THEN 2.3 ELSE 0.1 END + CASE WHEN right(v, 1) IN ('A', 'T') THEN 2.3 ELSE 0.1 END AS dh,
-  {_SUM(thermo.DS, "v")} + CASE WHEN left(v, 1) IN ('A', 'T') THEN 4.1 ELSE -2.8 END + CASE WHEN right(v, 1) IN ('A', 'T') THEN 4.1 ELSE -2.8 END AS ds FROM t), m AS (
-SELECT oligo, role, 1000.0 * dh / (ds + CASE WHEN own THEN -1.4 ELSE 0 END + 0.368 * (length(v) - 1) * ln((50 + 120.0 * sqrt(3.0 - 0.8)) / 1000.0) + 1.987 * ln(CASE WHEN own THEN nm / 1e9 ELSE nm / 4e9 END)) - 273.15 AS tm FROM h)"""
 register(
     "qc_melting",
     lambda s, d: _worst(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)).where(F.col("check") == "tm")),

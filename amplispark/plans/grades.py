@@ -64,8 +64,8 @@ register(
     "SELECT l_orderkey AS k, l_linenumber AS n, (greatest(f, r) >= 3 AND least(f, r) >= 2) OR (greatest(f, r) >= 4 AND least(f, r) >= 1) AS fails FROM (SELECT *, CAST(l_quantity AS INT) % 6 AS f, l_partkey % 6 AS r FROM lineitem)",
 )
 
-#: One laboratory result for every third site of the graded primers.
-EVIDENCE = f"SELECT DISTINCT s AS site, CASE WHEN length(replace(s, 'A', '')) % 2 = 0 THEN 'detected' ELSE 'not_detected' END AS observed FROM ({PRIMERS}) t WHERE k % 3 = 0"
+#: A laboratory result for two thirds of the sites of the graded primers, by how many A they have.
+EVIDENCE = f"SELECT DISTINCT s AS site, CASE length(replace(s, 'A', '')) % 3 WHEN 0 THEN 'detected' WHEN 1 THEN 'not_detected' END AS observed FROM ({PRIMERS}) t"
 
 
 def _with_evidence(spark: SparkSession, sf: str) -> DataFrame:

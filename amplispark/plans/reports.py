@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import assess, reports, specificity
-from amplispark.plans.catalogue import register
+from amplispark.plans.catalogue import both, register
 from amplispark.plans.grades import EVIDENCE, PRIMERS
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, _PAIRS
 from amplispark.plans.sequences import DEGENERATE
@@ -18,17 +18,9 @@ register(
     f"""SELECT k, coalesce(array_to_string(list_transform(list_filter(generate_series(1, 20), lambda i: substr(q, i, 1) <> substr(s, i, 1)), lambda i: '-' || (21 - i) || ' ' || substr(q, i, 1) || '-' || translate(substr(s, i, 1), 'ACGT', 'TGCA')), ', '), '') AS changes FROM {duck(PRIMERS)}""",
 )
 _TIER_LIST = "SELECT CASE WHEN n_nationkey < 22 THEN 'near' ELSE 'background' END AS tier, CAST(n_nationkey AS BIGINT) AS taxid FROM {nation}"
-_OLIGO_LIST = f"SELECT 'o' || CAST(k AS {{STR}}) AS oligo, sequence FROM ({DEGENERATE}) t WHERE k <= 60"
-register(
-    "planned_searches",
-    lambda s, d: reports.planned_searches(view(s, d, _OLIGO_LIST), view(s, d, _TIER_LIST)).groupBy("tier", "chunk", "term").agg(F.count("*").alias("searches"), F.countDistinct("key").alias("keys"), F.countDistinct("label").alias("labels")),
-    f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY taxid) - 1) // 20 AS chunk FROM {duck(_TIER_LIST)}), c AS (SELECT tier, chunk, string_agg('txid' || taxid || '[ORGN]', ' OR ' ORDER BY taxid) AS term FROM t GROUP BY 1, 2),
-n AS (SELECT CAST(sum(list_product(list_transform(regexp_extract_all(sequence, '[^ACGT]'), lambda c: CASE WHEN c = 'N' THEN 4 WHEN c IN ('B', 'D', 'H', 'V') THEN 3 ELSE 2 END))) AS BIGINT) AS n FROM {duck(_OLIGO_LIST)})
-SELECT tier, chunk, term, n AS searches, n AS keys, n AS labels FROM c, n""",
-)
 _ALL_OLIGOS = f"SELECT 'o' || CAST(k AS {{STR}}) AS oligo, sequence FROM ({DEGENERATE}) t"
-register(
-    "planned_searches_whole",
+both(
+    "planned_searches",
     lambda s, d: reports.planned_searches(view(s, d, _ALL_OLIGOS), view(s, d, _TIER_LIST)).groupBy("tier", "chunk", "term").agg(F.count("*").alias("searches"), F.countDistinct("key").alias("keys"), F.countDistinct("label").alias("labels")),
     f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY taxid) - 1) // 20 AS chunk FROM {duck(_TIER_LIST)}), c AS (SELECT tier, chunk, string_agg('txid' || taxid || '[ORGN]', ' OR ' ORDER BY taxid) AS term FROM t GROUP BY 1, 2),
 n AS (SELECT CAST(sum(list_product(list_transform(regexp_extract_all(sequence, '[^ACGT]'), lambda c: CASE WHEN c = 'N' THEN 4 WHEN c IN ('B', 'D', 'H', 'V') THEN 3 ELSE 2 END))) AS BIGINT) AS n FROM {duck(_ALL_OLIGOS)})
@@ -102,15 +94,8 @@ register(
     f"""SELECT count(*) AS judged, round(100.0 * count(*) FILTER (outcome = 'detectable') / count(*), 6) AS percent, round(100.0 * count(*) FILTER (outcome = 'detectable' AND NOT bulge) / count(*), 6) AS without_bulges,
 count(*) FILTER (f >= 2 AND r >= 2) AS two_and_two, count(*) FILTER (f = 0 AND r >= 3) AS reverse_only FROM {duck(_ALT)} WHERE outcome <> 'undetermined'""",
 )
-register(
+both(
     "tier_overview",
-    lambda s, d: reports.tier_overview(view(s, d, SITES), specificity.products(view(s, d, SITES))),
-    f"""WITH {_PAIRS}, c AS (SELECT tier, count(*) AS sites, min(mismatches + gaps) AS closest FROM s WHERE role <> 'probe' GROUP BY 1),
-m AS (SELECT tier, count(*) AS products, count(DISTINCT accession) AS records, count(probe_id) AS detected FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1)
-SELECT coalesce(c.tier, m.tier) AS tier, coalesce(sites, 0) AS sites, coalesce(closest, 0) AS closest, coalesce(products, 0) AS products, coalesce(records, 0) AS records, coalesce(detected, 0) AS detected FROM c FULL JOIN m ON c.tier = m.tier""",
-)
-register(
-    "tier_overview_whole",
     lambda s, d: reports.tier_overview(view(s, d, SITES), specificity.products(view(s, d, SITES), per_tier=None)),
     f"""WITH {_ALL_PAIRS}, c AS (SELECT tier, count(*) AS sites, min(mismatches + gaps) AS closest FROM s WHERE role <> 'probe' GROUP BY 1),
 m AS (SELECT tier, count(*) AS products, count(DISTINCT accession) AS records, count(probe_id) AS detected FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1)
@@ -133,11 +118,11 @@ register(
     f"""WITH n AS (SELECT tier, inside, organism, count(*) AS n FROM {duck(_DESCRIBED)} GROUP BY 1, 2, 3), t AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY n DESC, organism) AS r FROM n WHERE NOT inside)
 SELECT n.tier, CAST(coalesce(sum(n) FILTER (inside), 0) AS BIGINT) AS inside, CAST(coalesce(sum(n) FILTER (NOT inside), 0) AS BIGINT) AS outside, (SELECT string_agg(organism, ', ' ORDER BY r) FROM t WHERE r <= 5 AND t.tier = n.tier) AS others FROM n GROUP BY 1""",
 )
-_EVIDENCE = f"SELECT 'forward' AS oligo, site, observed FROM ({EVIDENCE}) e"
+_EVIDENCE = f"SELECT 'forward' AS oligo, site, observed FROM ({EVIDENCE}) e WHERE observed IS NOT NULL"
 register(
     "evidence_use",
-    lambda s, d: reports.evidence_use(view(s, d, PRIMERS).where("k % 2 = 0").select(F.lit("forward").alias("oligo"), F.col("s").alias("site")), view(s, d, _EVIDENCE)),
-    f"SELECT 'forward' AS oligo, e.site, observed, (SELECT count(*) FROM {duck(PRIMERS)} p WHERE p.s = e.site AND k % 2 = 0) AS n FROM {duck(EVIDENCE)} e",
+    lambda s, d: reports.evidence_use(view(s, d, PRIMERS).select(F.lit("forward").alias("oligo"), F.col("s").alias("site")), view(s, d, _EVIDENCE)),
+    f"SELECT 'forward' AS oligo, e.site, observed, (SELECT count(*) FROM {duck(PRIMERS)} p WHERE p.s = e.site) AS n FROM {duck(EVIDENCE)} e WHERE observed IS NOT NULL",
 )
 register(
     "merged_patterns",

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import specificity, taxonomy
-from amplispark.plans.catalogue import register
+from amplispark.plans.catalogue import both, register
 from amplispark.plans.synthetic import CONTIGS, HSPS, SITES, TAXA, duck, view
 from amplispark.sources import search_hits
 
 _H, _S, _T = duck(HSPS), duck(SITES), duck(TAXA)
 _TIER_TAXA = "SELECT 'near' AS tier, CAST(10 AS BIGINT) AS taxid UNION ALL SELECT 'near', CAST(105 AS BIGINT) UNION ALL SELECT 'background', CAST(12 AS BIGINT) UNION ALL SELECT 'other', CAST(1 AS BIGINT) FROM {region} WHERE r_regionkey = 0"
-_LISTED = "SELECT CASE l_returnflag WHEN 'A' THEN 'near' WHEN 'N' THEN 'background' ELSE 'other' END AS tier, CAST(CASE l_linenumber % 3 WHEN 0 THEN 10 + l_partkey % 5 WHEN 1 THEN 100 + l_partkey % 25 ELSE 1000 + l_suppkey END AS BIGINT) AS taxid FROM {lineitem} WHERE l_quantity < 6"
+_LISTED = "SELECT CASE l_returnflag WHEN 'A' THEN 'near' WHEN 'N' THEN 'background' ELSE 'other' END AS tier, CAST(CASE l_linenumber % 3 WHEN 0 THEN 10 + l_partkey % 5 WHEN 1 THEN 100 + l_partkey % 25 ELSE 1000 + l_suppkey END AS BIGINT) AS taxid FROM {lineitem}"
 CLOSURE = f"""t AS (SELECT * FROM {_T}), up AS (
   SELECT taxid, taxid AS ancestor, 0 AS depth FROM t UNION ALL SELECT u.taxid, t.parent, u.depth + 1 FROM up u JOIN t ON u.ancestor = t.taxid WHERE t.parent IS NOT NULL)"""
 
@@ -91,13 +91,8 @@ register(
     lambda s, d: specificity.products(view(s, d, SITES)),
     f'WITH {_PAIRS} SELECT c.tier, c.accession, c.left_id, c.right_id, left_role, right_role, start, "end", length, probe_id FROM cut c LEFT JOIN best b USING (left_id, right_id)',
 )
-register(
+both(
     "product_groups",
-    lambda s, d: specificity.product_patterns(specificity.products(view(s, d, SITES))),
-    f"WITH {_PAIRS} SELECT tier, left_role, right_role, probe_id IS NOT NULL AS detected, count(*) AS n, count(DISTINCT accession) AS records, min(length) AS shortest FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1, 2, 3, 4",
-)
-register(
-    "product_groups_whole",
     lambda s, d: specificity.product_patterns(specificity.products(view(s, d, SITES), per_tier=None)),
     f"WITH {_ALL_PAIRS} SELECT tier, left_role, right_role, probe_id IS NOT NULL AS detected, count(*) AS n, count(DISTINCT accession) AS records, min(length) AS shortest FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1, 2, 3, 4",
 )
@@ -138,8 +133,8 @@ register(
 SELECT tier, count(*) FILTER (below OR NOT known) AS inside, count(*) FILTER (NOT below AND known) AS set_aside, count(*) FILTER (NOT known) AS not_checkable FROM x GROUP BY 1""",
 )
 _ASKED = "SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN 'Supplier#' || CAST(p_partkey % 30 AS {STR}) WHEN 1 THEN substr(p_type, 1, 5) ELSE p_brand END AS name FROM {part}"
-_NAMES = "SELECT substr(p_type, 1, 5) AS name, CAST(p_size AS BIGINT) AS taxid FROM {part} WHERE p_partkey % 7 < 4"
-_SYN = "SELECT p_brand AS name, CAST(p_partkey AS BIGINT) AS taxid FROM {part} WHERE p_partkey < 20"
+_NAMES = "SELECT CASE WHEN p_partkey % 7 < 4 THEN substr(p_type, 1, 5) ELSE p_type END AS name, CAST(p_size AS BIGINT) AS taxid FROM {part}"
+_SYN = "SELECT p_brand AS name, CASE WHEN right(p_brand, 1) IN ('1', '3') THEN CAST(5000 AS BIGINT) ELSE CAST(p_partkey AS BIGINT) END AS taxid FROM {part}"
 register(
     "name_resolution",
     lambda s, d: taxonomy.resolve_names(view(s, d, _ASKED), view(s, d, _NAMES), view(s, d, _SYN)),

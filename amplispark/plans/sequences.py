@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from amplispark.functions import seq, thermo
 from amplispark.operators import oligo_qc
-from amplispark.plans.catalogue import register
+from amplispark.plans.catalogue import both, register
 from amplispark.plans.synthetic import CONTIGS, OLIGOS, dna, duck, view
 
 PARTS = f"SELECT CAST(p_partkey AS BIGINT) AS k, {dna('p_partkey')} AS d, p_name, p_type FROM {{part}}"
@@ -114,58 +114,56 @@ _OLIGO_ROWS = f"SELECT CAST(k AS {{STR}}) AS oligo, role, sequence FROM ({DEGENE
 
 
 def _checks(s, d):
-    return oligo_qc.worst_checks(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)))
+    checks = oligo_qc.worst_checks(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)))
+    return checks.withColumns({c: F.round(c, 6) for c in ("low", "high", "worst_value")})
 
 
+_sum = lambda t, x: f"list_sum(list_transform(generate_series(1, length({x}) - 1), lambda i: ({_table(t)})[substr({x}, i, 2)]))"
+#: CTEs t, h and m: the melting temperature of every variant in e.
+_TM = f"""t AS (SELECT *, reverse(translate(v, 'ACGT', 'TGCA')) = v AS own, CASE WHEN role = 'probe' THEN 200.0 ELSE 400.0 END AS nm FROM e WHERE rest = ''), h AS (
+SELECT *, {_sum(thermo.DH, "v")} + CASE WHEN left(v, 1) IN ('A', 'T') THEN 2.3 ELSE 0.1 END + CASE WHEN right(v, 1) IN ('A', 'T') THEN 2.3 ELSE 0.1 END AS dh,
+  {_sum(thermo.DS, "v")} + CASE WHEN left(v, 1) IN ('A', 'T') THEN 4.1 ELSE -2.8 END + CASE WHEN right(v, 1) IN ('A', 'T') THEN 4.1 ELSE -2.8 END AS ds FROM t), m AS (
+SELECT oligo, role, 1000.0 * dh / (ds + CASE WHEN own THEN -1.4 ELSE 0 END + 0.368 * (length(v) - 1) * ln((50 + 120.0 * sqrt(3.0 - 0.8)) / 1000.0) + 1.987 * ln(CASE WHEN own THEN nm / 1e9 ELSE nm / 4e9 END)) - 273.15 AS tm FROM h)"""
+
 _QC_SQL = f"""WITH RECURSIVE o AS (SELECT CAST(k AS VARCHAR) AS oligo, role, sequence FROM {duck(DEGENERATE)}), codes AS (SELECT * FROM {_CODE_SQL}),
 e AS (
   SELECT oligo, role, sequence AS rest, '' AS v FROM o
   UNION ALL
   SELECT oligo, role, substr(rest, 2), v || substr(b, i, 1)
   FROM (SELECT oligo, role, rest, v, b, unnest(generate_series(1, length(b))) AS i FROM e JOIN codes ON c = substr(rest, 1, 1) WHERE rest <> '')
-), c AS (
+), {_TM}, c AS (
   SELECT oligo, role, unnest(['length', 'gc', 'run', 'g_run']) AS "check",
     unnest([CAST(length(v) AS DOUBLE), 100.0 * length(regexp_replace(v, '[^GC]', '', 'g')) / length(v),
       CAST(list_max(list_transform(regexp_extract_all(v, 'A+|C+|G+|T+'), lambda x: length(x))) AS DOUBLE),
       CAST(coalesce(list_max(list_transform(regexp_extract_all(v, 'G+'), lambda x: length(x))), 0) AS DOUBLE)]) AS value
   FROM e WHERE rest = ''
+  UNION ALL SELECT oligo, role, 'tm', tm FROM m
 ), s AS (
   SELECT *, CASE "check"
     WHEN 'length' THEN CASE WHEN role = 'probe' THEN CASE WHEN value BETWEEN 15 AND 30 THEN 2 WHEN value BETWEEN 12 AND 40 THEN 3 ELSE 4 END
                             ELSE CASE WHEN value BETWEEN 18 AND 30 THEN 2 WHEN value BETWEEN 15 AND 40 THEN 3 ELSE 4 END END
     WHEN 'gc' THEN CASE WHEN role = 'probe' THEN CASE WHEN value BETWEEN 30 AND 80 THEN 2 WHEN value BETWEEN 20 AND 90 THEN 3 ELSE 4 END
                         ELSE CASE WHEN value BETWEEN 40 AND 60 THEN 2 WHEN value BETWEEN 30 AND 70 THEN 3 ELSE 4 END END
+    WHEN 'tm' THEN CASE WHEN role = 'probe' THEN 1 WHEN value BETWEEN 58 AND 66 THEN 2 WHEN value BETWEEN 54 AND 70 THEN 3 ELSE 4 END
     WHEN 'run' THEN CASE WHEN value >= 7 THEN 4 WHEN value >= 5 THEN 3 ELSE 2 END
     ELSE CASE WHEN value >= 6 THEN 4 WHEN value >= 4 THEN 3 ELSE 2 END END AS r,
     round(abs(value - (min(value) OVER (PARTITION BY oligo, "check") + max(value) OVER (PARTITION BY oligo, "check")) / 2), 6) AS far
   FROM c
 ), w AS (
-  SELECT oligo, role, "check", ['INFO', 'PASS', 'WARN', 'FAIL'][max(r)] AS status, min(value) AS low, max(value) AS high,
-    arg_max(value, row(r, far, value)) AS worst_value, count(*) AS n_variants
+  SELECT oligo, role, "check", ['INFO', 'PASS', 'WARN', 'FAIL'][max(r)] AS status, round(min(value), 6) AS low, round(max(value), 6) AS high,
+    round(arg_max(value, row(r, far, value)), 6) AS worst_value, count(*) AS n_variants
   FROM s GROUP BY ALL
 )"""
-register("qc_bands", lambda s, d: _checks(s, d).where(F.col("check") != "tm"), f"{_QC_SQL} SELECT * FROM w")
+register("qc_bands", lambda s, d: _checks(s, d), f"{_QC_SQL} SELECT * FROM w")
 register(
     "qc_overall",
-    lambda s, d: oligo_qc.overall(_checks(s, d).where(F.col("check") != "tm")),
+    lambda s, d: oligo_qc.overall(_checks(s, d)),
     f"{_QC_SQL} SELECT ['INFO', 'PASS', 'WARN', 'FAIL'][max(list_position(['INFO', 'PASS', 'WARN', 'FAIL'], status))] AS status, count(*) AS n_checks FROM w",
 )
-register(
-    "qc_pivot",
-    lambda s, d: oligo_qc.matrix(_checks(s, d).where(F.col("check") != "tm"), ["1", "2", "3"]),
-    f"""{_QC_SQL} SELECT "check", max(status) FILTER (oligo = '1') AS "1", max(status) FILTER (oligo = '2') AS "2", max(status) FILTER (oligo = '3') AS "3" FROM w GROUP BY 1""",
-)
-
-_PAIRS = f"SELECT CAST(p_partkey % 50 AS BIGINT) AS assay, CAST(p_partkey AS BIGINT) AS pos, CAST(p_partkey AS {{STR}}) AS oligo, substr({dna('p_partkey')}, 1, 20) AS sequence FROM {{part}} WHERE p_partkey <= 400"
-register(
-    "qc_pairs",
-    lambda s, d: oligo_qc.oligo_pairs(view(s, d, _PAIRS)).select("assay", "oligo_a", "oligo_b", seq.count_mismatches(F.col("sequence_a"), F.col("sequence_b")).alias("mismatches")),
-    f"WITH o AS (SELECT * FROM {duck(_PAIRS)}) SELECT a.assay, a.oligo AS oligo_a, b.oligo AS oligo_b, CAST(hamming(a.sequence, b.sequence) AS INTEGER) AS mismatches FROM o a JOIN o b ON a.assay = b.assay AND a.pos < b.pos",
-)
 #: Eight oligos an assay, over all parts.
 _EIGHTS = f"SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS assay, CAST(p_partkey AS BIGINT) AS pos, CAST(p_partkey AS {{STR}}) AS oligo, substr({dna('p_partkey')}, 1, 20) AS sequence FROM {{part}}"
-register(
-    "qc_pairs_whole",
+both(
+    "qc_pairs",
     lambda s, d: oligo_qc.oligo_pairs(view(s, d, _EIGHTS)).select("assay", "oligo_a", "oligo_b", seq.count_mismatches(F.col("sequence_a"), F.col("sequence_b")).alias("mismatches")),
     f"WITH o AS (SELECT * FROM {duck(_EIGHTS)}) SELECT a.assay, a.oligo AS oligo_a, b.oligo AS oligo_b, CAST(hamming(a.sequence, b.sequence) AS INTEGER) AS mismatches FROM o a JOIN o b ON a.assay = b.assay AND a.pos < b.pos",
 )
@@ -173,11 +171,11 @@ register(
 
 def _by_position(s, d):
     k = F.col("oligo").cast("long")
-    return _checks(s, d).where(F.col("check") != "tm").withColumns({"assay": F.floor(k / 8), "oligo": (k % 8).cast("string")})
+    return _checks(s, d).withColumns({"assay": F.floor(k / 8), "oligo": (k % 8).cast("string")})
 
 
-register(
-    "qc_pivot_whole",
+both(
+    "qc_pivot",
     lambda s, d: oligo_qc.matrix(_by_position(s, d), [str(i) for i in range(8)], ("assay", "check")),
     f"""{_QC_SQL} SELECT CAST(floor(CAST(oligo AS BIGINT) / 8) AS BIGINT) AS assay, "check", {", ".join(f"max(status) FILTER (CAST(oligo AS BIGINT) % 8 = {i}) AS \"{i}\"" for i in range(8))} FROM w GROUP BY 1, 2""",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import locate, specificity, taxonomy, windows
-from amplispark.plans.catalogue import register
+from amplispark.plans.catalogue import both, register
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, CLOSURE
 from amplispark.plans.synthetic import CONTIGS, FORWARD, FRAGMENT, HSPS, REVERSE, SITES, TAXA, duck, view
 
@@ -78,11 +78,8 @@ register(
     lambda s, d: windows.in_lineage(view(s, d, SITES).withColumn("taxid", F.col("taxid") + 1000), taxonomy.ancestors(view(s, d, TAXA)), 12).groupBy("tier", "role").agg(F.count("*").alias("n")),
     f"WITH RECURSIVE {CLOSURE} SELECT tier, role, count(*) AS n FROM {_S} WHERE taxid + 1000 IN (SELECT taxid FROM up WHERE ancestor = 12) GROUP BY 1, 2",
 )
-register("cut_products", lambda s, d: windows.cut_products(specificity.products(view(s, d, SITES), per_tier=500), 200).select("tier", "cut"), f"""WITH s AS (SELECT * FROM {_S}), p AS (
-  SELECT l.tier, count(*) AS n FROM s l JOIN s r ON l.tier = r.tier AND l.accession = r.accession AND l.orientation = '+' AND r.orientation = '-' AND l.role <> 'probe' AND r.role <> 'probe' AND l.s_start < r.s_start AND l.s_end < r.s_end AND r.s_end - l.s_start + 1 <= 2000 GROUP BY 1)
-SELECT tier, greatest(least(n, 500) - 200, 0) AS cut FROM p""")
-register(
-    "cut_products_whole",
+both(
+    "cut_products",
     lambda s, d: windows.cut_products(specificity.products(view(s, d, SITES), per_tier=None), 500),
     f"""WITH {_ALL_PAIRS}
 SELECT tier, count(*) AS products, count(*) FILTER (n > 500) AS cut, count(*) > 500 AS truncated, count(probe_id) FILTER (n > 500) = 0 AS harmless FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1""",

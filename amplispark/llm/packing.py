@@ -54,6 +54,16 @@ class Words(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+        self._check(path)
+
+    def _check(self, path: str) -> None:
+        """Raises for a tokenizer whose ids are not those of its words; texts can only be tokenized by words with one of that kind."""
+        of = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        joined = [(p, [w.decode() for w in words_of(p)]) for p in ("The Quick fox jumps", "a\tb\n\nc  D e", " Don't (stop)-now! 12.5", "ÉTÉ Naïve Über")]
+        marked = [(f"word{m}", ["word", m]) for m in "!\"#$%&(),-./:;=?@[]_{}~" if _PARTS.fullmatch(b"word" + m.encode())]
+        for text, words in joined + marked:
+            if of(text) != [i for w in words for i in of(w)]:
+                raise ValueError(f"{path}: its ids of {text!r} are not those of {words}")
 
     def learn(self, words: set[bytes]) -> None:
         """Adds words that are not known."""

@@ -367,3 +367,11 @@ def test_units_are_exact_even_where_hashes_are_equal(vocabulary, monkeypatch, mi
         got, la = units.of(texts), units.lattice
         shown = lambda k: "".join(map(chr, la.codes[la.starts[k] : la.starts[k] + la.left[la.starts[k]]]))
         assert [[shown(k) for k in g] for g in got] == [split.findall(t) for t in texts]
+
+
+def test_tokenizers_that_join_words_are_refused():
+    import public_tokenizers
+
+    packing.Words(packing.word_bpe())
+    with pytest.raises(ValueError, match="are not those of"):
+        packing.Words(public_tokenizers.path("byte_bpe_50k.json"))

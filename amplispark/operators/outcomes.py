@@ -1,4 +1,4 @@
-"""Why genomes are missed, what a run covered, and labels (AS-13, FN-14, TW-06, SP-06, TX-14, TX-15, AG-29, FN-28, PL-07, LC-19, LC-21, JN-07, VD-10)."""
+"""Why genomes are missed, what a run covered, and labels (AS-13, FN-14, FN-28, FN-32, TW-06, SP-06, TX-14, TX-15, SRC-21, AG-29, PL-06, PL-07, LC-19, LC-21, JN-07, VD-10, VD-15)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amplispark.functions import seq
-from amplispark.operators import alignment
+from amplispark.operators import alignment, taxonomy
 from amplispark.operators.assess import VERDICTS
+from amplispark.sources.assay import organism_names
 
 #: AS-13: kinds of reasons, the most telling first.
 ESCAPES = ("gap", "mismatch", "pair", "run_length")
@@ -152,3 +153,43 @@ def overall_verdict(sections: DataFrame, gaps: DataFrame) -> DataFrame:
     r = F.when(F.col("gaps").isNotNull(), F.greatest("r", F.lit(names.index("INCOMPLETE") + 1))).otherwise(F.col("r"))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), (r - 1).cast("int"))
     return j.select("run", pick(names).alias("verdict"), pick([c for _, c in VERDICTS]).alias("code"), F.coalesce("gaps", F.lit("")).alias("gaps"))
+
+
+def organism_taxa(lines: list[str], names: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """SRC-21: (name, status, taxid) of an organism list's lines, in TX-05's terms; what does not resolve to one taxid is never guessed."""
+    asked = names.sparkSession.createDataFrame([(n,) for n in organism_names(lines)], "name string")
+    return taxonomy.resolve_names(asked, names, synonyms)
+
+
+def search_key(assay: Column, inputs: Column) -> Column:
+    """PL-06: where the state of an assay's searches is kept: by its slug and the head of the hash of all inputs."""
+    return F.concat(seq.slug(assay), F.lit("/search-"), F.substring(F.sha2(inputs, 256), 1, 8))
+
+
+def needs_submission(cached: Column, state: Column, alive: Column, waited: Column, longest: float) -> Column:
+    """PL-06: whether a search would be sent: nothing cached, and not under way, or under way for ``longest`` minutes and more."""
+    under_way = state.isin("submitted", "ready") & alive
+    return ~cached & (~under_way | ((state == "submitted") & (waited >= longest)))
+
+
+def site_description(role: Column, accession: Column, organism: Column, mismatches: Column, gaps: Column, clean3: Column, unaligned: Column) -> Column:
+    """FN-32: a site in one line."""
+    head = F.format_string("%s on %s (%s): %d mismatch(es), %d gap(s), %d clean at the 3' end", role, accession, F.coalesce(organism, F.lit("unknown organism")), mismatches, gaps, clean3)
+    return F.when(unaligned > 0, F.concat(head, F.format_string(", %d unaligned (worst case)", unaligned))).otherwise(head)
+
+
+def rationale_lines(figures: DataFrame) -> DataFrame:
+    """VD-15: (run, topic, line) of what a status leaves out, for information.
+
+    Figures are (run, percent, alternative, patterns, pattern_percent, genomes,
+    largest, earlier, undated, not_read, placed): the share detected with and
+    without run-length differences, the distinct patterns, and the genomes by
+    collection date. A line is left out where it has nothing to tell.
+    """
+    n = F.col("placed") + F.col("earlier") + F.col("undated") + F.col("not_read")
+    share = lambda a, b: F.format_string("%.1f%%", F.round(F.lit(100.0) * a / b, 1))
+    other = F.when(F.abs(F.col("alternative") - F.col("percent")) >= 0.05, F.format_string("%.1f%% detected under the other run-length setting, %.1f%% under this one", F.round("alternative", 1), F.round("percent", 1)))
+    distinct = F.when(F.col("patterns") > 0, F.concat(F.format_string("%d patterns in %d genomes, %.1f%% of the patterns detected; the commonest is in ", "patterns", "genomes", F.round("pattern_percent", 1)), share(F.col("largest"), F.col("genomes"))))
+    dates = F.when((F.col("earlier") > 0) | (F.col("undated") > 0), F.concat(F.format_string("of %d genomes %d were collected before the first year and %d have no usable date", n, "earlier", "undated"), F.when(F.col("not_read") > 0, F.format_string("; of %d it was not read yet", "not_read")).otherwise("")))
+    lines = F.array(*[F.struct(F.lit(t).alias("topic"), x.alias("line")) for t, x in (("run_length", other), ("patterns", distinct), ("collection", dates))])
+    return figures.select("run", F.explode(lines).alias("l")).select("run", "l.topic", "l.line").where("line IS NOT NULL")

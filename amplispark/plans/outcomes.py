@@ -66,3 +66,15 @@ register(
 j AS (SELECT run, CASE WHEN gaps IS NULL THEN r ELSE greatest(r, 3) END AS r, coalesce(gaps, '') AS gaps FROM w LEFT JOIN g USING (run))
 SELECT run, ['PASS', 'WARN', 'INCOMPLETE', 'FAIL'][r] AS verdict, CAST([0, 10, 30, 20][r] AS INTEGER) AS code, gaps FROM j""",
 )
+_STATES = "SELECT CAST(p_partkey AS BIGINT) AS k, p_name AS assay, p_type || p_brand AS inputs, p_size % 5 = 0 AS cached, CASE p_partkey % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'submitted' WHEN 2 THEN 'ready' ELSE 'failed' END AS state, p_size % 3 > 0 AS alive, CAST(p_size AS DOUBLE) AS waited FROM {part}"
+register(
+    "search_state",
+    lambda s, d: view(s, d, _STATES).select("k", F.substring_index(outcomes.search_key(F.col("assay"), F.col("inputs")), "/", -1).alias("folder"), outcomes.needs_submission(F.col("cached"), F.col("state"), F.col("alive"), F.col("waited"), 30.0).alias("send")),
+    f"SELECT k, 'search-' || left(sha256(inputs), 8) AS folder, NOT cached AND (NOT (state IN ('submitted', 'ready') AND alive) OR (state = 'submitted' AND waited >= 30)) AS send FROM {duck(_STATES)}",
+)
+_DESCRIBED = "SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INT) AS n, CASE WHEN l_partkey % 3 = 0 THEN 'probe' ELSE 'forward' END AS role, 'NC_' || CAST(l_suppkey AS {STR}) AS accession, CASE WHEN l_suppkey % 4 > 0 THEN 'org ' || CAST(l_suppkey AS {STR}) END AS organism, CAST(l_quantity AS INT) % 5 AS mismatches, CAST(l_partkey % 2 AS INT) AS gaps, CAST(l_partkey % 9 AS INT) AS clean3, CAST(l_suppkey % 3 AS INT) AS unaligned FROM {lineitem}"
+register(
+    "site_descriptions",
+    lambda s, d: view(s, d, _DESCRIBED).select("k", "n", outcomes.site_description(*map(F.col, ("role", "accession", "organism", "mismatches", "gaps", "clean3", "unaligned"))).alias("line")),
+    f"SELECT k, n, role || ' on ' || accession || ' (' || coalesce(organism, 'unknown organism') || '): ' || mismatches || ' mismatch(es), ' || gaps || ' gap(s), ' || clean3 || ' clean at the 3'' end' || CASE WHEN unaligned > 0 THEN ', ' || unaligned || ' unaligned (worst case)' ELSE '' END AS line FROM {duck(_DESCRIBED)}",
+)

@@ -68,3 +68,18 @@ def test_configuration():
 def test_no_row_is_lost_by_a_kernel(spark):
     rows = spark.createDataFrame([(1, None), (2, "ACGTACGTAC"), (2, "ACGTACGTAC")], "k int, sequence string")
     assert [r.k for r in alignment.hairpins(rows).orderBy("k").collect()] == [1, 2, 2] and alignment.hairpins(rows.limit(0)).count() == 0
+
+
+def test_rationale(spark):
+    rows = [(1, 90.0, 95.5, 4, 50.0, 200, 120, 3, 2, 1, 194), (2, 90.0, 90.01, 0, None, 0, 0, 0, 0, 5, 10), (3, 90.0, None, 1, 100.0, 8, 8, 0, 1, 0, 7)]
+    figures = spark.createDataFrame(rows, "run int, percent double, alternative double, patterns int, pattern_percent double, genomes int, largest int, earlier int, undated int, not_read int, placed int")
+    got = {(r.run, r.topic): r.line for r in outcomes.rationale_lines(figures).collect()}
+    assert set(got) == {(1, "run_length"), (1, "patterns"), (1, "collection"), (3, "patterns"), (3, "collection")}
+    assert "95.5%" in got[1, "run_length"] and got[1, "patterns"].endswith("60.0%") and got[1, "collection"] == "of 200 genomes 3 were collected before the first year and 2 have no usable date; of 1 it was not read yet"
+
+
+def test_organism_list(spark):
+    names = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "name string, taxid long")
+    synonyms = spark.createDataFrame([("c", 4)], "name string, taxid long")
+    got = {r.name: (r.status, r.taxid) for r in outcomes.organism_taxa(["a # first", "", "b", "c", "a", "d"], names, synonyms).collect()}
+    assert got == {"a": ("resolved", 1), "b": ("ambiguous", None), "c": ("resolved", 4), "d": ("unresolved", None)}

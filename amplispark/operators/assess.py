@@ -130,11 +130,19 @@ def newest_runs(runs: DataFrame) -> DataFrame:
 
 
 def shown_rows(rows: DataFrame, most: int) -> DataFrame:
-    """AG-19, AG-20: rows that always show and the first ``most`` of the others, by group, with how many are hidden."""
-    order = Window.partitionBy("grp", "always").orderBy(F.desc("n"), "k")
-    placed = rows.withColumn("_r", F.row_number().over(order))
-    shown = F.col("always") | (F.col("_r") <= most)
-    return placed.groupBy("grp").agg(count_if(shown).alias("shown"), count_if(~shown).alias("hidden"), F.sum(F.when(~shown, F.col("n")).otherwise(0)).alias("hidden_n"))
+    """AG-19, AG-20: by group how many rows show, those that always do and the first ``most`` of the others, and what the hidden ones sum to.
+
+    What is hidden is all less what shows, so that only the first rows of a
+    group are ranked, wherever they lie.
+    """
+    order = Window.partitionBy("grp").orderBy(F.desc("n"), "k")
+    first = rows.where(~F.col("always")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    kept = first.groupBy("grp").agg(F.count("*").alias("_k"), F.sum("n").alias("_s"))
+    own = F.col("always")
+    per = rows.groupBy("grp").agg(F.count("*").alias("_all"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.count(F.when(own, 1)).alias("_a"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("_an"))
+    j = per.join(kept, "grp", "left")
+    shown = F.col("_a") + F.coalesce("_k", F.lit(0))
+    return j.select("grp", shown.alias("shown"), (F.col("_all") - shown).alias("hidden"), (F.col("_n") - F.col("_an") - F.coalesce("_s", F.lit(0))).alias("hidden_n"))
 
 
 def findings(sites: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def positions(best: DataFrame, oligos: tuple[tuple[str, str], ...]) -> DataFrame
 
 
 def escapes(best: DataFrame, genomes: DataFrame, most: int) -> DataFrame:
-    """AS-13, AG-04: genomes that would be missed, by reason, with at most ``most`` examples."""
+    """AG-04: genomes that would be missed, with at most ``most`` examples, by a coarse reason from their mismatches alone; AS-13 is :func:`outcomes.escape_kinds`."""
     missed = genomes.where("outcome = 'likely_failure'").withColumn("reason", F.when(F.col("mismatches") >= 4, F.lit("pair")).otherwise(F.lit("mismatch")))
     placed = missed.withColumn("_n", F.row_number().over(Window.partitionBy("reason").orderBy("accession"))).where(F.col("_n") <= most)
     examples = placed.groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("accession")), ",").alias("examples"))

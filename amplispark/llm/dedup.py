@@ -40,7 +40,7 @@ from amplispark.llm.common import Workspace, table
 from amplispark.llm.shingles import WordNumbers, band_keys, shingle_set, signature, sketches
 
 BANDS, ROWS = 40, 6
-BLOCK = 256
+BLOCK = 512
 #: Classes that a task compares with the smallest class of their bucket at once.
 STAR = 128
 _CHUNK = 512

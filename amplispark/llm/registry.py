@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import dedup, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity
+from amplispark.llm import dedup, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity
 
-MODULES = (dedup, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity)
+MODULES = (dedup, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity)
 
 
 def queries() -> dict:

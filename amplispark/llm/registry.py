@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amplispark.llm import dedup, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity
+from amplispark.llm import dedup, divergence, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity, url_filters
 
-MODULES = (dedup, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity)
+MODULES = (dedup, divergence, hard_negatives, html_text, langid, packing, quality, secrets, segmentation, sharding, topk, toxicity, url_filters)
 
 
 def queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,16 +105,12 @@ def candidates(contigs: DataFrame, references: Sequence[Reference], max_indel: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for accessions, names, sequences in _stretches(batches):
-            rows = [
-                (
-                    accessions[c.contig], names[c.contig], ("+", "-")[c.strand], c.ref, c.start, c.end, c.length, c.anchored, c.identity, c.start < 0 or c.end > c.length,
-                    c.context_left, c.context_right, c.n_left, c.n_inside, c.n_right, c.kind,
-                    [{"place": p, "start": s, "size": n} for p, s, n in c.anchors], c.region, c.region_start,
-                )
-                for c in search.locate(sequences, exact, shorter, flank)
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+            t = search.locate(sequences, exact, shorter, flank)
+            if len(t["contig"]):
+                named = {"accession": np.array(accessions, object)[t["contig"]], "contig": np.array(names, object)[t["contig"]], "strand": np.array(["+", "-"], object)[t["strand"]]}
+                more = {"cut": (t["start"] < 0) | (t["end"] > t["length"]), "anchors": [[{"place": p, "start": s, "size": n} for p, s, n in a.tolist()] for a in t["anchors"]]}
+                columns = t | named | more
+                yield pa.RecordBatch.from_arrays([pa.array(columns[c], kind, from_pandas=c == "identity") for c, kind in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
     found = _named(contigs).mapInArrow(run, CANDIDATE)
     genome = Window.partitionBy("accession")

@@ -244,7 +244,8 @@ def audit(docs: DataFrame, least: int = LEAST, shown: int = SHOWN, cell: int = C
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_total"))
     numbered = terms.join(langs, "lang").withColumn("cell", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / cell)))
     of_cell = Window.partitionBy("lang", "cell")
-    numbered = numbered.withColumn("id", F.row_number().over(of_cell.orderBy("term")) - 1).withColumn("width", F.count("*").over(of_cell))
+    # Dealt anew by cell: left where the join has put it, a language would be numbered by one task.
+    numbered = numbered.repartition("lang", "cell").withColumn("id", F.row_number().over(of_cell.orderBy("term")) - 1).withColumn("width", F.count("*").over(of_cell))
     numbered = ws.save(numbered)
     present = ws.save(counts.where("term <> ''").join(numbered, ["lang", "term"]).select("lang", "source", "cell", "id", "n", "whole"))
     totals = groups.join(present.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
@@ -255,7 +256,7 @@ def audit(docs: DataFrame, least: int = LEAST, shown: int = SHOWN, cell: int = C
     cells = numbered.groupBy("lang", "cell").agg(F.first("v").alias("v"), F.first("lang_total").alias("lang_total"), F.count("*").alias("width"))
     entries = present.groupBy("lang", "source", "cell").agg(F.collect_list(F.struct("id", "n", "whole")).alias("entries"))
     none = F.array().cast("array<struct<id:int,n:long,whole:long>>")
-    every = totals.join(cells, "lang").join(entries, ["lang", "source", "cell"], "left").withColumn("entries", F.coalesce("entries", none))
+    every = totals.join(cells, "lang").repartition("lang", "source", "cell").join(entries, ["lang", "source", "cell"], "left").withColumn("entries", F.coalesce("entries", none))
     made = ws.save(vectors(every.select("lang", "cell", "source", "total", "v", "lang_total", "width", "entries"), shown))
     blocks = made.drop("top").join(totals.select("lang", "source", "block", "blocks"), ["lang", "source"])
     rounds = totals.agg(F.max("blocks")).first()[0] or 0

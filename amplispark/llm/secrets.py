@@ -12,11 +12,13 @@ offsets, so they are summed from the pieces between the matches.
 
 Defined cases: a null text is the empty text; an empty text has no findings;
 repeated rows each get the findings of their blob; an empty table gives an empty
-result; other columns are not read; very many matches in one text are all kept.
+result; other columns are not read; very many matches in one text are all kept,
+in time in proportion to them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from amplispark.llm.common import Workspace, let, table
 
 _SPAN = "struct<start:int,end:int>"
+#: Matches that are folded together; the work of n matches is n * _CHUNK + (n / _CHUNK) ** 2 small steps.
+_CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -50,33 +54,43 @@ RULES = (
 )
 
 
+def running(values: Column, zero: int, add: Callable[[Column, Column], Column]) -> Column:
+    """What the values before each place of an array<int> add up to, ``add`` being a sum or a maximum.
+
+    Folded in two levels, as an array that grows by one copies what it has:
+    chunks of ``_CHUNK`` values by themselves, and the chunks' totals.
+    """
+    grown = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+    before = lambda items, first: F.slice(F.aggregate(items, F.array(first), grown), F.lit(1), F.size(items))
+
+    def of(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(zero), add))
+        return F.flatten(F.zip_with(chunks, before(totals, F.lit(zero)), before))
+
+    return let(chunked(values), of)
+
+
+def chunked(items: Column) -> Column:
+    """An array in pieces of at most ``_CHUNK``."""
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / _CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of the rule's matches in a text."""
     pattern = F.lit(rule.pattern)
     pieces = F.struct(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("match"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("value"),
     )
 
     def located(p: Column) -> Column:
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(p["gap"], i)) + F.length(F.get(p["match"], i))).alias("at"),
-            F.concat(
-                acc["out"],
-                F.when(
-                    F.length(F.get(p["value"], i)) >= rule.least,
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(F.get(p["gap"], i))).alias("start"),
-                            (acc["at"] + F.length(F.get(p["gap"], i)) + F.length(F.get(p["match"], i))).alias("end"),
-                        )
-                    ),
-                ).otherwise(F.array().cast(f"array<{_SPAN}>")),
-            ).alias("out"),
-        )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(p["match"]) - 1), start, step)["out"]
+        # Before match i lie the matches and gaps before it, and the gap of its own.
+        sizes = F.zip_with(p["match"], F.slice(p["gap"], F.lit(1), F.size(p["match"])), lambda m, g: m + g)
+        start = lambda before, i: before + F.get(p["gap"], i)
+        every = F.transform(running(sizes, 0, lambda x, y: x + y), lambda x, i: F.struct(start(x, i).alias("start"), (start(x, i) + F.get(p["match"], i)).alias("end"), F.get(p["value"], i).alias("n")))
+        return F.transform(F.filter(every, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
     return F.when(F.regexp_like(text, pattern), let(pieces, located)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
@@ -108,6 +122,17 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return scanned.unionByName(ledger.select("blob", "scanned").join(unseen.select("blob"), "blob", "left_anti"))
 
 
+def scan_in_steps(versions: DataFrame, ws: Workspace, steps: int = 2, rules: tuple[Rule, ...] = RULES, text_col: str = "text", key_col: str = "doc_id", ledger: DataFrame | None = None) -> DataFrame:
+    """The ledger after ``steps`` scans, as they follow each other while versions come in: each takes a part of the versions, dealt by key, and what the one before knows.
+
+    A text that an earlier step has read is not read again, whatever paths hold it.
+    """
+    parts = versions.withColumn("_step", F.pmod(F.xxhash64(F.col(key_col)), F.lit(steps)))
+    for k in range(steps):
+        ledger = ws.save(scan(parts.where(F.col("_step") == k), ledger, rules, text_col))
+    return ledger
+
+
 def findings(scanned: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """array<struct<start, rank, end, kind>> of all rules, by start and then by the order of the rules."""
 
@@ -132,25 +157,31 @@ def written(spans_col: Column) -> Column:
 
 
 def masked(text: Column, spans_col: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every found span, overlapping ones merged, replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every found span, overlapping ones merged, replaced by ``mask``.
+
+    Of chunks of spans the stretch of text that they lie in is cut first, as to
+    cut a piece is to count the letters before it.
+    """
+
+    def pieces(chunk: Column, base: Column) -> Column:
+        end = F.element_at(chunk, -1)["to"]
+        return let(F.substring(text, base + 1, end - base), lambda t: F.array_join(F.transform(chunk, lambda x: F.concat(F.substring(t, x["from"] - base + 1, x["to"] - x["from"]), F.lit(mask))), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return (
-            F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out")))
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-        )
+    def joined(at: Column) -> Column:
+        gaps = F.filter(F.zip_with(at["before"], spans_col, lambda b, s: F.struct(b.alias("from"), s["start"].alias("to"))), lambda x: x["to"] >= x["from"])
+        parts = F.transform(chunked(gaps), lambda c: pieces(c, F.element_at(c, 1)["from"]))
+        last = F.array_max(F.transform(spans_col, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans_col) == 0, text).otherwise(F.aggregate(spans_col, start, step, rest))
+    before = running(F.transform(spans_col, lambda s: s["end"]), 0, lambda x, y: F.greatest(x, y))
+    return F.when(F.size(spans_col) == 0, text).otherwise(let(F.struct(before.alias("before")), joined))
 
 
 def secret_stage(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets of each text masked and ``n_chars`` as it is then; a null text stays null."""
     names = docs.columns
-    held = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    back = joined_back(held, Workspace(docs.sparkSession, "ledger").save(scan(held)), carry=["_row", "text"])
+    held = docs.select(F.struct("*").alias("_row"), F.col("text"), F.col("doc_id"))
+    back = joined_back(held, scan_in_steps(held, Workspace(docs.sparkSession, "ledger")), carry=["_row", "text"])
     new = back.withColumn("_new", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"))))
     changed = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars"))}
     return new.select(*[(changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in names])
@@ -158,7 +189,7 @@ def secret_stage(docs: DataFrame) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = joined_back(docs, Workspace(spark, "ledger").save(scan(docs)))
+    out = joined_back(docs, scan_in_steps(docs, Workspace(spark, "ledger")))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in RULES]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(

@@ -68,3 +68,34 @@ def test_no_blob_is_scanned_twice(spark):
     assert ledger.count() == 3
     ledger = secrets.scan(one, emptied(ledger))
     assert ledger.count() == 3 and ledger.where(F.exists(F.map_values("scanned"), lambda v: F.size(v) > 0)).count() == 0
+
+
+def test_steps_give_what_one_scan_gives(spark):
+    from amplispark.llm.common import Workspace
+
+    docs = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(None, TEXTS[0])], "doc_id long, text string")
+    one = {bytes(r.blob): r.scanned for r in secrets.scan(docs).collect()}
+    rows = secrets.scan_in_steps(docs, Workspace(spark, "test"), steps=3).collect()
+    assert {bytes(r.blob): r.scanned for r in rows} == one and len(rows) == len(one)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """100,000 matches take seconds, where a fold that copies what it has takes hours."""
+    import time
+
+    text = "".join(f"token=abcdefgh{i} é " for i in range(100_000))
+    docs = spark.createDataFrame([(1, text, 0), (2, text[:3000], 0)], "doc_id long, text string, n_chars long")
+    start = time.perf_counter()
+    got = {r.doc_id: r.text for r in secrets.secret_stage(docs).collect()}
+    assert got[1] == "[SECRET] é " * 100_000 and got[2] == re.sub("token=[a-z0-9]+", "[SECRET]", text[:3000])
+    assert time.perf_counter() - start < 90
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    spans = [(0, 4), (2, 3), (3, 9), (9, 10), (15, 16)] + [(20 + 3 * i, 22 + 3 * i) for i in range(700)]
+    text = "".join(chr(97 + i % 26) for i in range(2200))
+    want, at = "", 0
+    for a, b in spans:
+        want, at = (want + text[at:a] + "#", b) if a >= at else (want, max(at, b))
+    df = spark.createDataFrame([(text, spans)], "text string, s array<struct<start:int,end:int>>")
+    assert df.select(secrets.masked(F.col("text"), F.col("s"), "#")).first()[0] == want + text[at:]

@@ -7,8 +7,9 @@
    in proportion to the classes, however large a bucket is: this joins groups
    of near copies, and a bucket whose classes are all in one group is done.
 3. In the others the remaining pairs of different groups are looked at, each in
-   the first bucket that it shares, in blocks of at most ``BLOCK`` classes a
-   side. Sketches sort out what is far from the threshold; texts are sent only
+   the first bucket that it shares, in blocks of about ``BLOCK`` classes a
+   side, which a large group does not share with others and of which those of
+   one group, or of sizes too far apart, never meet. Sketches sort out what is far from the threshold; texts are sent only
    for classes with a partner that is not, and full sets decide. Of a block
    only links that join different groups are tested and returned, never all
    pairs.
@@ -187,14 +188,39 @@ def links_with_smallest(members: DataFrame, texts: DataFrame, width: int, percen
     return _links(rows, ["lo", "part"], lambda name, held, known: star_links(held, name[0], width, percent, known))
 
 
+def dealt_blocks(members: DataFrame, groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, band, side, rep, comp): the classes of buckets that hold several groups, in the blocks whose pairs may be links.
+
+    A group with ``BLOCK`` classes or more in a bucket has blocks of its own,
+    and such blocks of one group never meet: beside a large group of near copies
+    the others cost a work in proportion to it. Small groups share blocks, whole
+    ones where possible. In a bucket of many blocks classes are dealt by the
+    size of their sets as well, and blocks whose sizes cannot reach the
+    threshold do not meet. ``sizes`` has the (rep, n) of the classes.
+    """
+    m = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+    counts = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    small = F.col("c") < BLOCK
+    of_key = counts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.when(small, F.col("c")).otherwise(0)).alias("shared"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    large = counts.where(~small)
+    d = m.join(of_key, "key").join(large, ["key", "comp"], "left").join(sizes, "rep")
+    # Sets of sizes on levels further apart than one cannot reach the threshold.
+    level = F.when(F.col("all") > 8 * BLOCK, F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")).otherwise(0)
+    parts = F.ceil(F.coalesce("c", "shared") / BLOCK)
+    dealt_by = F.when(F.col("c").isNull(), F.xxhash64("comp")).otherwise(F.xxhash64("rep"))
+    own = F.when(F.col("c").isNotNull(), F.col("comp"))
+    d = d.select("key", "band", "rep", "comp", own.alias("own"), level.alias("level"), F.pmod(dealt_by, parts).cast("int").alias("part"))
+    name = F.concat_ws(":", "level", "part", F.coalesce(F.col("own").cast("string"), F.lit("-")))
+    d = d.withColumn("block", name)
+    blocks = d.select("key", F.col("block").alias("other"), F.col("own").alias("other_own"), F.col("level").alias("other_level")).distinct()
+    meets = (F.abs(F.col("level") - F.col("other_level")) <= 1) & F.coalesce(F.col("own") != F.col("other_own"), F.lit(True))
+    pairs = d.join(blocks, "key").where(meets)
+    return pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", (F.col("block") <= F.col("other")).cast("int").alias("side"), "rep", "comp")
+
+
 def bucket_links(members: DataFrame, groups: DataFrame, sketch: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links found in the buckets of (band, key, rep) that hold several groups of (node, component)."""
-    m = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = m.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = m.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "band", "side", "rep", "comp")
+    dealt = dealt_blocks(members, groups, sketch.select("rep", "n"), percent)
     block = ["key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +229,9 @@ def bucket_links(members: DataFrame, groups: DataFrame, sketch: DataFrame, texts
                 found = [(*name, *held[k][:4]) for k in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[*block, "band", "side", "rep", "comp"])
 
-    types = [pa.int64(), *(pa.int32(),) * 4, pa.int64(), pa.int64()]
+    types = [pa.int64(), *(pa.string(),) * 2, *(pa.int32(),) * 2, pa.int64(), pa.int64()]
     sketched_rows = dealt.join(sketch, "rep").select(*block, "band", "side", "rep", "comp", "n", "keys", "codes")
-    wanted = sketched_rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "key long, i int, j int, band int, side int, rep long, comp long")
+    wanted = sketched_rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "key long, i string, j string, band int, side int, rep long, comp long")
     rows = wanted.join(texts, "rep").select(*block, "band", "side", "rep", "comp", "n", "keys", "codes", "text")
     return _links(rows, block, lambda _, held, known: block_links(held, width, percent, known))
 
@@ -235,14 +261,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, their columns as they were; of rows that share a doc_id, the one with the least text."""
+    """The rows of ``docs`` whose document stands for its group, their columns as they were, whatever their names; of rows that share a doc_id, the one with the least text."""
     gone = near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     once = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
     again = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi")
-    row = F.struct(*docs.columns)
+    every = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    row = F.struct(*every)
     again = again.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("_row")).select("_row.*")
-    return once.select(*docs.columns).unionByName(again)
+    return once.select(*every).unionByName(again)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

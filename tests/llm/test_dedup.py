@@ -112,3 +112,29 @@ def test_of_rows_that_share_an_id_the_same_one_stays(spark):
     for order in (docs, docs[::-1]):
         df = spark.createDataFrame(order, "doc_id long, text string, kept int").repartition(3)
         assert sorted((r.doc_id, r.kept) for r in dedup.dedup_stage(df).collect()) == [(1, 3), (2, 3)]
+
+
+def test_beside_a_large_group_the_blocks_grow_with_the_bucket(spark, monkeypatch):
+    """One bucket of a group of 3,000, one of 40 and 60 single classes: every class meets what it may be linked with, in few blocks."""
+    monkeypatch.setattr(dedup, "BLOCK", 64)
+    comp = lambda i: 0 if i < 3000 else 3000 if i < 3040 else i
+    members = spark.createDataFrame([(0, 7, i) for i in range(3100)], "band int, key long, rep long")
+    groups = spark.createDataFrame([(i, comp(i)) for i in range(3040)], "node long, component long")
+    for sizes, most in ((lambda i: 100, 3100 + 47 * 100 + 100 * 4), (lambda i: 10 ** (1 + i % 3), 60_000)):
+        n = spark.createDataFrame([(i, sizes(i)) for i in range(3100)], "rep long, n long")
+        rows = dedup.dealt_blocks(members, groups, n, 80).collect()
+        assert len(rows) <= most + 3100
+        met = defaultdict(lambda: ([], []))
+        for r in rows:
+            met[r.i, r.j][r.side].append(r.rep)
+        pairs = set()
+        for (i, j), (a, b) in met.items():
+            pairs |= {(min(x, y), max(x, y)) for x in (b if i == j else a) for y in b if x != y}
+        wanted = {(x, y) for y in range(3000, 3100) for x in range(y) if comp(x) != comp(y) and 100 * min(sizes(x), sizes(y)) >= 80 * max(sizes(x), sizes(y))}
+        assert wanted <= pairs and not any(comp(x) == comp(y) == 0 for x, y in pairs)
+
+
+def test_stage_with_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (1, "z", 5, 6)], "doc_id long, text string, `a.b` int, `c``d` int")
+    got = dedup.dedup_stage(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e f", 1, 2)}

@@ -87,7 +87,7 @@ def test_very_many_matches_in_one_text(spark):
     docs = spark.createDataFrame([(1, text, 0), (2, text[:3000], 0)], "doc_id long, text string, n_chars long")
     start = time.perf_counter()
     got = {r.doc_id: r.text for r in secrets.secret_stage(docs).collect()}
-    assert got[1] == "[SECRET] é " * 100_000 and got[2] == re.sub("token=[a-z0-9]+", "[SECRET]", text[:3000])
+    assert got[1] == "[SECRET] é " * 100_000 and got[2] == re.sub("token=[a-z0-9]{8,}", "[SECRET]", text[:3000])
     assert time.perf_counter() - start < 90
 
 

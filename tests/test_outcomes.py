@@ -56,10 +56,6 @@ def test_missing_records(spark):
 
 def test_configuration():
     assert config.foreign_sections({"search": {}, "ncbi": {}}) == ["settings.ncbi: not a section that an assay may set"]
-    ok = {"thresholds": {"tm": {"pass": [58, 66], "fail": [54, 70]}, "diff": {"warn_above": 3, "fail_above": 6}}, "reaction": {"primer_nM": 400}}
-    assert config.cross_field_errors(ok) == []
-    bad = {"thresholds": {"tm": {"pass": [50, 66], "fail": [54, 70]}, "gc": {"pass": [5, 1], "fail": [0, 9]}, "diff": {"warn_above": 7, "fail_above": 6}}, "reaction": {"primer_nM": 0}}
-    assert len(config.cross_field_errors(bad)) == 4
     defaults = {"search": {"word": 7, "taxa": []}, "reaction": {"primer_nM": 400, "na_mM": 50}, "report": {"taxa": 1}}
     assert config.unknown_keys({"search": {"word": 9, "primer_nM": 1, "taxa": 2}}, defaults) == ["search.primer_nM: unknown setting ('primer_nM' belongs under 'reaction:', check the indentation)"]
     assert config.unknown_keys({"reaction": {"taxa": 1, "zzz": 2}}, defaults) == ["reaction.taxa: unknown setting", "reaction.zzz: unknown setting"]

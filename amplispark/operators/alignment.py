@@ -1,4 +1,4 @@
-"""Alignment and structure kernels in place (AL-01 .. AL-04, TH-03, JN-06, JN-07)."""
+"""Alignment and structure kernels in place (AL-01 .. AL-04, TH-03)."""
 
 from __future__ import annotations
 
@@ -89,20 +89,3 @@ def measure(q: Column, s: Column, unobserved_matches: bool = True) -> Column:
     marks = F.array_join(F.zip_with(seq.chars(q), seq.chars(s), state), "")
     count = lambda c: F.length(F.regexp_replace(marks, f"[^{c}]", "")).alias({"m": "matches", "x": "mismatches", "g": "gaps"}[c])
     return F.struct(count("m"), count("x"), count("g"), F.length(F.regexp_extract(marks, "(m*)$", 1)).alias("clean3"))
-
-
-def partner_scan(anchors: DataFrame, contigs: DataFrame, partners: DataFrame, reach: int = 2000, most: int = 5, budget: int | None = None) -> DataFrame:
-    """JN-06 in part: sites of partner oligos in the window that faces an anchor; those that overlap known ones are not rejected.
-
-    Anchors are (anchor_id, accession, orientation, s_start, s_end), from 1 and
-    inclusive; partners (oligo, oligo_seq) are an assay's own, a handful.
-    """
-    a = anchors if budget is None else anchors.orderBy("anchor_id").limit(budget)
-    plus = F.col("orientation") == "+"
-    lo = F.when(plus, F.col("s_end")).otherwise(F.greatest(F.col("s_start") - 1 - reach, F.lit(0)))
-    size = F.when(plus, F.lit(reach)).otherwise(F.col("s_start") - 1 - lo)
-    cut = F.substring(F.col("seq"), (lo + 1).cast("int"), size.cast("int"))
-    windows = a.join(contigs.select("accession", "seq"), "accession").select("anchor_id", "orientation", F.when(plus, seq.reverse_complement(cut)).otherwise(cut).alias("window"))
-    found = semi_global(windows.crossJoin(F.broadcast(partners)).where("length(window) >= length(oligo_seq)"))  # a handful of partners
-    m = measure(F.col("q_aln"), F.col("s_aln"))
-    return found.withColumn("m", m).where(F.col("m.mismatches") + F.col("m.gaps") <= most).select("anchor_id", "oligo", "q_aln", "s_aln", F.col("m.mismatches").alias("mismatches"), F.col("m.gaps").alias("gaps"))

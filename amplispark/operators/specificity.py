@@ -114,13 +114,13 @@ def product_patterns(found: DataFrame) -> DataFrame:
     return found.groupBy("tier", "left_role", "right_role", F.col("probe_id").isNotNull().alias("detected")).agg(F.count("*").alias("n"), F.countDistinct("accession").alias("records"), F.min("length").alias("shortest"))
 
 
-def not_overlapping(sites: DataFrame, known: DataFrame, width: int = MAX_PRODUCT) -> DataFrame:
-    """JN-08, LC-11: sites that overlap no known one of their (tier, accession): a left-anti join over bins."""
+def not_overlapping(sites: DataFrame, known: DataFrame, width: int = MAX_PRODUCT, keys: tuple[str, ...] = ("tier", "accession"), by: tuple[str, ...] = ("site_id",)) -> DataFrame:
+    """JN-08, LC-11: sites that overlap no known one of the same ``keys``: a left-anti join over bins. ``by`` names the columns that tell sites apart."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    k = known.select("tier", "accession", F.col("s_start").alias("k_start"), F.col("s_end").alias("k_end")).withColumn("bin", bins(F.col("k_start"), F.col("k_end")))
-    hit = sites.select("site_id", "tier", "accession", "s_start", "s_end", bins(F.col("s_start"), F.col("s_end")).alias("bin")).join(k, ["tier", "accession", "bin"])
-    hit = hit.where("s_start <= k_end AND k_start <= s_end").select("site_id").distinct()
-    return sites.join(hit, "site_id", "left_anti")
+    k = known.select(*keys, F.col("s_start").alias("k_start"), F.col("s_end").alias("k_end")).withColumn("bin", bins(F.col("k_start"), F.col("k_end")))
+    hit = sites.select(*dict.fromkeys((*by, *keys)), "s_start", "s_end", bins(F.col("s_start"), F.col("s_end")).alias("bin")).join(k, [*keys, "bin"])
+    hit = hit.where("s_start <= k_end AND k_start <= s_end").select(*by).distinct()
+    return sites.join(hit, list(by), "left_anti")
 
 
 def site_variants(sites: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from amplispark.functions.session import shared_dir
-from amplispark.operators import alignment, oligo_qc
+from amplispark.operators import alignment, oligo_qc, partners
 from amplispark.plans.catalogue import register
-from amplispark.plans.sequences import BEST_SQL, best
+from amplispark.plans.sequences import BEST_SQL, _windows, best
 from amplispark.plans.synthetic import CONTIGS, FORWARD, PROBE, REVERSE, dna, duck, view
 from amplispark.sources import files
 from amplispark.streaming import store
@@ -36,14 +36,36 @@ _PAIR_ROWS = f"SELECT CAST(p_partkey AS BIGINT) AS k, substr({dna('p_partkey')},
 register("pair_structures", lambda s, d: alignment.pair_structures(view(s, d, _PAIR_ROWS)).select("k", F.round("tm", 3).alias("tm"), F.round("dg", 3).alias("dg")))
 
 
+def _anchors(s, d):
+    """What a search reports here: the sites of both primers without a mismatch."""
+    sites = oligo_qc.find_sites(view(s, d, CONTIGS), (("forward", FORWARD), ("reverse", REVERSE)), 0)
+    return sites.select(
+        F.lit("near").alias("tier"), "accession", F.concat_ws(":", "accession", "oligo", "start").alias("site_id"), F.col("oligo").alias("role"), "oligo", F.col("strand").alias("orientation"),
+        (F.col("start") + 1).alias("s_start"), (F.col("start") + F.length("site")).alias("s_end"), F.lit("critical").alias("level"),
+    )
+
+
 def _scan(s, d):
-    sites = oligo_qc.find_sites(view(s, d, CONTIGS), (("forward", FORWARD),), 2)
-    anchors = sites.select(F.concat_ws(":", "accession", "start").alias("anchor_id"), "accession", F.col("strand").alias("orientation"), (F.col("start") + 1).alias("s_start"), (F.col("start") + 20).alias("s_end"))
-    partners = s.createDataFrame([("reverse", REVERSE), ("probe_rc", PROBE)], "oligo string, oligo_seq string")
-    return alignment.partner_scan(anchors, view(s, d, CONTIGS), partners, reach=120)
+    anchors = _anchors(s, d)
+    oligos = s.createDataFrame([("forward", "forward", FORWARD), ("reverse", "reverse", REVERSE)], "oligo string, role string, oligo_seq string")
+    return partners.partner_scan(anchors, view(s, d, CONTIGS), oligos, anchors).select("accession", "oligo", "orientation", "anchor_id", "s_start", "s_end", "mismatches", "gaps", "clean3", "level")
 
 
-register("partner_scan", _scan)
+# In these contigs a partner differs from its oligo by substitutions only, so that its best alignment has no gap.
+_CLEAN = lambda o: f"CAST(length(regexp_extract(list_aggregate(list_transform(generate_series(1, {len(o)}), lambda i: CASE WHEN substr(site, i, 1) = substr('{o}', i, 1) THEN 'm' ELSE 'x' END), 'string_agg', ''), 'm*$')) AS INTEGER)"
+register(
+    "partner_scan",
+    _scan,
+    f"""WITH {_windows(("forward", "reverse"), 5)}, x AS (
+  SELECT accession, oligo, strand AS orientation, start + 1 AS s_start, start + length(site) AS s_end, mismatches, CASE oligo WHEN 'forward' THEN {_CLEAN(FORWARD)} ELSE {_CLEAN(REVERSE)} END AS clean3 FROM sites
+), l AS (SELECT *, CASE WHEN mismatches <= 3 AND clean3 >= 5 THEN 'critical' WHEN clean3 >= 3 THEN 'warning' ELSE 'minor' END AS level FROM x),
+p AS (
+  SELECT b.*, a.accession || ':' || a.oligo || ':' || (a.s_start - 1) AS anchor_id, row_number() OVER (PARTITION BY a.accession, a.oligo, a.s_start, b.oligo ORDER BY b.mismatches, b.clean3 DESC) AS r
+  FROM l a JOIN l b ON a.accession = b.accession AND a.mismatches = 0 AND a.oligo <> b.oligo AND a.orientation <> b.orientation
+   AND CASE a.orientation WHEN '+' THEN a.s_start < b.s_start AND a.s_end < b.s_end AND b.s_end <= a.s_start + 1999 ELSE b.s_start < a.s_start AND b.s_end < a.s_end AND b.s_start >= a.s_end - 1999 END
+), n AS (SELECT * FROM p WHERE r = 1 AND level <> 'minor' AND mismatches > 0)
+SELECT accession, oligo, orientation, min(anchor_id) AS anchor_id, s_start, s_end, mismatches, 0 AS gaps, clean3, level FROM n GROUP BY ALL""",
+)
 
 
 def _fragment_variants(s, d):

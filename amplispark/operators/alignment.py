@@ -67,14 +67,34 @@ def chosen(rows: DataFrame) -> DataFrame:
 
 def pair_structures(pairs: DataFrame) -> DataFrame:
     """QC-07, TH-03: (…, seq_a, seq_b) with the most stable dimer of each pair."""
-    each = lambda rows: [structures.dimer(*r) for r in rows]
-    return with_kernel(pairs, ["seq_a", "seq_b"], each, "tm double, dg double")
+    return with_kernel(pairs, ["seq_a", "seq_b"], structures.dimers, "tm double, dg double")
 
 
 def hairpins(oligos: DataFrame) -> DataFrame:
     """QC-07, TH-03: (…, sequence) with the most stable hairpin of each oligo; nulls where it has none."""
-    each = lambda rows: [structures.hairpin(r[0]) for r in rows]
-    return with_kernel(oligos, ["sequence"], each, "hairpin_tm double, hairpin_dg double")
+    return with_kernel(oligos, ["sequence"], lambda rows: structures.hairpins([s for (s,) in rows]), "hairpin_tm double, hairpin_dg double")
+
+
+def site_duplexes(sites: DataFrame, key: str = "site_id") -> DataFrame:
+    """TH-04, TH-05: (…, tm, dg, delta_tm) of each aligned site (``key``, q_aln, s_aln): of the degenerate oligo's mix the member that binds best.
+
+    A degenerate code takes the template's base where it holds it, as that
+    member of the mix binds there, and is expanded where it does not; a code of
+    the template takes the oligo's base where it holds it, else its first one.
+    Nulls where less than eight bases lie opposite, or nothing pairs.
+    """
+    bases = F.create_map(*[F.lit(x) for c, b in seq.CODES.items() for x in (c, b)])
+    holds = lambda code, b: F.coalesce(F.instr(bases[code], b) > 0, F.lit(False))
+    plain = lambda b: b.isin(*"ACGT")
+    q, t = seq.chars(F.col("q_aln")), seq.chars(F.col("s_aln"))
+    member = F.array_join(F.filter(F.zip_with(q, t, lambda a, b: F.when(a == "-", "").otherwise(F.when(plain(b) & holds(a, b), b).otherwise(a))), lambda x: x != ""), "")
+    # Both codes degenerate: the template takes the first of its bases that the oligo's code holds.
+    shared = lambda a, b: F.get(F.filter(seq.chars(bases[b]), lambda x: holds(a, x)), 0)
+    template = F.array_join(F.zip_with(q, t, lambda a, b: F.when(b.isin("-", "."), "").when(plain(b), b).otherwise(F.coalesce(shared(a, b), F.substring(bases[b], 1, 1), F.lit("N")))), "")
+    mix = sites.select("*", template.alias("_t"), F.when(seq.combinations(member) <= 64, seq.expand(member)).otherwise(F.array(member)).alias("_mix"))
+    each = with_kernel(mix.select(F.col(key).alias("_key"), F.col("_t"), F.explode("_mix").alias("_m")), ["_m", "_t"], structures.duplexes, "tm double, dg double, delta_tm double")
+    best = each.groupBy("_key").agg(F.max_by(F.struct("tm", "dg", "delta_tm"), F.struct("tm", "_m")).alias("_b"))
+    return sites.join(best, sites[key] == best["_key"], "left").drop("_key").select(*sites.columns, "_b.tm", "_b.dg", "_b.delta_tm")
 
 
 def measure(q: Column, s: Column, unobserved_matches: bool = True) -> Column:

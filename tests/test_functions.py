@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from amplispark.functions import grading, kernels, seq, structures, thermo
+from amplispark.functions import grading, kernels, seq, thermo
 from amplispark.operators import alignment, specificity
 
 
@@ -194,7 +194,3 @@ def test_other_kernels():
     got = kernels.find_sites_in([("a", "ACG"), ("b", "TTC")], seqs, 1)
     want = [(k, n, *x) for n, o in (("a", "ACG"), ("b", "TTC")) for k, s in enumerate(seqs) for x in kernels.find_sites(o, s, 1)]
     assert sorted(got) == sorted(want)
-    assert structures.dimer("ACACACAC", "ACACACAC") is None
-    assert structures.dimer("GCGCGCGC", "GCGCGCGC")[0] > structures.dimer("ATATATAT", "ATATATAT")[0]
-    assert structures.hairpin("GGGGGCTTTTGCCCCC") is not None and structures.hairpin("AAAAAAAAAAAA") is None
-    assert structures.duplex("ACGTACGTACGT", "ACGTACGTACGT")[1] == 0.0 and structures.duplex("ACGTACG", "ACGTACG") is None

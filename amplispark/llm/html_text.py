@@ -16,6 +16,10 @@ belongs to the root, so that a page without markup is judged as one block by its
 hold ends it, and a block's start ends a control without an end tag), nesting of any depth
 and pages of any length are handled without recursion; repeated rows are read
 each by itself; an empty table gives an empty result; other columns are not read.
+Where no tag or name tells, as on a page of plain ``div`` or table cells, size,
+links, sentences and the place among the neighbours decide: blocks of sentences
+are kept, blocks of links and the short ones at the ends of a page go. A
+``header`` goes also inside an article, and its heading with it.
 """
 
 from __future__ import annotations
@@ -186,6 +190,18 @@ def _level(x: float, bounds: tuple[float, ...]) -> int:
     return sum(x > b for b in bounds)
 
 
+@lru_cache(maxsize=20_000)
+def of_name(x: str) -> tuple[str, ...]:
+    """The features of a name: itself, and how it begins and ends, so that a name not seen in training is known by its parts."""
+    return (f"name={x}", *(f"head={x[:k]}" for k in (2, 3, 4) if len(x) >= k), *(f"tail={x[-k:]}" for k in (3, 4) if len(x) >= k))
+
+
+@lru_cache(maxsize=20_000)
+def of_name_around(x: str) -> tuple[str, ...]:
+    """The same of a name of the nearest element around that has one."""
+    return tuple(f"within-{f}" for f in of_name(x))
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
     """The names of each node's binary features."""
     chars, links, stops = [n.chars for n in nodes], [n.link_chars for n in nodes], [n.stops for n in nodes]
@@ -194,18 +210,39 @@ def features(nodes: list[Node]) -> list[list[str]]:
         chars[p] += chars[i]
         links[p] += links[i]
         stops[p] += stops[i]
+    # Of the blocks with text below a node: the first, the last, the largest, and the kinds of section among them.
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    largest: dict[int, int] = {}
+    kinds: dict[int, set[str]] = {}
+    for i, n in enumerate(nodes):
+        if i and chars[i]:
+            first.setdefault(n.parent, i)
+            last[n.parent] = i
+            if n.parent not in largest or chars[i] > chars[largest[n.parent]]:
+                largest[n.parent] = i
+            if n.tag in SECTIONS:
+                kinds.setdefault(n.parent, set()).add(n.tag)
     out = []
     around: list[tuple[list[str], str]] = []  # for the nodes within one: the nearest names, the nearest section
     for i, n in enumerate(nodes):
         share = links[i] / chars[i] if chars[i] else 0.0
         parent = nodes[n.parent].tag if n.parent >= 0 else ""
         names, section = around[n.parent] if n.parent >= 0 else ([], "")
-        around.append((list(dict.fromkeys(n.names)) or names, n.tag if n.tag in SECTIONS else section))
-        out.append(
-            [f"tag={n.tag}", f"in={parent}", f"section={section}", f"size={_level(chars[i], (0, 15, 60, 200, 800))}", f"links={_level(share, (0, 0.3, 0.7))}", f"stops={_level(stops[i], (0, 2, 6))}"]
-            + [f"name={x}" for x in dict.fromkeys(n.names)]
-            + [f"within={x}" for x in names]
-        )
+        own = list(dict.fromkeys(n.names))
+        around.append((own or names, n.tag if n.tag in SECTIONS else section))
+        found = [f"tag={n.tag}", f"in={parent}", f"section={section}", f"size={_level(chars[i], (0, 15, 60, 200, 800))}", f"links={_level(share, (0, 0.3, 0.7))}", f"stops={_level(stops[i], (0, 2, 6))}"]
+        if i and chars[i]:
+            p = n.parent
+            found.append("place=" + ("only" if first[p] == last[p] else "first" if first[p] == i else "last" if last[p] == i else "inner"))
+            found.append("largest" if largest[p] == i else f"of-largest={_level(chars[i] / chars[largest[p]], (0.02, 0.1, 0.4))}")
+            if not (own or names):
+                found += [f"beside={x}" for x in kinds.get(p, ()) if x != n.tag]
+        for x in own:
+            found += of_name(x)
+        for x in names:
+            found += of_name_around(x)
+        out.append(found)
     return out
 
 
@@ -273,10 +310,12 @@ def forest_marginals(parent: np.ndarray, levels: list[np.ndarray], own: np.ndarr
     return 1 / (1 + np.exp(np.clip(up[0] - up[1], -700, 700))), joint
 
 
-def train(pages: list[str], steps: int = 200, rate: float = 0.3, decay: float = 1e-7) -> Model:
+def train(pages: list[str], steps: int = 80, rate: float = 0.9, decay: float = 1e-7) -> Model:
     """Own and pair potentials together, by the likelihood of the labels: observed less expected features, the latter by sum-product."""
     parsed = [parse(p)[0] for p in pages]
-    named = [f for nodes in parsed for f in features(nodes)]
+    # Every other name is hidden, so that its beginning and end learn to stand for it.
+    hidden = lambda i, fs: fs if i % 2 else [f for f in fs if not f.startswith(("name=", "within-name="))]
+    named = [hidden(i, f) for i, f in enumerate(f for nodes in parsed for f in features(nodes))]
     y = np.array([x for nodes in parsed for x in labels(nodes)])
     first = np.cumsum([0, *map(len, parsed)])
     parent = np.array([max(0, n.parent) + a for nodes, a in zip(parsed, first[:-1].tolist(), strict=True) for n in nodes])

@@ -65,13 +65,6 @@ def hits_per_query(hsps: DataFrame, tiers: list[str]) -> DataFrame:
     return hsps.groupBy("query").pivot("tier", tiers).agg(F.countDistinct("hit")).na.fill(0)
 
 
-def probe_bound(floors: DataFrame) -> DataFrame:
-    """SP-17: per tier whether all its searches bound what could have been missed, else the first reason why not."""
-    reason = F.when(F.col("searches") == 0, F.lit("not searched")).when(F.col("floor") > 10, F.lit("floor too high")).when(F.col("list_full"), F.lit("list full"))
-    placed = floors.withColumn("reason", reason)
-    return placed.groupBy("tier").agg(F.bool_and(F.col("reason").isNull()).alias("bounded"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("query"))).alias("reason"))
-
-
 def majority_plasmid(sequences: DataFrame) -> DataFrame:
     """LC-17: per genome whether at least half of its target copies lie on a plasmid, by role or else by title."""
     on = F.coalesce(F.col("role") == "plasmid", seq.is_plasmid(F.col("title")))

@@ -68,11 +68,6 @@ def always_reported(length: Column, floor: Column, word: int = 7) -> Column:
     return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), length), fine)), F.lit(-1))
 
 
-def floors(searches: DataFrame) -> DataFrame:
-    """SP-16: per (tier, query) the highest floor of its searches and how many there were."""
-    return searches.groupBy("tier", "query").agg(F.max("floor").alias("floor"), F.count("*").alias("searches"))
-
-
 def merge_sites(sites: DataFrame) -> DataFrame:
     """JN-02: overlapping sites of one oligo, strand and record as one, with the best of them (gaps and islands)."""
     keys = ["tier", "accession", "role", "orientation"]

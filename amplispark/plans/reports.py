@@ -55,13 +55,6 @@ register(
     lambda s, d: reports.hits_per_query(view(s, d, HSPS), ["near", "background", "other"]),
     f"SELECT query, count(DISTINCT hit) FILTER (tier = 'near') AS near, count(DISTINCT hit) FILTER (tier = 'background') AS background, count(DISTINCT hit) FILTER (tier = 'other') AS other FROM {_H} GROUP BY 1",
 )
-_FLOORS = "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'background' ELSE 'other' END AS tier, 'q' || CAST(s_suppkey AS {STR}) AS query, CAST(7 + s_nationkey % 5 AS INT) AS floor, CAST(s_suppkey % 9 AS INT) AS searches, s_suppkey % 4 = 0 AS list_full FROM {supplier}"
-register(
-    "probe_bound",
-    lambda s, d: reports.probe_bound(view(s, d, _FLOORS)),
-    f"""WITH r AS (SELECT *, CASE WHEN searches = 0 THEN 'not searched' WHEN floor > 10 THEN 'floor too high' WHEN list_full THEN 'list full' END AS reason FROM {duck(_FLOORS)})
-SELECT tier, bool_and(reason IS NULL) AS bounded, arg_min(reason, query) FILTER (reason IS NOT NULL) AS reason FROM r GROUP BY 1""",
-)
 _MOLECULES = "SELECT CAST(l_orderkey AS BIGINT) AS accession, CASE l_linenumber % 4 WHEN 0 THEN 'plasmid' WHEN 1 THEN 'chromosome' ELSE NULL END AS role, CASE WHEN l_partkey % 2 = 0 THEN 'strain x plasmid pA' ELSE 'strain x chromosome' END AS title FROM {lineitem}"
 register(
     "plasmid_majority",

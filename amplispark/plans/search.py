@@ -70,7 +70,6 @@ register(
     lambda s, d: _floored(s, d).select("search", "floor", specificity.always_reported(F.col("length"), F.col("floor")).alias("always")),
     f"SELECT search, floor, CAST(coalesce(list_max(list_filter(generate_series(0, length), lambda m: length - 4 * m >= floor AND ceil((length - m) / (m + 1)) >= 7)), -1) AS INTEGER) AS always FROM {_FLOORED}",
 )
-register("floors_by_tier", lambda s, d: specificity.floors(_floored(s, d)), f"SELECT tier, query, max(floor) AS floor, count(*) AS searches FROM {_FLOORED} GROUP BY 1, 2")
 register(
     "merge_sites",
     lambda s, d: specificity.merge_sites(view(s, d, SITES)),

@@ -189,3 +189,41 @@ def role_windows(found: DataFrame, roles: DataFrame, pad: int = 15) -> DataFrame
     inside = (at >= 0) & (at + F.col("size") <= F.length("region"))
     window = F.when(inside, F.when(F.col("on") == "-", seq.reverse_complement(cut)).otherwise(cut))
     return j.select("accession", "contig", "strand", "start", "oligo", "oligo_seq", window.alias("window"))
+
+
+def partitioned_copies(contigs: DataFrame, hits: DataFrame, references: Sequence[Reference], longest: int, flank: int = search.FLANK, within: int = search.TOLERANCE) -> DataFrame:
+    """LC-18: (accession, contig, strand, start, end, anchored, identity, found_by): the copies in records, small ones read whole and large ones around the hits of a search.
+
+    A record of at most ``longest`` bases is scanned as it is. Of a larger one
+    only the stretches around its hits are cut and scanned, and what is found
+    there is moved to the record's own coordinates. Hits are (accession, contig,
+    hit_from, hit_to), from 1 on the forward strand; those of records that were
+    not searched, small or unknown, are leaks and have no effect. Copies of one
+    strand that start within ``within`` bases of each other are one, that with
+    most anchored bases.
+    """
+    named = _named(contigs).withColumn("_n", F.length("seq"))
+    large = named.where(F.col("_n") > longest)
+    pad = max(len(r.fragment) for r in references) + flank + within
+    h = hits.select("accession", "contig" if "contig" in hits.columns else F.col("accession").alias("contig"), (F.col("hit_from") - 1 - pad).alias("a"), (F.col("hit_to") + pad).alias("b"))
+    # Stretches that meet are one, so that no copy is cut by the end of a stretch but where the record ends.
+    along = Window.partitionBy("accession", "contig").orderBy("a", "b")
+    opens = F.col("a") > F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = h.withColumn("_o", F.coalesce(opens.cast("int"), F.lit(0))).withColumn("_r", F.sum("_o").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = runs.groupBy("accession", "contig", "_r").agg(F.greatest(F.min("a"), F.lit(0)).alias("a"), F.max("b").alias("b"))
+    cut = large.join(stretches, ["accession", "contig"]).withColumn("b", F.least("b", "_n"))  # an inner join: leaks meet no large record
+    piece = F.concat_ws("|", "contig", "a", "b")
+    pieces = cut.select("accession", piece.alias("piece"), "contig", "a", "b", F.col("_n").alias("n"), F.substring(F.col("seq"), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("seq"))
+    of = lambda rows: judged(candidates(rows, references, flank=flank)).where("is_copy")
+    direct = of(named.where((F.col("_n") > 0) & (F.col("_n") <= longest)).select("accession", "contig", "seq"))
+    direct = direct.select("accession", "contig", "strand", "start", "end", "anchored", "identity", F.lit("direct_scan").alias("found_by"))
+    near = of(pieces.select("accession", F.col("piece").alias("contig"), "seq")).withColumnRenamed("contig", "piece")
+    near = near.join(pieces.drop("seq"), ["accession", "piece"])
+    shift = F.when(F.col("strand") == "+", F.col("a")).otherwise(F.col("n") - F.col("b"))
+    near = near.select("accession", "contig", "strand", (F.col("start") + shift).cast("int").alias("start"), (F.col("end") + shift).cast("int").alias("end"), "anchored", "identity", F.lit("search").alias("found_by"))
+    every = direct.unionByName(near)
+    line = Window.partitionBy("accession", "contig", "strand").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(line) > within, F.lit(True))
+    places = every.withColumn("_o", apart.cast("int")).withColumn("_r", F.sum("_o").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("start", "end", "anchored", "identity", "found_by"), F.struct("anchored", "identity", -F.col("start")))
+    return places.groupBy("accession", "contig", "strand", "_r").agg(best.alias("b")).select("accession", "contig", "strand", "b.*")

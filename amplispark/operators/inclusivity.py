@@ -120,10 +120,10 @@ def positions(best: DataFrame, oligos: tuple[tuple[str, str], ...]) -> DataFrame
     return diff.agg(*[F.coalesce(F.sum(F.when(F.col("seen") == b, F.col("n"))), F.lit(0)).alias(b) for b in "ACGTN"])
 
 
-def escapes(best: DataFrame, genomes: DataFrame, most: int) -> DataFrame:
-    """AG-04: genomes that would be missed, with at most ``most`` examples, by a coarse reason from their mismatches alone; AS-13 is :func:`outcomes.escape_kinds`."""
-    missed = genomes.where("outcome = 'likely_failure'").withColumn("reason", F.when(F.col("mismatches") >= 4, F.lit("pair")).otherwise(F.lit("mismatch")))
-    placed = missed.withColumn("_n", F.row_number().over(Window.partitionBy("reason").orderBy("accession"))).where(F.col("_n") <= most)
-    examples = placed.groupBy("reason").agg(F.array_join(F.sort_array(F.collect_list("accession")), ",").alias("examples"))
-    counts = missed.groupBy("reason").agg(F.count("*").alias("genomes"), count_if(F.col("level") == "complete").alias("complete"))
-    return counts.join(examples, "reason").select("reason", "genomes", "complete", "examples")
+def escapes(kinds: DataFrame, genomes: DataFrame, most: int = 10) -> DataFrame:
+    """AG-04: of each kind of escape (AS-13, :func:`outcomes.escape_kinds`) the genomes, the complete ones among them, and the first ``most`` accessions."""
+    missed = kinds.join(genomes.select("accession", "level"), "accession")
+    placed = missed.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("accession"))).where(F.col("_n") <= most)
+    examples = placed.groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list("accession")), lambda x: x.cast("string")), ",").alias("examples"))
+    counts = missed.groupBy("kind").agg(F.count("*").alias("genomes"), count_if(F.col("level") == "complete").alias("complete"))
+    return counts.join(examples, "kind").select("kind", "genomes", "complete", "examples")

@@ -25,12 +25,6 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _ORACLES[name] = sql
 
 
-def both(name: str, query: Query, sql: str) -> None:
-    """Registers a query over all rows under its name and, as before, under that with ``_whole``."""
-    register(name, query, sql)
-    register(f"{name}_whole", query, sql)
-
-
 def _load() -> None:
     for topic in TOPICS:
         importlib.import_module(f"amplispark.plans.{topic}")

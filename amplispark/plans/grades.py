@@ -163,10 +163,3 @@ register(
 SELECT oligo, CAST(pos AS INTEGER) AS pos, base, count(*) FILTER (seen = 'A') AS "A", count(*) FILTER (seen = 'C') AS "C", count(*) FILTER (seen = 'G') AS "G", count(*) FILTER (seen = 'T') AS "T", count(*) FILTER (seen = 'N') AS "N"
 FROM e WHERE seen <> base GROUP BY 1, 2, 3""",
 )
-register(
-    "escape_reasons",
-    lambda s, d: inclusivity.escapes(best(s, d), genomes(s, d), 10),
-    f"""WITH {GENOMES_SQL}, e AS (SELECT accession, level, CASE WHEN mismatches >= 4 THEN 'pair' ELSE 'mismatch' END AS reason FROM genomes WHERE outcome = 'likely_failure'),
-r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY accession) AS n FROM e)
-SELECT reason, count(*) AS genomes, count(*) FILTER (level = 'complete') AS complete, string_agg(accession, ',' ORDER BY accession) FILTER (n <= 10) AS examples FROM r GROUP BY 1""",
-)

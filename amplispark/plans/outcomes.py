@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from amplispark.operators import outcomes
+from amplispark.operators import inclusivity, outcomes
 from amplispark.plans.catalogue import register
 from amplispark.plans.synthetic import dna, duck, view
 
 _FAILS = "SELECT CAST(o_orderkey AS BIGINT) AS accession, CAST(l_linenumber AS INT) AS role, CASE WHEN l_returnflag = 'N' THEN 'ok' ELSE 'fail' END AS state, l_partkey % 4 = 0 AS alone_ok, CAST(l_suppkey % 4 AS INT) AS mismatches, CAST(l_partkey % 3 AS INT) AS gaps, l_partkey % 5 = 1 AS by_run, o_custkey % 9 = 0 AS rescued FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
+_KINDS_SQL = f"""WITH f AS (SELECT *, CASE WHEN alone_ok THEN 3 WHEN by_run AND mismatches = 0 THEN 4 WHEN gaps > 0 THEN 1 ELSE 2 END AS r FROM {duck(_FAILS)} WHERE state = 'fail')
+SELECT accession, CASE WHEN bool_or(rescued) THEN 'run_length' ELSE ['gap', 'mismatch', 'pair', 'run_length'][min(r)] END AS kind FROM f GROUP BY 1"""
+register("escape_kinds", lambda s, d: outcomes.escape_kinds(view(s, d, _FAILS)), _KINDS_SQL)
+_LEVELS = "SELECT CAST(o_orderkey AS BIGINT) AS accession, CASE WHEN o_orderkey % 4 = 0 THEN 'complete' ELSE 'contig' END AS level FROM {orders}"
 register(
-    "escape_kinds",
-    lambda s, d: outcomes.escape_kinds(view(s, d, _FAILS)),
-    f"""WITH f AS (SELECT *, CASE WHEN alone_ok THEN 3 WHEN by_run AND mismatches = 0 THEN 4 WHEN gaps > 0 THEN 1 ELSE 2 END AS r FROM {duck(_FAILS)} WHERE state = 'fail')
-SELECT accession, CASE WHEN bool_or(rescued) THEN 'run_length' ELSE ['gap', 'mismatch', 'pair', 'run_length'][min(r)] END AS kind FROM f GROUP BY 1""",
+    "escape_reasons",
+    lambda s, d: inclusivity.escapes(outcomes.escape_kinds(view(s, d, _FAILS)), view(s, d, _LEVELS)),
+    f"""WITH k AS ({_KINDS_SQL}), r AS (SELECT k.*, level, row_number() OVER (PARTITION BY kind ORDER BY accession) AS n FROM k JOIN {duck(_LEVELS)} USING (accession))
+SELECT kind, count(*) AS genomes, count(*) FILTER (level = 'complete') AS complete, string_agg(accession::VARCHAR, ',' ORDER BY accession) FILTER (n <= 10) AS examples FROM r GROUP BY 1""",
 )
 _GAPPED = f"""SELECT CAST(p_partkey AS BIGINT) AS k, CAST(1 + p_size % 3 AS INT) AS n, CAST(p_partkey % 3 AS INT) AS what,
 CASE p_partkey % 3 WHEN 0 THEN substr({dna('p_partkey')}, 1, 6) || repeat('-', CAST(1 + p_size % 3 AS INT)) || substr({dna('p_partkey')}, 7, 14) WHEN 1 THEN substr({dna('p_partkey')}, 1, 20) ELSE 'YR' || substr({dna('p_partkey')}, 3, 18) END AS q,

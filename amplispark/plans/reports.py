@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import assess, reports, specificity
-from amplispark.plans.catalogue import both, register
+from amplispark.plans.catalogue import register
 from amplispark.plans.grades import EVIDENCE, PRIMERS
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, _PAIRS
 from amplispark.plans.sequences import DEGENERATE
@@ -19,7 +19,7 @@ register(
 )
 _TIER_LIST = "SELECT CASE WHEN n_nationkey < 22 THEN 'near' ELSE 'background' END AS tier, CAST(n_nationkey AS BIGINT) AS taxid FROM {nation}"
 _ALL_OLIGOS = f"SELECT 'o' || CAST(k AS {{STR}}) AS oligo, sequence FROM ({DEGENERATE}) t"
-both(
+register(
     "planned_searches",
     lambda s, d: reports.planned_searches(view(s, d, _ALL_OLIGOS), view(s, d, _TIER_LIST)).groupBy("tier", "chunk", "term").agg(F.count("*").alias("searches"), F.countDistinct("key").alias("keys"), F.countDistinct("label").alias("labels")),
     f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY taxid) - 1) // 20 AS chunk FROM {duck(_TIER_LIST)}), c AS (SELECT tier, chunk, string_agg('txid' || taxid || '[ORGN]', ' OR ' ORDER BY taxid) AS term FROM t GROUP BY 1, 2),
@@ -87,7 +87,7 @@ register(
     f"""SELECT count(*) AS judged, round(100.0 * count(*) FILTER (outcome = 'detectable') / count(*), 6) AS percent, round(100.0 * count(*) FILTER (outcome = 'detectable' AND NOT bulge) / count(*), 6) AS without_bulges,
 count(*) FILTER (f >= 2 AND r >= 2) AS two_and_two, count(*) FILTER (f = 0 AND r >= 3) AS reverse_only FROM {duck(_ALT)} WHERE outcome <> 'undetermined'""",
 )
-both(
+register(
     "tier_overview",
     lambda s, d: reports.tier_overview(view(s, d, SITES), specificity.products(view(s, d, SITES), per_tier=None)),
     f"""WITH {_ALL_PAIRS}, c AS (SELECT tier, count(*) AS sites, min(mismatches + gaps) AS closest FROM s WHERE role <> 'probe' GROUP BY 1),

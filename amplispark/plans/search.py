@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import specificity, taxonomy
-from amplispark.plans.catalogue import both, register
+from amplispark.plans.catalogue import register
 from amplispark.plans.synthetic import CONTIGS, HSPS, SITES, TAXA, duck, view
 from amplispark.sources import search_hits
 
@@ -90,7 +90,7 @@ register(
     lambda s, d: specificity.products(view(s, d, SITES)),
     f'WITH {_PAIRS} SELECT c.tier, c.accession, c.left_id, c.right_id, left_role, right_role, start, "end", length, probe_id FROM cut c LEFT JOIN best b USING (left_id, right_id)',
 )
-both(
+register(
     "product_groups",
     lambda s, d: specificity.product_patterns(specificity.products(view(s, d, SITES), per_tier=None)),
     f"WITH {_ALL_PAIRS} SELECT tier, left_role, right_role, probe_id IS NOT NULL AS detected, count(*) AS n, count(DISTINCT accession) AS records, min(length) AS shortest FROM cut LEFT JOIN best USING (left_id, right_id) GROUP BY 1, 2, 3, 4",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from amplispark.functions import seq, thermo
 from amplispark.operators import oligo_qc
-from amplispark.plans.catalogue import both, register
+from amplispark.plans.catalogue import register
 from amplispark.plans.synthetic import CONTIGS, OLIGOS, dna, duck, view
 
 PARTS = f"SELECT CAST(p_partkey AS BIGINT) AS k, {dna('p_partkey')} AS d, p_name, p_type FROM {{part}}"
@@ -162,7 +162,7 @@ register(
 )
 #: Eight oligos an assay, over all parts.
 _EIGHTS = f"SELECT CAST(floor(p_partkey / 8) AS BIGINT) AS assay, CAST(p_partkey AS BIGINT) AS pos, CAST(p_partkey AS {{STR}}) AS oligo, substr({dna('p_partkey')}, 1, 20) AS sequence FROM {{part}}"
-both(
+register(
     "qc_pairs",
     lambda s, d: oligo_qc.oligo_pairs(view(s, d, _EIGHTS)).select("assay", "oligo_a", "oligo_b", seq.count_mismatches(F.col("sequence_a"), F.col("sequence_b")).alias("mismatches")),
     f"WITH o AS (SELECT * FROM {duck(_EIGHTS)}) SELECT a.assay, a.oligo AS oligo_a, b.oligo AS oligo_b, CAST(hamming(a.sequence, b.sequence) AS INTEGER) AS mismatches FROM o a JOIN o b ON a.assay = b.assay AND a.pos < b.pos",
@@ -174,7 +174,7 @@ def _by_position(s, d):
     return _checks(s, d).withColumns({"assay": F.floor(k / 8), "oligo": (k % 8).cast("string")})
 
 
-both(
+register(
     "qc_pivot",
     lambda s, d: oligo_qc.matrix(_by_position(s, d), [str(i) for i in range(8)], ("assay", "check")),
     f"""{_QC_SQL} SELECT CAST(floor(CAST(oligo AS BIGINT) / 8) AS BIGINT) AS assay, "check", {", ".join(f"max(status) FILTER (CAST(oligo AS BIGINT) % 8 = {i}) AS \"{i}\"" for i in range(8))} FROM w GROUP BY 1, 2""",

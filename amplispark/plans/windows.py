@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amplispark.operators import locate, specificity, taxonomy, windows
-from amplispark.plans.catalogue import both, register
+from amplispark.plans.catalogue import register
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, CLOSURE
 from amplispark.plans.synthetic import CONTIGS, FORWARD, FRAGMENT, HSPS, REVERSE, SITES, TAXA, duck, view
 
@@ -78,7 +78,7 @@ register(
     lambda s, d: windows.in_lineage(view(s, d, SITES).withColumn("taxid", F.col("taxid") + 1000), taxonomy.ancestors(view(s, d, TAXA)), 12).groupBy("tier", "role").agg(F.count("*").alias("n")),
     f"WITH RECURSIVE {CLOSURE} SELECT tier, role, count(*) AS n FROM {_S} WHERE taxid + 1000 IN (SELECT taxid FROM up WHERE ancestor = 12) GROUP BY 1, 2",
 )
-both(
+register(
     "cut_products",
     lambda s, d: windows.cut_products(specificity.products(view(s, d, SITES), per_tier=None), 500),
     f"""WITH {_ALL_PAIRS}

@@ -1,4 +1,4 @@
-"""Queries named ..._whole leave no row of their tables out."""
+"""Queries over pairs, matrices and plans leave no row of their tables out."""
 
 import os
 
@@ -25,11 +25,11 @@ def test_all_oligos_are_paired(spark):
     for k in keys(spark):
         sizes[k // 8] = sizes.get(k // 8, 0) + 1
     assert max(sizes.values()) <= 8
-    assert run(spark, "qc_pairs_whole").count() == sum(n * (n - 1) // 2 for n in sizes.values())
+    assert run(spark, "qc_pairs").count() == sum(n * (n - 1) // 2 for n in sizes.values())
 
 
 def test_all_oligos_are_in_the_matrix(spark):
-    m = run(spark, "qc_pivot_whole")
+    m = run(spark, "qc_pivot")
     checks = m.select("check").distinct().count()
     cells = sum(x is not None for r in m.select(*[str(i) for i in range(8)]).collect() for x in r)
     assert cells == checks * len(keys(spark))
@@ -37,4 +37,4 @@ def test_all_oligos_are_in_the_matrix(spark):
 
 def test_all_oligos_are_planned(spark):
     concrete = view(spark, SF, DEGENERATE).agg(F.sum(F.size(seq.expand(F.col("sequence"))))).first()[0]
-    assert {r.searches for r in run(spark, "planned_searches_whole").collect()} == {concrete}
+    assert {r.searches for r in run(spark, "planned_searches").collect()} == {concrete}

@@ -103,14 +103,15 @@ def train_fold(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, docs_per_language: int = 1000) -> Model:
-    """Learns from (doc_id, text, lang) rows; at most about ``docs_per_language`` of a language are read, by the hash of doc_id."""
+    """Learns from (doc_id, text, lang) rows; about ``docs_per_language`` of a language are read, by the hash of id and text, equal rows once."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([])
     scale = 1 << 30
     limits = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(scale, int(scale * docs_per_language / n) + 1))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limits[F.col("lang")])
+    # Rows that share an id are dealt apart, equal ones fall in or out together and count once: the bound holds whatever repeats.
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < limits[F.col("lang")]).select("lang", "doc_id", "text").distinct()
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
     return model_of(sorted(zip(*(counted[c].to_pylist() for c in ("lang", "word", "n")), strict=True)))

@@ -123,7 +123,9 @@ def fit(
     prior = n_toxic / n_known if prior is None else prior
     scale = 1 << 30
     part = lambda most, n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(scale)) < min(scale, int(scale * most / max(1, n)) + 1)
-    rows_of = lambda ids: docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")  # noqa: E731  # ids of a bounded sample
+    # Ids of a bounded sample; of rows that share one the text with the least hash, so that the rows are bounded as well.
+    one_text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows_of = lambda ids: docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(one_text).orderBy("doc_id").select("text")
     positive = _buckets(_hashed(rows_of(known.where((F.col("toxic") == 1) & part(n_positive, n_toxic, 1)).select("doc_id"))))
     if not positive:
         return nothing

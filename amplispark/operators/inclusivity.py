@@ -127,3 +127,24 @@ def escapes(kinds: DataFrame, genomes: DataFrame, most: int = 10) -> DataFrame:
     examples = placed.groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list("accession")), lambda x: x.cast("string")), ",").alias("examples"))
     counts = missed.groupBy("kind").agg(F.count("*").alias("genomes"), count_if(F.col("level") == "complete").alias("complete"))
     return counts.join(examples, "kind").select("kind", "genomes", "complete", "examples")
+
+
+def fragment_variants(best: DataFrame, genomes: DataFrame, most: int = 3) -> DataFrame:
+    """AG-15: (forward, probe, reverse, n, level, first_year, last_year, organisms, most) of each combination of site sequences.
+
+    Best sites are (accession, oligo, site), one of an oligo in a genome; genomes
+    with an N in a site, or without a site, have no combination. ``level`` is the
+    most frequent assembly level, ``most`` has the taxa of most of its genomes.
+    """
+    whole = best.where(~F.col("site").contains("N"))
+    oligos = ["forward", "probe", "reverse"]
+    wide = whole.groupBy("accession").agg(*[F.max(F.when(F.col("oligo") == o, F.col("site"))).alias(o) for o in oligos]).dropna()
+    j = wide.join(genomes.select("accession", "level", "release_year", "taxid"), "accession")
+    each = j.groupBy(*oligos, "level", "taxid").agg(F.count("*").alias("n"), F.min("release_year").alias("first"), F.max("release_year").alias("last"))
+    taxa = each.groupBy(*oligos, "taxid").agg(F.sum("n").alias("n"))
+    ranked = taxa.withColumn("_r", F.row_number().over(Window.partitionBy(*oligos).orderBy(F.desc("n"), "taxid"))).where(F.col("_r") <= most)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws("=", F.col("taxid").cast("string"), F.col("n").cast("string")).alias("t")))), lambda x: x["t"])
+    top = ranked.groupBy(*oligos).agg(F.array_join(named, ",").alias("most"))
+    levels = each.groupBy(*oligos, "level").agg(F.sum("n").alias("n")).groupBy(*oligos).agg(F.max_by("level", F.struct("n", "level")).alias("level"))
+    per = each.groupBy(*oligos).agg(F.sum("n").alias("n"), F.min("first").alias("first_year"), F.max("last").alias("last_year"), F.count_distinct("taxid").alias("organisms"))
+    return per.join(levels, oligos).join(top, oligos).select(*oligos, "n", "level", "first_year", "last_year", "organisms", "most")

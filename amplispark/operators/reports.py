@@ -25,14 +25,26 @@ def site_changes(q: Column, s: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.sequence(F.lit(1), n), named), lambda x: x.isNotNull()), ", ")
 
 
-def planned_searches(oligos: DataFrame, tiers: DataFrame, taxa_per_search: int = 20) -> DataFrame:
+def search_terms(tiers: DataFrame, excluded: DataFrame | None = None, taxa_per_search: int = 20) -> DataFrame:
+    """PL-04: (tier, chunk, term): the taxa of each chunk of a tier, without the (tier, taxid) taxa that other tiers or the target have of it."""
+    any_of = lambda c: F.array_join(F.transform(c, lambda t: F.concat(F.lit("txid"), t.cast("string"), F.lit("[ORGN]"))), " OR ")
+    order = F.row_number().over(Window.partitionBy("tier").orderBy("taxid")) - 1
+    chunks = tiers.withColumn("chunk", F.floor(order / taxa_per_search)).groupBy("tier", "chunk").agg(F.sort_array(F.collect_list("taxid")).alias("taxa"))
+    chunks = chunks.select("tier", "chunk", any_of(F.col("taxa")).alias("term"))
+    if excluded is None:
+        return chunks
+    # A chunk leaves out all that its tier leaves out, as any of its taxa may hold it.
+    without = excluded.groupBy("tier").agg(any_of(F.sort_array(F.collect_set("taxid"))).alias("_without"))
+    j = chunks.join(without, "tier", "left")
+    term = F.when(F.col("_without").isNull(), F.col("term")).otherwise(F.concat(F.lit("("), "term", F.lit(") NOT ("), "_without", F.lit(")")))
+    return j.select("tier", "chunk", term.alias("term"))
+
+
+def planned_searches(oligos: DataFrame, tiers: DataFrame, taxa_per_search: int = 20, excluded: DataFrame | None = None) -> DataFrame:
     """PL-01, PL-04, PL-05: a search for each concrete oligo, tier and chunk of taxa, with its query text and key; all of them a plan's size."""
     variants = oligos.select("oligo", F.size(seq.expand(F.col("sequence"))).alias("n"), F.posexplode(seq.expand(F.col("sequence"))).alias("v", "sequence"))
     label = F.when(F.col("n") > 1, F.concat("oligo", F.lit("_v"), (F.col("v") + 1).cast("string"))).otherwise(F.col("oligo"))
-    order = F.row_number().over(Window.partitionBy("tier").orderBy("taxid")) - 1
-    chunks = tiers.withColumn("chunk", F.floor(order / taxa_per_search)).groupBy("tier", "chunk").agg(F.sort_array(F.collect_list("taxid")).alias("taxa"))
-    terms = F.array_join(F.transform("taxa", lambda t: F.concat(F.lit("txid"), t.cast("string"), F.lit("[ORGN]"))), " OR ")
-    chunks = chunks.select("tier", "chunk", terms.alias("term"))
+    chunks = search_terms(tiers, excluded, taxa_per_search)
     return variants.crossJoin(F.broadcast(chunks)).select(label.alias("label"), "sequence", "tier", "chunk", "term", F.sha2(F.concat_ws("|", "sequence", "term"), 256).alias("key"))  # both sides are an assay's own
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from amplispark.operators import groups, specificity
+from amplispark.operators import groups, reports, specificity
 from amplispark.plans.catalogue import register
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, _S
 from amplispark.plans.synthetic import SITES, duck, view
+from amplispark.sources import sinks
 
 #: Two suppliers of three have a species; its name is shared by suppliers of a nation.
 _SPECIES = "SELECT CAST(s_suppkey AS BIGINT) AS taxid, 'species ' || CAST(s_nationkey AS {STR}) AS name FROM {supplier} WHERE s_suppkey % 3 > 0"
@@ -37,3 +38,26 @@ k AS (SELECT oligo, part, grade, kind, count(*) AS c, sum(n) AS k FROM p WHERE p
 SELECT oligo, part, grade, variant, CAST(1 AS BIGINT) AS variants, n AS records, CAST(NULL AS VARCHAR) AS kinds FROM p WHERE part = 'listed'
 UNION ALL SELECT oligo, part, grade, NULL, CAST(sum(c) AS BIGINT), CAST(sum(k) AS BIGINT), CASE WHEN part = 'singles' THEN string_agg(kind || '=' || c, ',' ORDER BY r) FILTER (r <= 3) END FROM t GROUP BY 1, 2, 3""",
 )
+_TAXA = "SELECT DISTINCT 'tier' || CAST(l_suppkey % 7 AS {STR}) AS tier, CAST(1000 + l_partkey % 500 AS BIGINT) AS taxid FROM {lineitem}"
+_WITHOUT = "SELECT DISTINCT 'tier' || CAST(l_suppkey % 7 AS {STR}) AS tier, CAST(2000 + l_suppkey % 11 AS BIGINT) AS taxid FROM {lineitem} WHERE l_suppkey % 7 > 1"
+_ORGN = lambda c: f"string_agg('txid' || {c} || '[ORGN]', ' OR ' ORDER BY {c})"
+register(
+    "search_terms",
+    lambda s, d: reports.search_terms(view(s, d, _TAXA), view(s, d, _WITHOUT)),
+    f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY taxid) - 1) // 20 AS chunk FROM {duck(_TAXA)}), c AS (SELECT tier, chunk, {_ORGN("taxid")} AS term FROM t GROUP BY 1, 2), w AS (SELECT tier, {_ORGN("taxid")} AS w FROM {duck(_WITHOUT)} GROUP BY 1)
+SELECT tier, chunk, CASE WHEN w IS NULL THEN term ELSE '(' || term || ') NOT (' || w || ')' END AS term FROM c LEFT JOIN w USING (tier)""",
+)
+
+
+def _hit_table(s, d):
+    sites = view(s, d, SITES).withColumn("level", specificity.level()).withColumnsRenamed({"s_start": "start", "s_end": "end", "clean3": "clean_3prime_nt"})
+    return sinks.hit_rows(sites.withColumns({"query": F.col("role"), "defect_positions": F.sequence(F.lit(1), F.col("mismatches") + 1), "duplex_tm_c": F.when(F.col("gaps") == 0, 50 + F.col("mismatches") / 4)}))
+
+
+register(
+    "hit_table",
+    _hit_table,
+    f"""SELECT tier, role AS query, role, accession, taxid::VARCHAR AS taxid, '' AS organism, orientation, s_start::VARCHAR AS start, s_end::VARCHAR AS "end", {_LEVEL} AS level, '' AS source, mismatches::VARCHAR AS mismatches, gaps::VARCHAR AS gaps, '' AS ambiguous, '' AS unaligned,
+'' AS mismatches_last5, clean3::VARCHAR AS clean_3prime_nt, array_to_string(generate_series(1, mismatches + 1), ',') AS defect_positions, CASE WHEN gaps = 0 THEN round(50 + mismatches / 4, 1)::VARCHAR ELSE '' END AS duplex_tm_c, '' AS delta_tm_c, '' AS duplex_dg_kcal,
+'' AS oligo_alignment, '' AS subject_alignment, '' AS title FROM {_S}""",
+)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from amplispark.functions.session import shared_dir
-from amplispark.operators import alignment, oligo_qc, partners
+from amplispark.operators import alignment, inclusivity, oligo_qc, partners
 from amplispark.plans.catalogue import register
 from amplispark.plans.sequences import BEST_SQL, _windows, best
 from amplispark.plans.synthetic import CONTIGS, FORWARD, PROBE, REVERSE, dna, duck, view
@@ -68,20 +68,14 @@ SELECT accession, oligo, orientation, min(anchor_id) AS anchor_id, s_start, s_en
 )
 
 
-def _fragment_variants(s, d):
-    b = best(s, d).where(~F.col("site").contains("N"))
-    wide = b.groupBy("accession").agg(*[F.max(F.when(F.col("oligo") == o, F.col("site"))).alias(o) for o in ("forward", "probe", "reverse")]).dropna()
-    j = wide.join(view(s, d, CONTIGS).select("accession", "level", "release_year"), "accession")
-    each = j.groupBy("forward", "probe", "reverse", "level").agg(F.count("*").alias("n"), F.min("release_year").alias("first"), F.max("release_year").alias("last"))
-    return each.groupBy("forward", "probe", "reverse").agg(F.sum("n").alias("n"), F.max_by("level", F.struct("n", "level")).alias("level"), F.min("first").alias("first_year"), F.max("last").alias("last_year"))
-
-
 register(
     "fragment_variants",
-    _fragment_variants,
+    lambda s, d: inclusivity.fragment_variants(best(s, d), view(s, d, CONTIGS)),
     f"""WITH {BEST_SQL}, w AS (SELECT accession, max(site) FILTER (oligo = 'forward') AS forward, max(site) FILTER (oligo = 'probe') AS probe, max(site) FILTER (oligo = 'reverse') AS reverse FROM best WHERE NOT contains(site, 'N') GROUP BY 1),
-e AS (SELECT forward, probe, reverse, level, count(*) AS n, min(release_year) AS a, max(release_year) AS b FROM w JOIN g USING (accession) WHERE forward IS NOT NULL AND probe IS NOT NULL AND reverse IS NOT NULL GROUP BY 1, 2, 3, 4)
-SELECT forward, probe, reverse, CAST(sum(n) AS BIGINT) AS n, arg_max(level, row(n, level)) AS level, min(a) AS first_year, max(b) AS last_year FROM e GROUP BY 1, 2, 3""",
+e AS (SELECT forward, probe, reverse, level, taxid, count(*) AS n, min(release_year) AS a, max(release_year) AS b FROM w JOIN g USING (accession) WHERE forward IS NOT NULL AND probe IS NOT NULL AND reverse IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT forward, probe, reverse, level, sum(n) AS n FROM e GROUP BY 1, 2, 3, 4), o AS (SELECT forward, probe, reverse, taxid, sum(n) AS n, row_number() OVER (PARTITION BY forward, probe, reverse ORDER BY sum(n) DESC, taxid) AS r FROM e GROUP BY 1, 2, 3, 4)
+SELECT forward, probe, reverse, CAST(sum(n) AS BIGINT) AS n, (SELECT arg_max(level, row(n, level)) FROM l WHERE l.forward = e.forward AND l.probe = e.probe AND l.reverse = e.reverse) AS level, min(a) AS first_year, max(b) AS last_year,
+  count(DISTINCT taxid) AS organisms, (SELECT string_agg(taxid || '=' || CAST(n AS BIGINT), ',' ORDER BY r) FROM o WHERE o.forward = e.forward AND o.probe = e.probe AND o.reverse = e.reverse AND r <= 3) AS most FROM e GROUP BY forward, probe, reverse""",
 )
 _FASTA = "SELECT 'db|E' || CAST(s_suppkey AS {STR}) || '|A some title' || chr(10) || 'acgt' || chr(10) || 'NNA' || chr(10) AS value FROM {supplier}"
 register(

@@ -86,3 +86,27 @@ def test_a_budget_is_resumed(spark, tmp_path):
     empty = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).where("key = 'none'")
     store.collect(empty, str(tmp_path / "store2"), str(tmp_path / "cp2"), budget=1)
     assert spark.read.parquet(str(tmp_path / "store2")).count() == 0
+
+
+def test_hits_have_all_columns(spark, tmp_path):
+    from amplispark.sources import sinks
+
+    sites = spark.createDataFrame([("near", "q_v1", 3, [1, 4], 55.25, None, "not a column")], "tier string, query string, start int, defect_positions array<int>, duplex_tm_c double, title string, other string")
+    sinks.write_hits(sites, str(tmp_path / "hits"))
+    (row,) = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "hits")).collect()
+    assert tuple(row.asDict()) == sinks.HIT_COLUMNS and len(sinks.HIT_COLUMNS) == 24
+    assert (row.tier, row.start, row.defect_positions, row.duplex_tm_c, row.title, row.taxid) == ("near", "3", "1,4", "55.3", None, None)
+
+
+def test_the_fingerprint_is_that_of_the_code(tmp_path):
+    from amplispark.sources import sinks
+
+    (tmp_path / "a.py").write_text("x = 1")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.yaml").write_text("y: 2")
+    first = sinks.code_fingerprint(tmp_path)
+    (tmp_path / "__pycache__").mkdir()
+    (tmp_path / "__pycache__" / "a.pyc").write_text("z")
+    assert sinks.code_fingerprint(tmp_path) == first
+    (tmp_path / "a.py").write_text("x = 2")
+    assert sinks.code_fingerprint(tmp_path) != first and len(sinks.code_fingerprint()) == 64

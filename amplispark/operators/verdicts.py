@@ -135,3 +135,25 @@ def search_findings(found: Search, searched: DataFrame, required: list[str], wai
     for x in out[1:]:
         every = every.unionByName(x)
     return every
+
+
+def exclusivity_verdict(tiers: DataFrame, sites: DataFrame, products: DataFrame, severity: Mapping[str, str] = SEVERITY) -> DataFrame:
+    """TX-10: (tier, verdict, severities, organisms, resolved) of every (tier, searched, organisms, resolved).
+
+    The worst of what the tier's sites and products weigh; a tier that was not
+    searched is incomplete, and so is one with organisms that no taxon was found
+    for, unless it fails already. Sites are (tier, site_id, role, level), products
+    (tier, left_id, right_id, probe_id).
+    """
+    weight = F.create_map(*[F.lit(x) for kv in severity.items() for x in kv])
+    ends = products.select(F.explode(F.array("left_id", "right_id")).alias("site_id")).distinct().withColumn("_in", F.lit(True))
+    probe = F.col("role") == "probe"
+    code = F.when(probe, F.when(F.col("level") == "critical", "probe_site_critical")).when(F.col("level") == "warning", "primer_site_warning").when(F.col("_in"), "primer_site_critical").otherwise("primer_site_critical_no_product")
+    of_sites = sites.where("level <> 'minor'").join(ends, "site_id", "left").select("tier", code.alias("code"))
+    of_products = products.select("tier", F.when(F.col("probe_id").isNotNull(), "product_detected").otherwise("product_not_detected").alias("code"))
+    kinds = of_sites.unionByName(of_products).where("code IS NOT NULL").groupBy("tier", "code").agg(F.count("*").alias("n"))
+    told = kinds.groupBy("tier").agg(F.array_sort(F.collect_set(weight[F.col("code")])).alias("s"))
+    j = tiers.join(told, "tier", "left").withColumn("s", F.coalesce("s", F.array().cast("array<string>")))
+    has = lambda x: F.array_contains("s", x)
+    verdict = F.when(~F.col("searched"), "INCOMPLETE").when(has("FAIL"), "FAIL").when(F.col("resolved") < F.col("organisms"), "INCOMPLETE").when(has("WARN"), "WARN").otherwise("PASS")
+    return j.select("tier", verdict.alias("verdict"), F.array_join("s", ",").alias("severities"), "organisms", "resolved")

@@ -65,3 +65,16 @@ UNION ALL SELECT 'INCOMPLETE', 'products', 'products_cut', tier, NULL, 1 FROM p
 UNION ALL SELECT 'INFO', 'products', 'primer_only', NULL, NULL, count(*) FROM a WHERE role <> 'probe' AND NOT inside HAVING count(*) > 0
 UNION ALL SELECT CASE WHEN min(hits) = 0 THEN 'WARN' ELSE 'INFO' END, 'search', 'intended_target', NULL, string_agg(role || ' ' || hits, ', ' ORDER BY role || ' ' || hits), count(*) FILTER (hits = 0) FROM h HAVING sum(hits) > 0""",
 )
+# Tiers by supplier nation; in some no probe lies in a product, in some no primer is above minor, and some names are not resolved.
+_TIERED = f"SELECT site_id, role, CAST(taxid % 25 AS INT) AS tier, CASE WHEN taxid % 25 IN (3, 4) AND role <> 'probe' THEN 'minor' ELSE level END AS level FROM (SELECT *, {_LEVEL} AS level FROM ({SITES}) a) b"
+_PAIRED = "SELECT CAST(l_suppkey % 25 AS INT) AS tier, CAST(l_orderkey AS BIGINT) * 100000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000000 AS left_id, CAST(-1 AS BIGINT) AS right_id, CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 25 > 9 THEN CAST(l_partkey AS BIGINT) END AS probe_id FROM {lineitem} WHERE l_suppkey % 25 > 4 AND l_linenumber % 3 = 1"
+_ASKED = "SELECT CAST(n_nationkey AS INT) AS tier, n_nationkey % 7 <> 2 AS searched, CAST(5 AS BIGINT) AS organisms, CAST(5 - n_nationkey % 4 % 2 AS BIGINT) AS resolved FROM {nation}"
+register(
+    "exclusivity_verdict",
+    lambda s, d: verdicts.exclusivity_verdict(view(s, d, _ASKED), view(s, d, _TIERED), view(s, d, _PAIRED)),
+    f"""WITH s AS (SELECT * FROM {duck(_TIERED)}), p AS (SELECT * FROM {duck(_PAIRED)}), i AS (SELECT DISTINCT unnest([left_id, right_id]) AS site_id FROM p),
+c AS (SELECT tier, CASE WHEN role = 'probe' THEN CASE WHEN level = 'critical' THEN 'INFO' END ELSE 'WARN' END AS w FROM s WHERE level <> 'minor' UNION ALL SELECT tier, CASE WHEN probe_id IS NULL THEN 'WARN' ELSE 'FAIL' END FROM p),
+g AS (SELECT tier, string_agg(DISTINCT w, ',' ORDER BY w) AS w FROM c WHERE w IS NOT NULL GROUP BY 1)
+SELECT tier, CASE WHEN NOT searched THEN 'INCOMPLETE' WHEN contains(coalesce(w, ''), 'FAIL') THEN 'FAIL' WHEN resolved < organisms THEN 'INCOMPLETE' WHEN contains(coalesce(w, ''), 'WARN') THEN 'WARN' ELSE 'PASS' END AS verdict, coalesce(w, '') AS severities, organisms, resolved
+FROM {duck(_ASKED)} LEFT JOIN g USING (tier)""",
+)

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: SNK-04: the sheets of a record, each a DataFrame of its name.
-SHEETS = ("summary", "oligo_qc", "structures", "sites", "products", "searches", "findings", "exclusivity", "taxonomy", "variants", "coverage", "escapes", "channels", "years", "positions", "configuration")
+SHEETS = (
+    "summary", "inputs", "oligo_qc", "structures", "sites", "off_target_variants", "products", "searches", "hits_per_query", "findings", "exclusivity", "taxonomy", "oligo_variants", "fragment_variants",
+    "variant_coverage", "coverage", "escapes", "unassembled", "from_parts", "channels", "years", "inclusivity", "positions", "sections", "checks", "configuration",
+)
 
 
 # Fixed values (SNK-02): the columns of the table of assessed sites, and the decimals of those that are rounded.

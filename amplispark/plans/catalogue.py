@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The modules of this package that register queries.
-TOPICS = ("sequences", "grades", "search", "copies", "kernels", "reports", "windows", "chemistry", "outcomes", "floors", "coverage", "verdicts", "audit", "groups")
+TOPICS = ("sequences", "grades", "search", "copies", "kernels", "reports", "windows", "chemistry", "outcomes", "floors", "coverage", "verdicts", "audit", "groups", "basics")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

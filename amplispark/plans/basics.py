@@ -43,8 +43,8 @@ SELECT 'NC_' || k AS accession, 'assembled-molecule' AS role, molecule FROM s WH
 _PAGES = """SELECT '{{"total_count":2,"next_page_token":"x","reports":[{{"accession":"GCA_' || CAST(o_orderkey AS {STR}) || '","organism":{{"tax_id":' || CAST(o_custkey AS {STR}) || ',"organism_name":"org"}},"assembly_info":{{"assembly_level":"Contig","release_date":"' || CAST(CAST(o_orderdate AS DATE) AS {STR}) || '"}}}},{{"accession":"GCF_' || CAST(o_orderkey AS {STR}) || '"}}]}}' AS value FROM {orders}"""
 register(
     "assembly_listing",
-    lambda s, d: files.assembly_listing(view(s, d, _PAGES)),
-    """SELECT 'GCA_' || o_orderkey AS accession, CAST(o_custkey AS BIGINT) AS taxid, 'org' AS organism, 'Contig' AS level, CAST(o_orderdate AS DATE) AS release_date FROM orders
+    lambda s, d: files.assembly_listing(view(s, d, _PAGES)).withColumn("release_date", F.col("release_date").cast("string")),
+    """SELECT 'GCA_' || o_orderkey AS accession, CAST(o_custkey AS BIGINT) AS taxid, 'org' AS organism, 'Contig' AS level, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS release_date FROM orders
 UNION ALL SELECT 'GCF_' || o_orderkey, NULL, NULL, NULL, NULL FROM orders""",
 )
 _NEAR = "SELECT CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS accession, CAST(l_partkey % 48 AS INT) AS anchored, CASE WHEN l_suppkey % 6 > 0 THEN CAST(l_suppkey % 100 AS INT) / 100.0 END AS identity FROM {lineitem}"

@@ -86,9 +86,9 @@ def species_label(species: Column, scientific: Column, organism: Column) -> Colu
 def missing_ids(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """TX-14: (batch, taxids) of the taxids that no cache entry has, in batches of ``ASKED_AT_ONCE``, dealt by hash of the batch count."""
     lacking = wanted.select("taxid").where("taxid IS NOT NULL").distinct().join(cached.select("taxid"), "taxid", "left_anti")
-    counted = lacking.withColumn("_part", F.pmod(F.xxhash64("taxid"), F.lit(1 << 20)))
-    parts = F.greatest(F.ceil(F.lit(lacking.count()) / F.lit(ASKED_AT_ONCE // 2)), F.lit(1))
-    rows = counted.groupBy(F.pmod("_part", parts).alias("part")).agg(F.sort_array(F.collect_list("taxid")).alias("ids"))
+    counted = lacking.crossJoin(lacking.agg(F.count("*").alias("_n")))  # one row
+    parts = F.greatest(F.ceil(F.col("_n") / F.lit(ASKED_AT_ONCE // 2)), F.lit(1))
+    rows = counted.groupBy(F.pmod(F.pmod(F.xxhash64("taxid"), F.lit(1 << 20)), parts).alias("part")).agg(F.sort_array(F.collect_list("taxid")).alias("ids"))
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / ASKED_AT_ONCE)), lambda i: F.slice("ids", (i * ASKED_AT_ONCE + 1).cast("int"), F.lit(ASKED_AT_ONCE))))
     return rows.select("part", cut.alias("n", "taxids")).select(F.concat_ws("-", "part", "n").alias("batch"), "taxids")
 

@@ -19,17 +19,15 @@ _BLOCKS_SQL = f"""{_HITS_SQL}, a AS (SELECT *, max(place + 16) OVER (PARTITION B
 b AS (SELECT *, sum(CASE WHEN before IS NULL OR place > before THEN 1 ELSE 0 END) OVER (PARTITION BY accession, strand, start - place ORDER BY place) AS block FROM a),
 blocks AS (SELECT accession, strand, min(place) AS place, min(start) AS start, CAST(max(place) + 16 - min(place) AS INTEGER) AS length FROM b GROUP BY accession, strand, start - place, block)"""
 register("exact_blocks", lambda s, d: locate.exact_blocks(locate.seed_hits(view(s, d, CONTIGS), FRAGMENT)), f"WITH {_BLOCKS_SQL} SELECT * FROM blocks")
-# In these contigs the fragment lies at place 64 of its strand (35 bases before the start where the contig is cut), without gaps: what is anchored are its exact blocks, and the identity counts equal bases.
+# In these contigs the fragment lies at place 64 of its strand (35 bases before the start where the contig is cut), without gaps: what is anchored are its exact blocks.
 _CHAIN_SQL = f"""{_BLOCKS_SQL}, o AS (SELECT accession, strand, CAST(sum(length) AS INTEGER) AS anchored FROM blocks GROUP BY 1, 2),
-c AS (SELECT k, accession, CASE WHEN k % 5 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN k % 13 = 0 THEN -35 ELSE 64 END AS start, CASE WHEN k % 5 = 0 THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS s FROM {duck(CONTIGS)} WHERE k % 3 <> 2),
-i AS (SELECT *, list_filter(generate_series(greatest(1, 1 - start), 128), lambda p: substr(s, start + p, 1) = substr('{FRAGMENT}', p, 1)) AS same FROM c)"""
+c AS (SELECT k, accession, CASE WHEN k % 5 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN k % 13 = 0 THEN -35 ELSE 64 END AS start FROM {duck(CONTIGS)} WHERE k % 3 <> 2)"""
 register("chain_copies", lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT).select("accession", "strand", "start", "end", "anchored", "identity", "cut", "context_left", "context_right", "kind"))
-# The same but for the identity of a copy with N in it, where an alignment with gaps may count one base more than the places compared one by one.
+# The same without the identity: an alignment with gaps may count one base more than the places compared one by one.
 register(
     "chain_places",
-    lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT).select("accession", "strand", "start", "end", "anchored", F.when(F.col("n_inside") == 0, F.col("identity")).alias("identity"), "cut", "context_left", "context_right", "kind"),
-    f"""WITH {_CHAIN_SQL} SELECT accession, strand, CAST(start AS INTEGER) AS start, CAST(start + 128 AS INTEGER) AS "end", anchored, CASE WHEN NOT contains(substr(s, greatest(1, start + 1), 128 - greatest(0, -start)), 'N') THEN round(len(same) / (128 - greatest(0, -start)), 3) END AS identity,
-start < 0 AS cut, 0 AS context_left, 0 AS context_right, 'exact' AS kind FROM i JOIN o USING (accession, strand)""",
+    lambda s, d: locate.copies(view(s, d, CONTIGS), FRAGMENT).select("accession", "strand", "start", "end", "anchored", "cut", "context_left", "context_right", "kind"),
+    f"""WITH {_CHAIN_SQL} SELECT accession, strand, CAST(start AS INTEGER) AS start, CAST(start + 128 AS INTEGER) AS "end", anchored, start < 0 AS cut, 0 AS context_left, 0 AS context_right, 'exact' AS kind FROM c JOIN o USING (accession, strand)""",
 )
 
 
@@ -45,7 +43,7 @@ def _routed(s, d):
 register(
     "partitioned_copies",
     _routed,
-    f"""WITH {_CHAIN_SQL} SELECT accession, strand, CAST(start AS INTEGER) AS start, CAST(start + 128 AS INTEGER) AS "end", anchored, CASE WHEN start < 0 THEN 'direct_scan' ELSE 'search' END AS found_by FROM i JOIN o USING (accession, strand)""",
+    f"""WITH {_CHAIN_SQL} SELECT accession, strand, CAST(start AS INTEGER) AS start, CAST(start + 128 AS INTEGER) AS "end", anchored, CASE WHEN start < 0 THEN 'direct_scan' ELSE 'search' END AS found_by FROM c JOIN o USING (accession, strand)""",
 )
 
 

@@ -41,12 +41,14 @@ def described_changes(q: Column, s: Column) -> Column:
     n = F.length(q)
     base = lambda x, i: F.substring(x, i, F.lit(1))
     rest = lambda i: F.length(F.regexp_replace(F.substring(q, i, n), "-", ""))  # noqa: E731  # oligo bases from here on
-    gaps = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(base(q, i) == "-", "I").when(base(s, i) == "-", "D").otherwise(".")), "")
+    marks = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(base(q, i) == "-", "I").when(base(s, i) == "-", "D").otherwise(".")), "")
 
-    def named(i: Column) -> Column:
+    def opens(gaps: Column, i: Column) -> Column:
+        return (base(gaps, i) != ".") & ((i == 1) | (base(gaps, i - 1) != base(gaps, i)))
+
+    def named(gaps: Column, i: Column) -> Column:
         a, b, gap = base(q, i), base(s, i), base(gaps, i)
         run = F.length(F.regexp_extract(F.substring(gaps, i, n), "^(I+|D+)", 1))
-        opens = (gap != ".") & ((i == 1) | (base(gaps, i - 1) != gap))
         at = rest(i).cast("string")
         inserted = F.concat(F.when(run == 1, "insertion").otherwise(F.concat(run.cast("string"), F.lit("-base insertion"))), F.lit(" between -"), (rest(i) + 1).cast("string"), F.lit(" and -"), at)
         deleted = F.when(run == 1, F.concat(F.lit("-"), at, F.lit(" deleted"))).otherwise(
@@ -55,10 +57,15 @@ def described_changes(q: Column, s: Column) -> Column:
         plain = a.rlike("^[ACGT]$") & b.rlike("^[ACGT]$")
         what = F.when(b == ".", F.lit(" unaligned")).when(plain, F.concat(F.lit(" "), a, F.lit("-"), seq.complement(b)))
         what = F.coalesce(what, F.concat(F.lit(" "), a, F.when(seq.compatible(a, b), "=").otherwise("/"), b))
-        return F.when(opens, F.when(gap == "I", inserted).otherwise(deleted)).when((gap == ".") & (a != b), F.concat(F.lit("-"), at, what))
+        return F.when(gap == "I", inserted).when(gap == "D", deleted).otherwise(F.concat(F.lit("-"), at, what))
+
+    def told(gaps: Column) -> Column:
+        changed = F.filter(F.sequence(F.lit(1), n), lambda i: opens(gaps, i) | ((base(gaps, i) == ".") & (base(q, i) != base(s, i))))
+        return F.array_join(F.transform(changed, lambda i: named(gaps, i)), ", ")
 
-    told = F.array_join(F.filter(F.transform(F.sequence(F.lit(1), n), named), lambda x: x.isNotNull()), ", ")
-    return F.when(told == "", "none").otherwise(told)
+    # Inside an array of one, the marks are made once an alignment, and only places with a change are put in words.
+    line = F.get(F.transform(F.array(marks), told), 0)
+    return F.get(F.transform(F.array(line), lambda x: F.when(x == "", "none").otherwise(x)), 0)
 
 
 def year_coverage(listing: DataFrame, stored: DataFrame, unavailable: DataFrame) -> DataFrame:

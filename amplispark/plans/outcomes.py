@@ -24,7 +24,7 @@ CASE p_partkey % 3 WHEN 0 THEN substr({dna('p_partkey')}, 1, 6) || repeat('-', C
 CASE p_partkey % 3 WHEN 0 THEN substr({dna('p_partkey')}, 1, 6) || repeat('A', CAST(1 + p_size % 3 AS INT)) || substr({dna('p_partkey')}, 7, 14) WHEN 1 THEN substr({dna('p_partkey')}, 1, 4) || repeat('-', CAST(1 + p_size % 3 AS INT)) || substr({dna('p_partkey')}, CAST(6 + p_size % 3 AS INT), 20) ELSE 'T' || substr('ACGN.', CAST(1 + p_size % 5 AS INT), 1) || substr({dna('p_partkey')}, 3, 18) END AS s FROM {{part}}"""
 register(
     "described_changes",
-    lambda s, d: view(s, d, _GAPPED).select("k", outcomes.described_changes(F.col("q"), F.substring("s", F.lit(1), F.length("q"))).alias("changes")),
+    lambda s, d: view(s, d, _GAPPED, spread=True).select("k", outcomes.described_changes(F.col("q"), F.substring("s", F.lit(1), F.length("q"))).alias("changes")),
     f"""SELECT k, CASE what WHEN 0 THEN CASE n WHEN 1 THEN 'insertion' ELSE n || '-base insertion' END || ' between -15 and -14'
 WHEN 1 THEN CASE n WHEN 1 THEN '-16 deleted' ELSE '-16 to -' || (17 - n) || ' deleted (' || n || ' bases)' END
 ELSE '-20 Y=T, ' || CASE substr(s, 2, 1) WHEN 'A' THEN '-19 R=A' WHEN 'G' THEN '-19 R=G' WHEN 'C' THEN '-19 R/C' WHEN 'N' THEN '-19 R=N' ELSE '-19 unaligned' END END AS changes FROM {duck(_GAPPED)}""",

@@ -96,16 +96,22 @@ def duck(sql: str) -> str:
 _KERNEL_INPUT = {"orders": ("o_orderkey", "o_orderdate", "o_orderpriority", "o_custkey")}
 
 
+#: Rows that one task of costly expressions or kernels takes, about: a task stays short however large the table is.
+ROWS_A_TASK = 50_000
+
+
 def _spread(keys: DataFrame) -> DataFrame:
-    """The rows over all cores where a small table's one file would leave them to one task; a large table is left as it lies."""
-    n = keys.sparkSession.sparkContext.defaultParallelism
-    return keys if keys.rdd.getNumPartitions() >= n else keys.repartition(n)
+    """The rows dealt evenly over tasks by their number; as they lie, a small file or a large row group leaves them to few tasks."""
+    tasks = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // ROWS_A_TASK))
+    return keys.repartition(tasks)
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """A view as a DataFrame; ``spread`` deals its tables' rows over tasks by their number, for what is costly a row."""
     used = [t for t in _TABLES if "{" + t + "}" in sql]
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
     if sql == CONTIGS:
         frames = {t: _spread(f.select(*_KERNEL_INPUT[t])) for t, f in frames.items()}
+    elif spread:
+        frames = {t: _spread(f) for t, f in frames.items()}
     return spark.sql(sql.replace("{STR}", "STRING"), **frames)

@@ -16,15 +16,20 @@ def product_groups(products: DataFrame, sites: DataFrame, species: DataFrame) ->
     """AG-17: (tier, species, products, records, detected, shortest, longest, pairs, best_left, best_right, best_defects) by tier and species.
 
     Products are (tier, accession, start, end, length, left_id, right_id,
-    left_role, right_role, probe_id). Equal ones of a record, place, pair of roles
+    left_role, right_role, probe_id); those of :func:`specificity.products` with
+    details need no look at the sites again. Equal ones of a record, place, pair of roles
     and tier count once. The best has the fewest defects of both primer sites,
     then a probe inside, then the lowest ids.
     """
-    s = sites.select("site_id", "taxid", (F.col("mismatches") + F.col("gaps")).alias("d"))
+    place = ["tier", "accession", "start", "end", "left_role", "right_role"]
+    if "left_defects" in products.columns:
+        j, place = products, [*place, "bin"]  # the start tells the bin; pairs are dealt by it, and stay where they are
+    else:
+        s = sites.select("site_id", "taxid", (F.col("mismatches") + F.col("gaps")).alias("d"))
+        j = products.join(s.withColumnsRenamed({"site_id": "left_id", "d": "left_defects"}), "left_id").join(s.select(F.col("site_id").alias("right_id"), F.col("d").alias("right_defects")), "right_id")
     # What tells products apart comes first, so that of equal ones only the best goes on.
-    j = products.join(s.withColumnRenamed("site_id", "left_id").withColumnRenamed("d", "_l"), "left_id").join(s.select(F.col("site_id").alias("right_id"), F.col("d").alias("_r")), "right_id")
-    order = F.struct((F.col("_l") + F.col("_r")).alias("defects"), F.col("probe_id").isNull().alias("silent"), "left_id", "right_id")
-    once = j.groupBy("tier", "accession", "start", "end", "left_role", "right_role").agg(F.min(order).alias("o"), F.min("length").alias("length"), F.min("taxid").alias("taxid"), F.bool_or(F.col("probe_id").isNotNull()).alias("detected"))
+    order = F.struct((F.col("left_defects") + F.col("right_defects")).alias("defects"), F.col("probe_id").isNull().alias("silent"), "left_id", "right_id")
+    once = j.groupBy(*place).agg(F.min(order).alias("o"), F.min("length").alias("length"), F.min("taxid").alias("taxid"), F.bool_or(F.col("probe_id").isNotNull()).alias("detected"))
     pair = F.concat_ws("/", "left_role", "right_role")
     g = _named(once, species).groupBy("tier", "species")
     return g.agg(

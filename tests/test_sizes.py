@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from amplispark.operators import groups, specificity, windows
 from amplispark.plans import catalogue
+from amplispark.plans.synthetic import SITES, view
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -12,3 +14,29 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", ["described_changes"])
 def test_rows_are_dealt_over_tasks(spark, name):
     assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_pairs_of_sites_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        sites = view(spark, SF, SITES)
+        found = specificity.products(sites, per_tier=None, details=True)
+        assert exchanges(found) == 3  # left, right and probe sites
+        species = view(spark, SF, "SELECT CAST(s_suppkey AS BIGINT) AS taxid, s_name AS name FROM {supplier}")
+        assert "left_id" not in "".join(x for x in groups.product_groups(found, sites, species)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(left_id" in x)
+        assert exchanges(groups.product_groups(found, sites, species)) <= 7  # products are grouped where they are; by taxid, species and record
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_cap_that_falls_between_and_within_records(spark):
+    site = lambda i, name, role, strand, start: (i, role, "near", name, strand, start, start + 19, 0, 0, 9)
+    rows = [site(i * 100, name, "forward", "+", 0) for i, name in enumerate("ABC")] + [site(i * 100 + j, name, "reverse", "-", 30 * j) for i, name in enumerate("ABC") for j in (1, 2, 3)] + [site(299, "C", "probe", "+", 75)]
+    sites = spark.createDataFrame(rows, "site_id long, role string, tier string, accession string, orientation string, s_start long, s_end long, mismatches int, gaps int, clean3 int")
+    whole = specificity.products(sites, per_tier=None)
+    told = {m: tuple(windows.cut_products(whole, m).first()) for m in (1, 3, 5, 6, 8, 9)}
+    assert told == {1: ("near", 9, 8, True, False), 3: ("near", 9, 6, True, False), 5: ("near", 9, 4, True, False), 6: ("near", 9, 3, True, False), 8: ("near", 9, 1, True, False), 9: ("near", 9, 0, False, True)}

@@ -114,15 +114,23 @@ def in_lineage(sites: DataFrame, closure: DataFrame, taxon: int) -> DataFrame:
 def cut_products(products: DataFrame, most: int) -> DataFrame:
     """JN-04, JN-10: per tier its products, how many of them a cap of ``most`` cuts, and whether none of those would be detected.
 
-    Takes the products before any cap. What is beyond the cap is all less what is
-    within it, so that no task ranks a whole tier.
+    Takes the products before any cap. They are counted by record; of a tier's
+    first ``most`` records, which hold what is within the cap, only the one where
+    the cap falls is ranked product by product, so that no task ranks a tier.
     """
-    order = Window.partitionBy("tier").orderBy("accession", "start", "end", "left_id", "right_id")
-    counts = lambda p, n, detected: p.groupBy("tier").agg(F.count("*").alias(n), F.count("probe_id").alias(detected))
-    kept = products.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    per = counts(products, "products", "_all").join(counts(kept, "_kept", "_within"), "tier")
+    records = products.groupBy("tier", "accession").agg(F.count("*").alias("n"), F.count("probe_id").alias("detected"))
+    per = records.groupBy("tier").agg(F.sum("n").alias("products"), F.sum("detected").alias("_all"))
+    by_name = Window.partitionBy("tier").orderBy("accession")
+    first = records.withColumn("_r", F.row_number().over(by_name)).where(F.col("_r") <= most)
+    first = first.withColumn("_to", F.sum("n").over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = first.where(F.col("_to") <= most).select("tier", "n", "detected")
+    split = first.where((F.col("_to") > most) & (F.col("_to") - F.col("n") < most)).select("tier", "accession", (most - F.col("_to") + F.col("n")).alias("_left"))
+    order = Window.partitionBy("tier").orderBy("start", "end", "left_id", "right_id")
+    ranked = products.join(F.broadcast(split), ["tier", "accession"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).where("_n <= _left")  # a record a tier
+    kept = whole.unionByName(ranked.select("tier", F.lit(1).cast("long").alias("n"), F.when(F.col("probe_id").isNotNull(), 1).otherwise(0).cast("long").alias("detected")))
+    within = kept.groupBy("tier").agg(F.sum("n").alias("_kept"), F.sum("detected").alias("_within"))
     cut = F.col("products") - F.col("_kept")
-    return per.select("tier", "products", cut.alias("cut"), (cut > 0).alias("truncated"), (F.col("_all") == F.col("_within")).alias("harmless"))
+    return per.join(within, "tier").select("tier", "products", cut.alias("cut"), (cut > 0).alias("truncated"), (F.col("_all") == F.col("_within")).alias("harmless"))
 
 
 def axis_rows(release: DataFrame, collection: DataFrame, axis: str) -> DataFrame:

@@ -15,10 +15,10 @@ from amplispark.sources import files
 from amplispark.streaming import store
 
 _WINDOWS = f"SELECT CAST(p_partkey AS BIGINT) AS k, '{FORWARD}' AS oligo_seq, substr({dna('p_partkey')}, 1, 8) || CASE p_size % 3 WHEN 0 THEN '{FORWARD}' WHEN 1 THEN substr('{FORWARD}', 1, 9) || substr('{FORWARD}', 11) ELSE substr('{FORWARD}', 1, 9) || 'A' || substr('{FORWARD}', 10) END || substr({dna('p_partkey')}, 9, 8) AS window FROM {{part}}"
-register("align_semiglobal", lambda s, d: alignment.semi_global(view(s, d, _WINDOWS)).select("k", "q_aln", "s_aln", "s_start", "s_end", "score"))
+register("align_semiglobal", lambda s, d: alignment.semi_global(view(s, d, _WINDOWS, spread=True)).select("k", "q_aln", "s_aln", "s_start", "s_end", "score"))
 register(
     "run_length",
-    lambda s, d: alignment.run_length(view(s, d, _WINDOWS)).select("k", "shift"),
+    lambda s, d: alignment.run_length(view(s, d, _WINDOWS, spread=True)).select("k", "shift"),
     f"""WITH w AS (SELECT * FROM {duck(_WINDOWS)}),
 v AS (SELECT * FROM (VALUES (1, -1), (2, 1), (3, -2), (4, 2), (5, -3), (6, 3)) AS t(o, shift), (SELECT unnest([5, 11]) AS pos)),
 c AS (SELECT k, o, shift FROM w, v WHERE (pos = 5 AND contains(w."window", 'GA' || repeat('C', 4 + shift) || 'AAAATCAGCGAAAT') AND 4 + shift >= 2) OR (pos = 11 AND contains(w."window", 'GACCCC' || repeat('A', 4 + shift) || 'TCAGCGAAAT') AND 4 + shift >= 2))
@@ -33,7 +33,7 @@ SELECT k, CAST(len(list_filter(m, lambda x: x)) AS INTEGER) AS matches, CAST(len
 CAST(20 - coalesce(list_max(list_filter(generate_series(1, 20), lambda i: NOT m[i])), 0) AS INTEGER) AS clean3 FROM a""",
 )
 _PAIR_ROWS = f"SELECT CAST(p_partkey AS BIGINT) AS k, substr({dna('p_partkey')}, 1, 20) AS seq_a, substr({dna('p_partkey % 10')}, 1, 20) AS seq_b FROM {{part}}"
-register("pair_structures", lambda s, d: alignment.pair_structures(view(s, d, _PAIR_ROWS)).select("k", F.round("tm", 3).alias("tm"), F.round("dg", 3).alias("dg")))
+register("pair_structures", lambda s, d: alignment.pair_structures(view(s, d, _PAIR_ROWS, spread=True)).select("k", F.round("tm", 3).alias("tm"), F.round("dg", 3).alias("dg")))
 
 
 def _anchors(s, d):

@@ -114,7 +114,7 @@ _OLIGO_ROWS = f"SELECT CAST(k AS {{STR}}) AS oligo, role, sequence FROM ({DEGENE
 
 
 def _checks(s, d):
-    checks = oligo_qc.worst_checks(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)))
+    checks = oligo_qc.worst_checks(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS, spread=True)))
     return checks.withColumns({c: F.round(c, 6) for c in ("low", "high", "worst_value")})
 
 

@@ -86,5 +86,7 @@ def structures(oligos: DataFrame) -> DataFrame:
         F.when(F.col("pos_a") == F.col("pos_b"), F.col("oligo_a")).otherwise(F.concat_ws(" / ", "oligo_a", "oligo_b")).alias("label"),
         F.concat_ws(" / ", "sequence_a", "sequence_b").alias("variant"), F.col("sequence_a").alias("seq_a"), F.col("sequence_b").alias("seq_b"),
     )
+    # As many tasks as the oligos came in, by number, as the join leaves what is small in bytes to few of them.
+    named = named.repartition(max(oligos.rdd.getNumPartitions(), oligos.sparkSession.sparkContext.defaultParallelism))
     dimers = alignment.pair_structures(named).drop("seq_a", "seq_b")
     return worst_structures(hair.unionByName(dimers))

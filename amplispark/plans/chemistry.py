@@ -24,7 +24,7 @@ def _worst(checks):
 
 register(
     "qc_end_checks",
-    lambda s, d: _worst(chemistry.end_checks(view(s, d, _OLIGO_ROWS))),
+    lambda s, d: _worst(chemistry.end_checks(view(s, d, _OLIGO_ROWS, spread=True))),
     f"""{_VARIANTS}, v AS (SELECT oligo, role, v, right(v, 5) AS last5 FROM e WHERE rest = ''), c AS (
 SELECT oligo, role, 'gc_last5' AS "check", CAST(length(regexp_replace(last5, '[^GC]', '', 'g')) AS DOUBLE) AS value, CASE WHEN length(regexp_replace(last5, '[^GC]', '', 'g')) BETWEEN 1 AND 3 THEN 2 ELSE 3 END AS r FROM v WHERE role <> 'probe'
 UNION ALL SELECT oligo, role, 'three_prime_dg', {_SUM(thermo.DG, "last5")}, 1 FROM v WHERE role <> 'probe'
@@ -34,13 +34,13 @@ SELECT oligo, role, "check", {_WORST} AS status, round(min(value), 6) AS low, ro
 )
 register(
     "qc_melting",
-    lambda s, d: _worst(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)).where(F.col("check") == "tm")),
+    lambda s, d: _worst(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS, spread=True)).where(F.col("check") == "tm")),
     f"""{_VARIANTS}, {_TM}, g AS (SELECT *, CASE WHEN role = 'probe' THEN 1 WHEN tm BETWEEN 58 AND 66 THEN 2 WHEN tm BETWEEN 54 AND 70 THEN 3 ELSE 4 END AS r FROM m)
 SELECT oligo, role, 'tm' AS "check", {_WORST} AS status, round(min(tm), 6) AS low, round(max(tm), 6) AS high, count(*) AS n_variants FROM g GROUP BY 1, 2""",
 )
 register(
     "qc_overall_all_checks",
-    lambda s, d: oligo_qc.overall(_worst(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS)).unionByName(chemistry.end_checks(view(s, d, _OLIGO_ROWS))))),
+    lambda s, d: oligo_qc.overall(_worst(oligo_qc.variant_checks(view(s, d, _OLIGO_ROWS, spread=True)).unionByName(chemistry.end_checks(view(s, d, _OLIGO_ROWS, spread=True))))),
     f"""{_VARIANTS}, n AS (SELECT count(DISTINCT oligo) FILTER (role = 'probe') AS p, count(DISTINCT oligo) FILTER (role <> 'probe') AS q FROM e), {_TM}
 SELECT CASE WHEN bool_or(length(v) > 40 OR length(v) < 12 OR regexp_matches(v, 'A{{7}}|C{{7}}|T{{7}}|G{{6}}') OR 100.0 * length(regexp_replace(v, '[^GC]', '', 'g')) / length(v) NOT BETWEEN CASE WHEN role = 'probe' THEN 20 ELSE 30 END AND CASE WHEN role = 'probe' THEN 90 ELSE 70 END)
   OR (SELECT bool_or(tm NOT BETWEEN 54 AND 70) FROM m WHERE role <> 'probe') THEN 'FAIL' END AS status,
@@ -69,4 +69,4 @@ register(
     f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY assay, kind, label ORDER BY tm DESC NULLS LAST, variant DESC) AS r, count(*) OVER (PARTITION BY assay, kind, label) AS variants FROM {duck(_FOUND)})
 SELECT assay, kind, label, tm IS NOT NULL AS found, tm, dg, CASE WHEN tm >= 60 THEN 'FAIL' WHEN tm >= 47 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN variants > 1 AND tm IS NOT NULL THEN variant END AS variant, variants FROM f WHERE r = 1""",
 )
-register("structures", lambda s, d: chemistry.structures(view(s, d, _EIGHTS)).groupBy("kind", "status").agg(F.count("*").alias("n"), F.sum(F.col("found").cast("int")).alias("found")))
+register("structures", lambda s, d: chemistry.structures(view(s, d, _EIGHTS, spread=True)).groupBy("kind", "status").agg(F.count("*").alias("n"), F.sum(F.col("found").cast("int")).alias("found")))

@@ -4,18 +4,26 @@ import os
 
 import pytest
 
-from amplispark.operators import groups, specificity, windows
+from amplispark.operators import chemistry, groups, specificity, windows
 from amplispark.plans import catalogue
+from amplispark.plans.sequences import _EIGHTS, _OLIGO_ROWS
 from amplispark.plans.synthetic import SITES, view
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["described_changes"])
+@pytest.mark.parametrize("name", ["described_changes", "pair_structures", "align_semiglobal", "run_length"])
 def test_rows_are_dealt_over_tasks(spark, name):
     assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_oligos_and_their_pairs_are_dealt_over_tasks(spark):
+    for sql in (_OLIGO_ROWS, _EIGHTS):
+        assert view(spark, SF, sql, spread=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = chemistry.structures(view(spark, SF, _EIGHTS, spread=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RoundRobinPartitioning") >= 2  # the oligos and the pairs that the join makes
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
 

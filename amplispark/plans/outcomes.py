@@ -14,7 +14,7 @@ SELECT accession, CASE WHEN bool_or(rescued) THEN 'run_length' ELSE ['gap', 'mis
 register("escape_kinds", lambda s, d: outcomes.escape_kinds(view(s, d, _FAILS)), _KINDS_SQL)
 _LEVELS = "SELECT CAST(o_orderkey AS BIGINT) AS accession, CASE WHEN o_orderkey % 4 = 0 THEN 'complete' ELSE 'contig' END AS level FROM {orders}"
 register(
-    "escape_reasons",
+    "escapes_by_kind",
     lambda s, d: inclusivity.escapes(outcomes.escape_kinds(view(s, d, _FAILS)), view(s, d, _LEVELS)),
     f"""WITH k AS ({_KINDS_SQL}), r AS (SELECT k.*, level, row_number() OVER (PARTITION BY kind ORDER BY accession) AS n FROM k JOIN {duck(_LEVELS)} USING (accession))
 SELECT kind, count(*) AS genomes, count(*) FILTER (level = 'complete') AS complete, string_agg(accession::VARCHAR, ',' ORDER BY accession) FILTER (n <= 10) AS examples FROM r GROUP BY 1""",

@@ -48,3 +48,8 @@ def test_a_cap_that_falls_between_and_within_records(spark):
     whole = specificity.products(sites, per_tier=None)
     told = {m: tuple(windows.cut_products(whole, m).first()) for m in (1, 3, 5, 6, 8, 9)}
     assert told == {1: ("near", 9, 8, True, False), 3: ("near", 9, 6, True, False), 5: ("near", 9, 4, True, False), 6: ("near", 9, 3, True, False), 8: ("near", 9, 1, True, False), 9: ("near", 9, 0, False, True)}
+
+
+def test_escape_reasons_read_the_contigs(spark):
+    plan = catalogue.queries()["escape_reasons"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan  # sites are found in the contigs, not told by a table

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from amplispark.operators import specificity, taxonomy
 from amplispark.plans.catalogue import register
-from amplispark.plans.synthetic import CONTIGS, HSPS, SITES, TAXA, duck, view
+from amplispark.plans.synthetic import CONTIGS, HSPS, SITES, TAXA, dealt, duck, view
 from amplispark.sources import search_hits
 
 _H, _S, _T = duck(HSPS), duck(SITES), duck(TAXA)
@@ -194,7 +194,7 @@ def _reports(s, d):
     """Search reports as JSON text, one per order, from lineitem."""
     hsp = "struct(1 AS num, 40.1D AS bit_score, score, evalue, identity, query_from, query_to, 100 AS hit_from, 120 AS hit_to, 'Plus' AS hit_strand, align_len, gaps, 'ACGT' AS qseq, 'ACGT' AS hseq)"
     hits = view(s, d, HSPS).selectExpr("hit AS report", "query", "query_len", f"struct(hsp AS num, array(struct(concat('gb|AB', taxid, '.', hsp, '|') AS id, concat('AB', taxid) AS accession, 'x' AS title, taxid, 'y' AS sciname)) AS description, 900 AS len, array({hsp}) AS hsps) AS h")
-    each = hits.groupBy("report", "query").agg(F.max("query_len").alias("query_len"), F.sort_array(F.collect_list("h")).alias("hits"))
+    each = dealt(s, d, "lineitem", hits, "report", "query").groupBy("report", "query").agg(F.max("query_len").alias("query_len"), F.sort_array(F.collect_list("h")).alias("hits"))
     search = F.expr("struct(query AS query_title, query_len, hits, struct(1000000L AS db_len, 0D AS eff_space, 0.711D AS kappa, 1.374D AS lambda) AS stat)")
     report = F.struct(F.array(F.struct(F.struct(F.lit("blastn").alias("program"), F.struct(search.alias("search")).alias("results")).alias("report"))).alias("BlastOutput2"))
     return each.select(F.to_json(report).alias("value"))
@@ -202,7 +202,7 @@ def _reports(s, d):
 
 register(
     "blast_flatten",
-    lambda s, d: search_hits.parse_reports(_reports(s, d)).groupBy("query", "accession", "taxid").agg(F.count("*").alias("hsps"), F.sum("score").alias("score"), F.max("identity").alias("identity")),
+    lambda s, d: search_hits.parse_reports(_reports(s, d), stretch=("score", "identity")).groupBy("query", "accession", "taxid").agg(F.count("*").alias("hsps"), F.sum("score").alias("score"), F.max("identity").alias("identity")),
     f"SELECT query, 'AB' || taxid || '.' || hsp AS accession, taxid, count(*) AS hsps, CAST(sum(score) AS BIGINT) AS score, max(identity) AS identity FROM {_H} GROUP BY 1, 2, 3",
 )
 register(

@@ -100,10 +100,19 @@ _KERNEL_INPUT = {"orders": ("o_orderkey", "o_orderdate", "o_orderpriority", "o_c
 ROWS_A_TASK = 50_000
 
 
+def tasks_of(rows: DataFrame) -> int:
+    """How many tasks the rows of a table are dealt over."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
+
 def _spread(keys: DataFrame) -> DataFrame:
     """The rows dealt evenly over tasks by their number; as they lie, a small file or a large row group leaves them to few tasks."""
-    tasks = max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // ROWS_A_TASK))
-    return keys.repartition(tasks)
+    return keys.repartition(tasks_of(keys))
+
+
+def dealt(spark: SparkSession, sf_dir: str, table: str, rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a view dealt over tasks by keys, as many as its table's rows need: what is grouped by these keys is not shuffled again, nor its tasks joined to a few."""
+    return rows.repartition(tasks_of(spark.read.parquet(f"{sf_dir}/{table}.parquet")), *keys)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:

@@ -22,14 +22,19 @@ def accession_version(pipe_id: Column, accession: Column) -> Column:
     return F.when(found != "", found).otherwise(accession)
 
 
-def parse_reports(reports: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def parse_reports(reports: DataFrame, labels: DataFrame | None = None, stretch: tuple[str, ...] | None = None) -> DataFrame:
     """SRC-03: a row per aligned stretch of (value) reports; ``labels`` (query) are the titles that may occur.
 
+    ``stretch`` names the columns of a stretch that are wanted; the others are not read out of the text.
+
     A report that cannot be read, or one of an unknown query, is an error.
     """
-    parsed = F.from_json("value", SCHEMA)
-    whole = F.when(parsed["BlastOutput2"].isNotNull(), parsed).otherwise(F.raise_error(F.lit("unreadable search report")).cast(SCHEMA))
-    search = reports.select(F.explode(whole["BlastOutput2"]).alias("r")).select("r.report.results.search.*")
+    wanted = ",".join(x for x in _HSP.removeprefix("struct<").removesuffix(">").split(",") if stretch is None or x.split(":")[0] in stretch)
+    schema = SCHEMA.replace(_HSP, f"struct<{wanted}>")
+    unread = F.raise_error(F.lit("unreadable search report")).cast(schema)
+    whole = F.coalesce(F.from_json("value", schema)["BlastOutput2"], unread["BlastOutput2"])
+    # Parsed once a report: named once, and an outer generator, as for the other one a filter that parses as well would be put before it.
+    search = reports.select(F.explode_outer(whole).alias("r")).where("r IS NOT NULL").select("r.report.results.search.*")
     if labels is not None:
         search = search.join(labels.select(F.col("query").alias("query_title"), F.lit(True).alias("_known")), "query_title", "left")
         search = search.where(F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown query "), "query_title")).cast("boolean")))

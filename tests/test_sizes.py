@@ -58,3 +58,8 @@ def test_escape_reasons_are_of_contigs(spark):
 def test_contigs_are_scanned_once_for_outcomes(spark):
     plan = catalogue.queries()["genome_outcome"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # both sides of the join read the sites as they were written
+
+
+def test_reports_are_parsed_once(spark):
+    plan = catalogue.queries()["blast_flatten"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "qseq:" not in plan.split("from_json(")[1].split("\n")[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from amplispark.operators import locate, specificity, taxonomy, windows
 from amplispark.plans.catalogue import register
 from amplispark.plans.search import _ALL_PAIRS, _LEVEL, CLOSURE
-from amplispark.plans.synthetic import CONTIGS, FORWARD, FRAGMENT, HSPS, REVERSE, SITES, TAXA, duck, view
+from amplispark.plans.synthetic import CONTIGS, FORWARD, FRAGMENT, HSPS, REVERSE, SITES, TAXA, dealt, duck, view
 
 _S = duck(SITES)
 _SPANS = "SELECT CAST(l_orderkey AS BIGINT) AS k, CAST(l_linenumber AS INT) AS n, CAST(1 + l_partkey % 90 AS INT) AS a, CAST(1 + l_partkey % 90 + l_suppkey % 20 AS INT) AS b, CAST(l_quantity AS INT) % 4 AS u5, CAST(l_suppkey % 5 AS INT) AS u3, CASE l_linestatus WHEN 'O' THEN '+' ELSE '-' END AS strand FROM {lineitem}"
@@ -67,7 +67,7 @@ register(
 )
 register(
     "deduplicated_copies",
-    lambda s, d: windows.deduplicated(view(s, d, SITES).select("accession", F.col("orientation").alias("strand"), F.col("s_start").alias("start"), F.col("s_end").alias("end"))),
+    lambda s, d: windows.deduplicated(dealt(s, d, "lineitem", view(s, d, SITES).select("accession", F.col("orientation").alias("strand"), F.col("s_start").alias("start"), F.col("s_end").alias("end")), "accession", "strand")),
     f"""WITH p AS (SELECT accession, orientation AS strand, s_start AS start, s_end AS "end", count(*) AS k FROM {_S} GROUP BY ALL),
 o AS (SELECT *, CASE WHEN start - lag(start) OVER w <= 20 THEN 0 ELSE 1 END AS o FROM p WINDOW w AS (PARTITION BY accession, strand ORDER BY start, "end")),
 i AS (SELECT *, sum(o) OVER (PARTITION BY accession, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM o)

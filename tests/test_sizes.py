@@ -63,3 +63,16 @@ def test_contigs_are_scanned_once_for_outcomes(spark):
 def test_reports_are_parsed_once(spark):
     plan = catalogue.queries()["blast_flatten"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and "qseq:" not in plan.split("from_json(")[1].split("\n")[0]
+
+
+def executed(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        return catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_are_dealt_once_by_record(spark):
+    plan = executed(spark, "deduplicated_copies")
+    assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan  # as many tasks as rows need, and not joined to a few

@@ -107,5 +107,6 @@ def measure(q: Column, s: Column, unobserved_matches: bool = True) -> Column:
         return F.when((a == "-") | (b == "-"), F.lit("g")).when(seen, F.lit("m")).otherwise(F.lit("x"))
 
     marks = F.array_join(F.zip_with(seq.chars(q), seq.chars(s), state), "")
-    count = lambda c: F.length(F.regexp_replace(marks, f"[^{c}]", "")).alias({"m": "matches", "x": "mismatches", "g": "gaps"}[c])
-    return F.struct(count("m"), count("x"), count("g"), F.length(F.regexp_extract(marks, "(m*)$", 1)).alias("clean3"))
+    count = lambda s, c: F.length(F.regexp_replace(s, f"[^{c}]", "")).alias({"m": "matches", "x": "mismatches", "g": "gaps"}[c])
+    counts = lambda s: F.struct(count(s, "m"), count(s, "x"), count(s, "g"), F.length(F.regexp_extract(s, "(m*)$", 1)).alias("clean3"))
+    return F.transform(F.array(marks), counts)[0]  # the marks are made once a row, however many of the numbers are used

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from amplispark.functions import seq
 from amplispark.operators import alignment
-from amplispark.operators.specificity import MAX_PRODUCT, level, not_overlapping
+from amplispark.operators.specificity import MAX_PRODUCT, level
 
 #: What tells known sites apart: sites of one oligo on one strand of a record, tiers by themselves.
 SITE_KEYS = ("tier", "accession", "oligo", "orientation")
@@ -65,10 +65,11 @@ def facing_sites(scanned: DataFrame, oligos: DataFrame, acts: Column | None = No
     )
     minus = F.col("orientation") == "-"
     windows = a.withColumn("window", F.when(minus, seq.reverse_complement(F.col("part"))).otherwise(F.col("part"))).drop("part")
-    found = alignment.semi_global(windows.join(oligos, "role").where("length(window) >= length(oligo_seq)"))
+    found = alignment.semi_global(windows.join(F.broadcast(oligos), "role").where("length(window) >= length(oligo_seq)"))
     start = F.when(minus, F.col("lo") + F.length("window") - F.col("s_end")).otherwise(F.col("lo") + F.col("s_start"))
     end = F.when(minus, F.col("lo") + F.length("window") - F.col("s_start")).otherwise(F.col("lo") + F.col("s_end")) - 1
-    found = found.withColumn("m", alignment.measure(F.col("q_aln"), F.col("s_aln"), unobserved_matches=False))
+    # A generator's row: tests of the level are made on the numbers, not on measuring once more for each of them.
+    found = found.select("*", F.explode(F.array(alignment.measure(F.col("q_aln"), F.col("s_aln"), unobserved_matches=False))).alias("m"))
     site = found.select(*SITE_KEYS, "role", "turn", "anchor_id", "a_start", "a_end", "oligo_seq", "q_aln", "s_aln", start.alias("s_start"), end.alias("s_end"), "m.mismatches", "m.gaps", "m.clean3")
     site = site.withColumn("level", level())
     faces = F.when(F.col("orientation") == "-", (F.col("a_start") < F.col("s_start")) & (F.col("a_end") < F.col("s_end"))).otherwise((F.col("s_start") < F.col("a_start")) & (F.col("s_end") < F.col("a_end")))
@@ -99,8 +100,17 @@ def accepted(sites: DataFrame, keys: tuple[str, ...] = SITE_KEYS, turn: str = "t
     return per.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.*").select(*columns)
 
 
+def _unknown(found: DataFrame, known: DataFrame, reach: int) -> DataFrame:
+    """Sites that overlap no known one of their ``SITE_KEYS``; each lies in a window of at most ``reach`` bases, so it stands in the bin of its start and is made once."""
+    to_bin = lambda at: F.floor(at / reach)
+    bins = F.explode(F.sequence(to_bin(F.col("s_start") - reach), to_bin(F.col("s_end"))))
+    k = known.select(*(F.col(c).alias(f"_k_{c}") for c in (*SITE_KEYS, "s_start", "s_end")), bins.alias("_k_bin"))
+    same = [F.col(c) == F.col(f"_k_{c}") for c in SITE_KEYS]
+    meets = (F.col("s_start") <= F.col("_k_s_end")) & (F.col("_k_s_start") <= F.col("s_end")) & (F.col("_bin") == F.col("_k_bin"))
+    return found.withColumn("_bin", to_bin(F.col("s_start"))).join(k, [*same, meets], "left_anti").drop("_bin")
+
+
 def partner_scan(anchors: DataFrame, contigs: DataFrame, oligos: DataFrame, known: DataFrame, reach: int = MAX_PRODUCT, budget: int | None = None, acts: Column | None = None) -> DataFrame:
     """JN-06: the new partner sites beside anchors, with the anchor that found each; known are (tier, accession, oligo, orientation, s_start, s_end)."""
     found = facing_sites(scanned_anchors(anchors, contigs, reach, budget), oligos, acts)
-    new = not_overlapping(found, known, reach, SITE_KEYS, ("anchor_id", *SITE_KEYS))
-    return accepted(new).drop("turn")
+    return accepted(_unknown(found, known, reach)).drop("turn")

@@ -10,7 +10,7 @@ from amplispark.functions.session import shared_dir
 from amplispark.operators import alignment, inclusivity, oligo_qc, partners
 from amplispark.plans.catalogue import register
 from amplispark.plans.sequences import BEST_SQL, _windows, best
-from amplispark.plans.synthetic import CONTIGS, FORWARD, PROBE, REVERSE, dna, duck, view
+from amplispark.plans.synthetic import CONTIGS, FORWARD, PROBE, REVERSE, dealt, dna, duck, view
 from amplispark.sources import files
 from amplispark.streaming import store
 
@@ -48,7 +48,8 @@ def _anchors(s, d):
 def _scan(s, d):
     anchors = _anchors(s, d)
     oligos = s.createDataFrame([("forward", "forward", FORWARD), ("reverse", "reverse", REVERSE)], "oligo string, role string, oligo_seq string")
-    return partners.partner_scan(anchors, view(s, d, CONTIGS), oligos, anchors).select("accession", "oligo", "orientation", "anchor_id", "s_start", "s_end", "mismatches", "gaps", "clean3", "level")
+    anchors, contigs = (dealt(s, d, "orders", x, "accession") for x in (anchors, view(s, d, CONTIGS)))
+    return partners.partner_scan(anchors, contigs, oligos, anchors).select("accession", "oligo", "orientation", "anchor_id", "s_start", "s_end", "mismatches", "gaps", "clean3", "level")
 
 
 # In these contigs a partner differs from its oligo by substitutions only, so that its best alignment has no gap.

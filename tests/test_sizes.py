@@ -76,3 +76,11 @@ def executed(spark, name):
 def test_copies_are_dealt_once_by_record(spark):
     plan = executed(spark, "deduplicated_copies")
     assert plan.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_NUM" in plan  # as many tasks as rows need, and not joined to a few
+
+
+def test_partners_are_searched_once_and_where_their_anchors_are(spark):
+    plan = executed(spark, "partner_scan")
+    assert "hashpartitioning(role" not in plan  # two roles would make two tasks
+    found = catalogue.queries()["partner_scan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("MapInArrow") == 3  # anchors, what is known, and one search for partners
+    assert found.count("zip_with(") == 1  # an alignment is measured once

@@ -15,7 +15,7 @@ from amplispark.functions.seeds import ANCHORED, CONTEXT, FALLBACK, IDENTITY, ID
 from amplispark.operators import windows
 
 #: Contigs that a task reads side by side, and their bases at most (a longer contig is read by itself).
-_ROWS, _BASES = 4000, 4_000_000
+_ROWS, _BASES = 1000, 1_000_000
 CANDIDATE = (
     "accession string, contig string, strand string, ref int, start int, end int, length int, anchored int, identity double, cut boolean, "
     "context_left int, context_right int, n_left int, n_inside int, n_right int, kind string, "

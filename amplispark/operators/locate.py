@@ -90,6 +90,26 @@ def exact_blocks(hits: DataFrame, k: int = SEED) -> DataFrame:
     return blocks.select("accession", "strand", "place", "start", "length")
 
 
+def seed_blocks(contigs: DataFrame, fragment: str, k: int = SEED, step: int = STEP, most: int = MOST_HITS) -> DataFrame:
+    """LC-01 .. LC-03 in one reading of the contigs: (accession, contig, strand, place, start, length, size), the :func:`exact_blocks` of each contig's own hits.
+
+    A contig's hits lie in the task that reads it, so they are folded there and
+    nothing is shuffled. ``size`` is the contig's number of bases.
+    """
+    reference = Reference(fragment)
+    table = search.SeedTable(reference, search.seed_places(reference, k, step), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for accessions, names, sequences in _stretches(batches):
+            hits = table.hits(sequences)
+            b = search.blocks_of(search.pick(hits, search.informative(hits, most=most)), k)
+            named = [pa.array(x, pa.string()).take(pa.array(n)) for x, n in ((accessions, b.contig), (names, b.contig), (("+", "-"), b.strand))]
+            columns = [*named, *(pa.array(x, pa.int32()) for x in (b.place, b.start, b.size, sequences.sizes[b.contig]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["accession", "contig", "strand", "place", "start", "length", "size"])
+
+    return _named(contigs).mapInArrow(run, "accession string, contig string, strand string, place int, start int, length int, size int")
+
+
 def candidates(contigs: DataFrame, references: Sequence[Reference], max_indel: int = MAX_INDEL, fallback: int | None = FALLBACK, flank: int = search.FLANK) -> DataFrame:
     """LC-01 .. LC-09, LC-20: the candidate copies (``CANDIDATE``) of some references in genomes of one contig or several.
 

@@ -18,7 +18,7 @@ register("seed_hits", lambda s, d: locate.seed_hits(view(s, d, CONTIGS), FRAGMEN
 _BLOCKS_SQL = f"""{_HITS_SQL}, a AS (SELECT *, max(place + 16) OVER (PARTITION BY accession, strand, start - place ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits),
 b AS (SELECT *, sum(CASE WHEN before IS NULL OR place > before THEN 1 ELSE 0 END) OVER (PARTITION BY accession, strand, start - place ORDER BY place) AS block FROM a),
 blocks AS (SELECT accession, strand, min(place) AS place, min(start) AS start, CAST(max(place) + 16 - min(place) AS INTEGER) AS length FROM b GROUP BY accession, strand, start - place, block)"""
-register("exact_blocks", lambda s, d: locate.exact_blocks(locate.seed_hits(view(s, d, CONTIGS), FRAGMENT)), f"WITH {_BLOCKS_SQL} SELECT * FROM blocks")
+register("exact_blocks", lambda s, d: locate.seed_blocks(view(s, d, CONTIGS), FRAGMENT).drop("contig", "size"), f"WITH {_BLOCKS_SQL} SELECT * FROM blocks")
 # In these contigs the fragment lies at place 64 of its strand (35 bases before the start where the contig is cut), without gaps: what is anchored are its exact blocks.
 _CHAIN_SQL = f"""{_BLOCKS_SQL}, o AS (SELECT accession, strand, CAST(sum(length) AS INTEGER) AS anchored FROM blocks GROUP BY 1, 2),
 c AS (SELECT k, accession, CASE WHEN k % 5 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN k % 13 = 0 THEN -35 ELSE 64 END AS start FROM {duck(CONTIGS)} WHERE k % 3 <> 2)"""

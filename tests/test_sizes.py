@@ -84,3 +84,7 @@ def test_partners_are_searched_once_and_where_their_anchors_are(spark):
     found = catalogue.queries()["partner_scan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("MapInArrow") == 3  # anchors, what is known, and one search for partners
     assert found.count("zip_with(") == 1  # an alignment is measured once
+
+
+def test_blocks_are_folded_where_their_contig_is_read(spark):
+    assert "Exchange hashpartitioning(" not in executed(spark, "exact_blocks")

@@ -223,7 +223,6 @@ def partitioned_copies(contigs: DataFrame, hits: DataFrame, references: Sequence
     most anchored bases.
     """
     named = _named(contigs).withColumn("_n", F.length("seq"))
-    large = named.where(F.col("_n") > longest)
     pad = max(len(r.fragment) for r in references) + flank + within
     h = hits.select("accession", "contig" if "contig" in hits.columns else F.col("accession").alias("contig"), (F.col("hit_from") - 1 - pad).alias("a"), (F.col("hit_to") + pad).alias("b"))
     # Stretches that meet are one, so that no copy is cut by the end of a stretch but where the record ends.
@@ -231,17 +230,24 @@ def partitioned_copies(contigs: DataFrame, hits: DataFrame, references: Sequence
     opens = F.col("a") > F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
     runs = h.withColumn("_o", F.coalesce(opens.cast("int"), F.lit(0))).withColumn("_r", F.sum("_o").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     stretches = runs.groupBy("accession", "contig", "_r").agg(F.greatest(F.min("a"), F.lit(0)).alias("a"), F.max("b").alias("b"))
-    cut = large.join(stretches, ["accession", "contig"]).withColumn("b", F.least("b", "_n"))  # an inner join: leaks meet no large record
-    piece = F.concat_ws("|", "contig", "a", "b")
-    pieces = cut.select("accession", piece.alias("piece"), "contig", "a", "b", F.col("_n").alias("n"), F.substring(F.col("seq"), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("seq"))
-    of = lambda rows: judged(candidates(rows, references, flank=flank)).where("is_copy")
-    direct = of(named.where((F.col("_n") > 0) & (F.col("_n") <= longest)).select("accession", "contig", "seq"))
-    direct = direct.select("accession", "contig", "strand", "start", "end", "anchored", "identity", F.lit("direct_scan").alias("found_by"))
-    near = of(pieces.select("accession", F.col("piece").alias("contig"), "seq")).withColumnRenamed("contig", "piece")
-    near = near.join(pieces.drop("seq"), ["accession", "piece"])
-    shift = F.when(F.col("strand") == "+", F.col("a")).otherwise(F.col("n") - F.col("b"))
-    near = near.select("accession", "contig", "strand", (F.col("start") + shift).cast("int").alias("start"), (F.col("end") + shift).cast("int").alias("end"), "anchored", "identity", F.lit("search").alias("found_by"))
-    every = direct.unionByName(near)
+    # Records are read once: a small one goes whole, whatever was found in it, a large one by its stretches, and leaks meet no record.
+    small = F.col("_n") <= longest
+    near = F.row_number().over(Window.partitionBy("accession", "contig").orderBy("a"))
+    cut = named.join(stretches.withColumn("_k", near), ["accession", "contig"], "left")
+    # A test of both sides, as one of the records alone would be made where their sequences are still to be derived.
+    cut = cut.where(F.when(small, (F.col("_n") > 0) & (F.coalesce(F.col("_k"), F.lit(1)) == 1)).otherwise(F.col("a").isNotNull()))
+    cut = cut.withColumn("a", F.when(small, 0).otherwise(F.col("a"))).withColumn("b", F.when(small, F.col("_n")).otherwise(F.least("b", "_n")))
+    # A piece's name tells where it was cut, and whether its record is small: genomes have their small and their large records judged apart.
+    route = F.when(small, "s").otherwise("l")
+    pieces = cut.select(F.concat(route, "accession").alias("accession"), F.concat_ws("|", "a", "b", "_n", "contig").alias("contig"), F.substring(F.col("seq"), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("seq"))
+    found = judged(candidates(pieces, references, flank=flank)).where("is_copy").withColumn("_p", F.split("contig", r"\|", 4))
+    a, b, n = (F.col("_p")[i].cast("int") for i in range(3))
+    shift = F.when(F.col("strand") == "+", a).otherwise(n - b)
+    found_by = F.when(F.substring("accession", 1, 1) == "s", "direct_scan").otherwise("search")
+    every = found.select(
+        F.expr("substring(accession, 2)").alias("accession"), F.col("_p")[3].alias("contig"), "strand", (F.col("start") + shift).cast("int").alias("start"), (F.col("end") + shift).cast("int").alias("end"),
+        "anchored", "identity", found_by.alias("found_by"),
+    )
     line = Window.partitionBy("accession", "contig", "strand").orderBy("start", "end")
     apart = F.coalesce(F.col("start") - F.lag("start").over(line) > within, F.lit(True))
     places = every.withColumn("_o", apart.cast("int")).withColumn("_r", F.sum("_o").over(line.rowsBetween(Window.unboundedPreceding, 0)))

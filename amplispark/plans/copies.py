@@ -8,7 +8,7 @@ from amplispark.operators import assess, locate, specificity
 from amplispark.plans.catalogue import register
 from amplispark.plans.search import _LEVEL
 from amplispark.plans.sequences import BEST_SQL, best
-from amplispark.plans.synthetic import CONTIGS, FRAGMENT, OLIGOS, SITES, duck, view
+from amplispark.plans.synthetic import CONTIGS, FRAGMENT, OLIGOS, SITES, dealt, duck, view
 
 _SEEDS = "(VALUES " + ", ".join(f"({p}, '{k}')" for p, k in locate.seeds(FRAGMENT)) + ") AS seeds(place, kmer)"
 _HITS_SQL = f"""g AS (SELECT accession, '+' AS strand, seq AS s FROM {duck(CONTIGS)} UNION ALL SELECT accession, '-', reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM {duck(CONTIGS)}),
@@ -34,9 +34,9 @@ register(
 def _routed(s, d):
     """Contigs that are cut are short and scanned whole; of the others the blocks of seeds are the hits of a search, those of short ones are leaks."""
     contigs = view(s, d, CONTIGS)
-    blocks = locate.exact_blocks(locate.seed_hits(contigs, FRAGMENT)).join(contigs.select("accession", F.length("seq").alias("n")), "accession")
-    lo = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("n") - F.col("start") - F.col("length"))
-    hits = blocks.select("accession", (lo + 1).alias("hit_from"), (lo + F.col("length")).alias("hit_to"))
+    lo = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("size") - F.col("start") - F.col("length"))
+    hits = locate.seed_blocks(contigs, FRAGMENT).select("accession", F.col("accession").alias("contig"), (lo + 1).alias("hit_from"), (lo + F.col("length")).alias("hit_to"))
+    contigs, hits = (dealt(s, d, "orders", x, "accession", "contig") for x in (contigs.withColumn("contig", F.col("accession")), hits))
     return locate.partitioned_copies(contigs, hits, [locate.Reference(FRAGMENT)], 200).select("accession", "strand", "start", "end", "anchored", "found_by")
 
 

@@ -88,3 +88,8 @@ def test_partners_are_searched_once_and_where_their_anchors_are(spark):
 
 def test_blocks_are_folded_where_their_contig_is_read(spark):
     assert "Exchange hashpartitioning(" not in executed(spark, "exact_blocks")
+
+
+def test_records_are_read_once_around_hits(spark):
+    plan = catalogue.queries()["partitioned_copies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the search, and the scan of what it points to

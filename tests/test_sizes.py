@@ -5,7 +5,7 @@ import os
 import pytest
 
 from amplispark.operators import chemistry, groups, specificity, windows
-from amplispark.plans import catalogue
+from amplispark.plans import catalogue, synthetic
 from amplispark.plans.sequences import _EIGHTS, _OLIGO_ROWS
 from amplispark.plans.synthetic import SITES, view
 
@@ -17,6 +17,13 @@ def test_rows_are_dealt_over_tasks(spark, name):
     assert catalogue.queries()[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("name", ["seq_runs_gc", "gap_stats"])
+def test_contigs_have_as_many_tasks_as_their_number_needs(spark, monkeypatch, name):
+    monkeypatch.setattr(synthetic, "ROWS_A_TASK", 100)
+    found = catalogue.queries()[name](spark, SF)
+    assert found.rdd.getNumPartitions() == -(-found.count() // 100) > spark.sparkContext.defaultParallelism
+
+
 def test_oligos_and_their_pairs_are_dealt_over_tasks(spark):
     for sql in (_OLIGO_ROWS, _EIGHTS):
         assert view(spark, SF, sql, spread=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

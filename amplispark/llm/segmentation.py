@@ -12,7 +12,8 @@ the threshold of the inclusion scores.
 
 Pieces never cross from a letter to the white space after it, so the lattice is
 built for distinct units between such places, in numpy, and a text's steps are
-drawn for all its units at once. Seeds come from the row key alone.
+drawn for all its units at once, equal units of all texts side by side. Seeds
+come from the row key alone.
 
 Defined cases: a null or empty text has the one empty segmentation; where fewer
 than k segmentations exist all are returned, with inclusion 1; rows of one key
@@ -39,6 +40,10 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden rati
 _WORD = 2**64 - 1
 #: Characters of texts sampled at once, and of units whose lattices are kept for the texts to come; without influence on results.
 _CHUNK_CHARS, _KEPT_CHARS = 1_000_000, 1_500_000
+#: Units walked at once; without influence on results.
+_BLOCK = 1 << 15
+#: Segmentations that the query draws of each text: beyond two the search has regions to choose from, whose order decides which comes next.
+SAMPLES_A_TEXT = 4
 SAMPLES = "doc_id long, sample int, n_ids long, ids array<int>, log_prob double, inclusion double"
 
 
@@ -110,7 +115,11 @@ class Vocabulary:
         ids = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64, copy=False)
         sizes = self.shown_size[ids]
         ends = np.cumsum(sizes)
-        out = self.shown[np.repeat(self.shown_at[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))].tobytes()
+        total = int(sizes.sum())
+        narrow = np.int32 if total < 2**31 - len(self.shown) else np.int64
+        at = np.repeat((self.shown_at[ids] - (ends - sizes)).astype(narrow), sizes)
+        at += np.arange(total, dtype=narrow)
+        out = self.shown.take(at).tobytes()
         parts = np.append(0, np.cumsum(self.is_part[ids]))
         cuts, ends = np.append(0, np.cumsum(counts)), np.append(0, ends)
         whole = (parts[cuts[1:]] == parts[cuts[:-1]]).tolist()
@@ -122,8 +131,10 @@ class Lattice:
     """The lattices of distinct units, side by side: a node is a place in one of them.
 
     Edges stand by node, the longest step first; ``p`` is the probability of a
-    step, which counts all that can follow it. Units can be added; a unit's edges
-    do not depend on the others.
+    step, which counts all that can follow it, ``upto`` that of it and the edges
+    before it (2 at a node's last edge), ``after`` the node that it leads to, -1
+    at the unit's end. Units can be added; a unit's edges do not depend on the
+    others.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -132,6 +143,7 @@ class Lattice:
         self.is_start = np.zeros(0, bool)
         self.codes, self.left, self.first, self.last = (np.zeros(0, np.int32) for _ in range(4))
         self.size, self.pid, self.logp, self.p = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+        self.after, self.upto = np.zeros(0, np.int32), np.zeros(0)
 
     def add(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Appends the lattices of further units, of the given sizes, from their code points side by side."""
@@ -140,12 +152,13 @@ class Lattice:
             return
         left = (np.repeat(starts + sizes, sizes) - np.arange(n)).astype(np.int32)
         found, degree = self._pieces(codes, left)
-        first, size, pid, logp, p = self._edges(found, degree, left)
+        first, size, pid, logp, p, after = self._edges(found, degree, left)
         is_start = np.zeros(n, bool)
         is_start[starts] = True
         nodes, edges = len(self.codes), len(self.size)
         new = {"starts": starts + nodes, "is_start": is_start, "codes": codes, "left": left, "first": first + edges, "last": first + edges + degree - 1}
-        new |= {"size": size, "pid": pid, "logp": logp, "p": p}
+        new |= {"size": size, "pid": pid, "logp": logp, "p": p, "upto": self._upto(p, first, degree)}
+        new["after"] = np.where(after < n, after + nodes, -1)
         for name, value in new.items():
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, value.astype(old.dtype, copy=False)]))
@@ -180,7 +193,7 @@ class Lattice:
 
     @staticmethod
     def _edges(found: list[tuple], degree: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first edge of each node; size, id, log probability and probability of each edge)."""
+        """(first edge of each node; size, id, log probability and probability of each edge, and the node after it, the number of nodes at a unit's end)."""
         n = len(left)
         by_left = np.argsort(left.astype(np.min_scalar_type(int(left.max()))), kind="stable")
         d = degree[by_left]
@@ -210,20 +223,28 @@ class Lattice:
             beta[by_left[i:j]] = b
             weight[lo:hi] = total - np.repeat(b, d[i:j])
             p[lo:hi] = share / np.repeat(sums, d[i:j])
-        return first, size, pid, weight, p
+        return first, size, pid, weight, p, after
+
+    @staticmethod
+    def _upto(p: np.ndarray, first: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        """The sum of each node's probabilities up to each edge; 2 at the last one, which no draw exceeds."""
+        out, more, e = p.copy(), degree, first
+        while len(e):
+            on = more > 1
+            out[e[~on]] = 2.0
+            more, e = more[on] - 1, e[on] + 1
+            out[e] += out[e - 1]
+        return out
 
     def edges(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A random edge of each node."""
-        e, last = self.first[nodes], self.last[nodes]
-        rest = u - self.p[e]
-        more = np.flatnonzero((rest > 0) & (e < last))
-        e_, rest, last = e[more], rest[more], last[more]
+        e = self.first.take(nodes)
+        more = np.flatnonzero(u > self.upto.take(e))
+        e_, u = e.take(more) + 1, u.take(more)
         while len(more):
-            e_ += 1
-            rest -= self.p[e_]
-            on = (rest > 0) & (e_ < last)
             e[more] = e_
-            more, e_, rest, last = more[on], e_[on], rest[on], last[on]
+            on = np.flatnonzero(u > self.upto.take(e_))
+            more, e_, u = more.take(on), e_.take(on) + 1, u.take(on)
         return e
 
     def other_edge(self, node: int, barred: list[int], u: float) -> int:
@@ -236,23 +257,36 @@ class Lattice:
                 return e
         return free[-1]
 
-    def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start number, node, edge) of the steps from the given nodes to the ends of their units, in the order of the starts."""
-        number, found, step = np.arange(len(nodes)), [], 1
-        while len(nodes):
-            e = self.edges(nodes, uniform(seeds, step))
-            found.append((number, nodes, e))
-            go = self.left[nodes] > self.size[e]
-            nodes, number, seeds, step = (nodes + self.size[e])[go], number[go], seeds[go], step + 1
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        number, nodes, e = (np.concatenate(x) for x in zip(*found, strict=True))
-        at = np.argsort(number, kind="stable")
-        return number[at], nodes[at], e[at]
+    def walk(self, nodes: np.ndarray, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end of each start's steps; node and edge of each step) from the given nodes to the ends of their units, start by start.
+
+        Only the starts of ``order`` are walked, in that order, which has no
+        influence on their steps: those of equal nodes side by side are fast.
+        """
+        found, counts = [], np.zeros(len(nodes), np.int64)
+        for i in range(0, len(order), _BLOCK):
+            at, step = order[i : i + _BLOCK], 0
+            here, own = nodes.take(at), seeds.take(at)
+            while len(here):
+                e = self.edges(here, uniform(own, step + 1))
+                found.append((step, at, here, e))
+                step += 1
+                counts[at] = step
+                after = self.after.take(e)
+                on = np.flatnonzero(after >= 0)
+                here, at, own = after.take(on), at.take(on), own.take(on)
+        ends = np.cumsum(counts)
+        first = ends - counts
+        total = int(counts.sum())
+        out, out_e = np.zeros(total, np.int32), np.zeros(total, np.int32)
+        for step, at, here, e in found:
+            place = first.take(at) + step
+            out[place], out_e[place] = here, e
+        return ends, out, out_e
 
     def ids_of(self, nodes: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The ids of a segmentation; characters in no piece become the ids of their bytes."""
-        ids = self.pid[e]
+        ids = self.pid.take(e)
         if not len(ids) or ids.min() >= 0:
             return ids
         out: list[int] = []
@@ -263,15 +297,23 @@ class Lattice:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of the 64-bit numbers whose every bit depends on all bits: the finaliser of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    z = y >> np.uint64(27)
+    y ^= z
+    y *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(y, np.uint64(31), out=z)
+    y ^= z
+    return y
 
 
 def uniform(seeds: np.ndarray, n: int) -> np.ndarray:
     """The n-th number in [0, 1) of each seed."""
     with np.errstate(over="ignore"):
-        return (mixed(seeds + np.uint64(n) * _HASH) >> np.uint64(11)) * 2.0**-53
+        x = mixed(seeds + np.uint64(n) * _HASH)
+    x >>= np.uint64(11)
+    return x.view(np.int64) * 2.0**-53
 
 
 class Search:
@@ -282,8 +324,8 @@ class Search:
     hold what has not been returned.
     """
 
-    def __init__(self, lattice: Lattice, units: np.ndarray, seed: int, path: tuple[np.ndarray, np.ndarray]):
-        self.lattice, self.units, self.seed, self.drawn = lattice, units, seed, 0
+    def __init__(self, lattice: Lattice, seed: int, path: tuple[np.ndarray, np.ndarray]):
+        self.lattice, self.seed, self.drawn = lattice, seed, 0
         self.paths, self.sums, self.regions, self.threshold = [path], [self.summed(path)], [], np.inf
         self.log_time = math.log(-math.log1p(-self.draw()))
         self.wait(0, 0, {})
@@ -291,7 +333,7 @@ class Search:
     def summed(self, path: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """The log probability of a path before each step and after the last."""
         out = np.zeros(len(path[1]) + 1)
-        np.cumsum(self.lattice.logp[path[1]], out=out[1:])
+        np.cumsum(self.lattice.logp.take(path[1]), out=out[1:])
         return out
 
     def draw(self) -> float:
@@ -306,7 +348,9 @@ class Search:
         """The probability of other edges than the path's and the barred ones at a step, given the steps before it."""
         la = self.lattice
         nodes, e = self.paths[path]
-        return sum(float(la.p[x]) for x in range(la.first[nodes[step]], la.last[nodes[step]] + 1) if x != e[step] and x not in barred)
+        node, own = nodes[step], e[step]
+        first = int(la.first[node])
+        return sum(p for x, p in enumerate(la.p[first : la.last[node] + 1].tolist(), first) if x != own and x not in barred)
 
     def mass(self, path: int, first: int, barred: dict[int, list[int]]) -> float:
         """The log of a region's probability: what follows the path up to ``first``, but for the path itself and what is barred."""
@@ -345,8 +389,8 @@ class Search:
         cum = np.cumsum([math.exp(before[t] - before[first]) * self.left(path, t, barred.get(t, [])) for t in open_])
         return open_[int(min(np.searchsorted(cum, self.draw() * cum[-1], side="right"), np.flatnonzero(np.diff(cum, prepend=0.0) > 0)[-1]))]
 
-    def next(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """The start of the next segmentation: (nodes, edges) up to where it differs and the nodes to walk on from."""
+    def next(self) -> tuple[int, int] | None:
+        """The start of the next segmentation: the node inside a unit from which it goes on after it differs, or -1, and the number of the unit after."""
         if not self.regions:
             return None
         best = min(self.regions, key=lambda r: r[0])
@@ -355,17 +399,16 @@ class Search:
         t = self.differing_step(path, first, barred)
         nodes, e = self.paths[path]
         own = self.lattice.other_edge(int(nodes[t]), [*barred.get(t, []), int(e[t])], self.draw())
-        self.split = (path, first, barred | {t: [*barred.get(t, []), own]}, t)
-        unit = int(self.lattice.is_start[nodes[1 : t + 1]].sum())
-        here = nodes[t] + self.lattice.size[own]
-        inside = [here] if self.lattice.left[nodes[t]] > self.lattice.size[own] else []
-        return nodes[: t + 1], np.append(e[:t], own), np.concatenate([np.array(inside, np.int64), self.lattice.starts[self.units[unit + 1 :]]])
-
-    def add(self, path: tuple[np.ndarray, np.ndarray]) -> None:
-        """Takes the walked path of :meth:`next` and splits its region."""
+        self.split = (path, first, barred | {t: [*barred.get(t, []), own]}, t, own)
+        return int(self.lattice.after[own]), int(self.lattice.is_start[nodes[: t + 1]].sum())
+
+    def add(self, *rest: tuple[np.ndarray, np.ndarray]) -> None:
+        """Takes the walked rest of the segmentation of :meth:`next`, in pieces, and splits its region."""
+        old, first, barred, t, own = self.split
+        nodes, e = self.paths[old]
+        path = np.concatenate([nodes[: t + 1], *(r[0] for r in rest)]), np.concatenate([e[:t], np.array([own], e.dtype), *(r[1] for r in rest)])
         self.paths.append(path)
         self.sums.append(self.summed(path))
-        old, first, barred, t = self.split
         self.wait(old, first, barred)
         self.wait(len(self.paths) - 1, t + 1, {})
 
@@ -376,24 +419,38 @@ class Search:
 
 def sample_all(lattice: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, np.ndarray, float, float]]]:
     """At most k distinct segmentations of each text of units: (nodes, edges, log probability, log threshold)."""
-
-    def walked(starts: list[np.ndarray], round_: int, of: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = [len(s) for s in starts]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    starts = lattice.starts[np.concatenate([np.zeros(0, np.int64), *texts])]
+    order = np.argsort(starts)
+    base = np.array(seeds, np.uint64)
+    of_text, place = np.repeat(base, sizes), (np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64)
+
+    def drawn(round_: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation of each unit of the texts that are alive: (where each unit's steps begin and the last ones end, nodes, edges)."""
         with np.errstate(over="ignore"):
-            base = np.repeat(np.array([seeds[i] for i in of], np.uint64), sizes)
-            place = np.concatenate([np.arange(s) for s in sizes]).astype(np.uint64) if sizes else np.zeros(0, np.uint64)
-            own = mixed(base + mixed(place + np.uint64(round_ << 40)))
-        number, nodes, e = lattice.walk(np.concatenate(starts) if starts else np.zeros(0, np.int64), own)
-        cuts = np.searchsorted(number, np.cumsum([0, *sizes]))
-        return ((nodes[a:b], e[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-
-    firsts = walked([lattice.starts[t] for t in texts], 0, list(range(len(texts))))
-    searches = [Search(lattice, t, s, p) for t, s, p in zip(texts, seeds, firsts, strict=True)]
+            own = mixed(of_text + mixed(place + np.uint64(round_ << 40)))
+        ends, nodes, e = lattice.walk(starts, own, order if alive.all() else order[np.repeat(alive, sizes)[order]])
+        return np.append(0, ends), nodes, e
+
+    cuts, nodes, e = drawn(0, np.ones(len(texts), bool))
+    firsts = [(nodes[a:b], e[a:b]) for a, b in itertools.pairwise(cuts[bounds].tolist())]
+    searches = [Search(lattice, s, p) for s, p in zip(seeds, firsts, strict=True)]
     for round_ in range(1, k):
         started = [(i, got) for i, s in enumerate(searches) if len(s.paths) == round_ and (got := s.next()) is not None]
-        rest = walked([got[2] for _, got in started], round_, [i for i, _ in started])
-        for (i, (nodes, e, _)), (more, more_e) in zip(started, rest, strict=True):
-            searches[i].add((np.concatenate([nodes, more]), np.concatenate([e, more_e])))
+        if not started:
+            break
+        of, inside, unit = (np.array(x, np.int64) for x in zip(*((i, *got) for i, got in started), strict=True))
+        alive = np.zeros(len(texts), bool)
+        alive[of] = True
+        cuts, nodes, e = drawn(round_, alive)
+        with np.errstate(over="ignore"):  # what is left of a unit inside which a segmentation differs has a place of its own
+            own = mixed(base[of] + mixed(np.full(len(of), (round_ << 40) + (1 << 39), np.uint64)))
+        own_cuts, own_nodes, own_e = lattice.walk(inside, own, np.flatnonzero(inside >= 0))
+        own_cuts = np.append(0, own_cuts).tolist()
+        heads, tails = cuts[bounds[of] + unit].tolist(), cuts[bounds[of + 1]].tolist()
+        for i, a, b, c, d in zip(of.tolist(), own_cuts[:-1], own_cuts[1:], heads, tails, strict=True):
+            searches[i].add((own_nodes[a:b], own_e[a:b]), (nodes[c:d], e[c:d]))
     for s in searches:
         s.close()
     return [[(n, e, float(b[-1]), float(s.threshold)) for (n, e), b in zip(s.paths, s.sums, strict=True)] for s in searches]
@@ -540,7 +597,7 @@ def piece_bpe() -> str:
 
 
 def op8_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"), piece_bpe(), digest=True)
+    return sample_segmentations(table(spark, sf_dir, "documents"), piece_bpe(), k=SAMPLES_A_TEXT, digest=True)
 
 
 QUERIES = {"op8_sampled_segmentation": op8_sampled_segmentation}

@@ -346,6 +346,45 @@ def test_sampling_law(vocabulary):
         assert abs(second[ids] / 4000 - sum(p[j] * p[ids] / (1 - p[j]) for j in p if j != ids)) < 0.03
 
 
+def test_the_query_searches_among_regions(spark, tables):
+    at = tables(documents=([(1, "a cat\nné"), (2, ""), (3, "some words and more of them")], "doc_id long, text string"))
+    got = defaultdict(list)
+    for r in segmentation.op8_sampled_segmentation(spark, at).collect():
+        got[r.doc_id].append((r.sample, r.ids_crc32, r.text_crc32))
+    assert len(got[2]) == 1
+    for i in (1, 3):
+        assert sorted(x[0] for x in got[i]) == list(range(len(got[i]))) and len(got[i]) > 3
+        assert len({x[1] for x in got[i]}) == len(got[i]) and len({x[2] for x in got[i]}) == 1
+
+
+def test_law_of_further_samples(vocabulary):
+    p = enumerated(vocabulary, "a cat")
+    seen = [defaultdict(int) for _ in range(4)]
+    for key, n, ids, logp, _ in segmentation.encode_task(iter([(k, "a cat") for k in range(6000)]), vocabulary, 4, 0):
+        assert abs(logp - np.log(p[tuple(ids.tolist())])) < 1e-6
+        seen[n][tuple(ids.tolist())] += 1
+    law, drawn = [defaultdict(float) for _ in range(4)], {(): 1.0}
+    for n in range(4):  # each further one in proportion to the probabilities of those not drawn
+        grown = defaultdict(float)
+        for before, x in drawn.items():
+            rest = 1 - sum(p[j] for j in before)
+            for ids in p.keys() - before:
+                law[n][ids] += x * p[ids] / rest
+                grown[frozenset([*before, ids])] += x * p[ids] / rest
+        drawn = grown
+    assert all(abs(seen[n][ids] / 6000 - law[n][ids]) < 0.03 for n in range(4) for ids in p)
+
+
+def test_draws_do_not_depend_on_the_texts_beside(vocabulary):
+    rows = [(k, " ".join(f"w{j % 7} other" for j in range(k % 90))) for k in range(200)]
+    tell = lambda found: {(key, n): (ids.tolist(), logp, inclusion) for key, n, ids, logp, inclusion in found}
+    whole = tell(segmentation.encode_task(iter(rows), vocabulary, 4, 0))
+    alone = {}
+    for i in range(0, 200, 40):
+        alone |= tell(segmentation.encode_task(iter(rows[i : i + 40][::-1]), vocabulary, 4, 0))
+    assert whole.keys() == alone.keys() and all(whole[x] == alone[x] for x in whole)
+
+
 def test_round_trip(spark, vocabulary):
     docs = [(i, t) for i, (_, t) in enumerate(HARD) if t is not None and len(t) < 5000]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -39,7 +39,7 @@ from amplispark.llm.common import table
 _HASH = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio, made odd
 _WORD = 2**64 - 1
 #: Characters of texts sampled at once, and of units whose lattices are kept for the texts to come; without influence on results.
-_CHUNK_CHARS, _KEPT_CHARS = 1_000_000, 1_500_000
+_CHUNK_CHARS, _KEPT_CHARS = 300_000, 1_500_000
 #: Units walked at once; without influence on results.
 _BLOCK = 1 << 15
 #: Segmentations that the query draws of each text: beyond two the search has regions to choose from, whose order decides which comes next.
@@ -138,7 +138,7 @@ class Lattice:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.room = vocabulary, {}
         self.starts = np.zeros(0, np.int64)
         self.is_start = np.zeros(0, bool)
         self.codes, self.left, self.first, self.last = (np.zeros(0, np.int32) for _ in range(4))
@@ -160,8 +160,18 @@ class Lattice:
         new |= {"size": size, "pid": pid, "logp": logp, "p": p, "upto": self._upto(p, first, degree)}
         new["after"] = np.where(after < n, after + nodes, -1)
         for name, value in new.items():
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, value.astype(old.dtype, copy=False)]))
+            self._append(name, value)
+
+    def _append(self, name: str, value: np.ndarray) -> None:
+        """Lengthens an array within a larger one, so that what it holds is seldom copied."""
+        old = getattr(self, name)
+        n, m = len(old), len(old) + len(value)
+        room = self.room.get(name, old)
+        if len(room) < m:
+            room = self.room[name] = np.empty(max(m, n * 3 // 2), old.dtype)
+            room[:n] = old
+        room[n:m] = value
+        setattr(self, name, room[:m])
 
     def _pieces(self, codes: np.ndarray, left: np.ndarray) -> tuple[list[tuple], np.ndarray]:
         """(size, nodes, weights, ids) of the pieces that start at nodes, and the number of each node's."""
@@ -268,7 +278,7 @@ class Lattice:
             at, step = order[i : i + _BLOCK], 0
             here, own = nodes.take(at), seeds.take(at)
             while len(here):
-                e = self.edges(here, uniform(own, step + 1))
+                e = self.edges(here, uniform(own, step))
                 found.append((step, at, here, e))
                 step += 1
                 counts[at] = step
@@ -309,11 +319,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(seeds: np.ndarray, n: int) -> np.ndarray:
-    """The n-th number in [0, 1) of each seed."""
+    """The n-th number in [0, 1) of each mixed seed, from 0."""
     with np.errstate(over="ignore"):
-        x = mixed(seeds + np.uint64(n) * _HASH)
-    x >>= np.uint64(11)
-    return x.view(np.int64) * 2.0**-53
+        x = mixed(seeds + np.uint64(n) * _HASH) if n else seeds
+    return (x >> np.uint64(11)).view(np.int64) * 2.0**-53
 
 
 class Search:
@@ -423,13 +432,14 @@ def sample_all(lattice: Lattice, texts: list[np.ndarray], seeds: list[int], k: i
     bounds = np.append(0, np.cumsum(sizes))
     starts = lattice.starts[np.concatenate([np.zeros(0, np.int64), *texts])]
     order = np.argsort(starts)
-    base = np.array(seeds, np.uint64)
-    of_text, place = np.repeat(base, sizes), (np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        base = mixed(np.array(seeds, np.uint64))  # away from the searches' own streams
+        places = np.repeat(base, sizes) + (np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)).astype(np.uint64) * _HASH
 
     def drawn(round_: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each unit of the texts that are alive: (where each unit's steps begin and the last ones end, nodes, edges)."""
         with np.errstate(over="ignore"):
-            own = mixed(of_text + mixed(place + np.uint64(round_ << 40)))
+            own = mixed(places + np.uint64(round_ << 40) * _HASH)
         ends, nodes, e = lattice.walk(starts, own, order if alive.all() else order[np.repeat(alive, sizes)[order]])
         return np.append(0, ends), nodes, e
 
@@ -445,7 +455,7 @@ def sample_all(lattice: Lattice, texts: list[np.ndarray], seeds: list[int], k: i
         alive[of] = True
         cuts, nodes, e = drawn(round_, alive)
         with np.errstate(over="ignore"):  # what is left of a unit inside which a segmentation differs has a place of its own
-            own = mixed(base[of] + mixed(np.full(len(of), (round_ << 40) + (1 << 39), np.uint64)))
+            own = mixed(base[of] + np.uint64((round_ << 40) + (1 << 39)) * _HASH)
         own_cuts, own_nodes, own_e = lattice.walk(inside, own, np.flatnonzero(inside >= 0))
         own_cuts = np.append(0, own_cuts).tolist()
         heads, tails = cuts[bounds[of] + unit].tolist(), cuts[bounds[of + 1]].tolist()

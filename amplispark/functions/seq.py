@@ -73,14 +73,19 @@ def reverse_complement(s: Column) -> Column:
 
 def gc_percent(s: Column) -> Column:
     """FN-07; null for an empty sequence."""
-    n = F.length(F.regexp_replace(s, "[^GC]", ""))
-    return F.try_divide(F.lit(100.0) * n, F.length(s))
+    rest = F.replace(F.replace(s, F.lit("G"), F.lit("")), F.lit("C"), F.lit(""))
+    return F.try_divide(F.lit(100.0) * (F.length(s) - F.length(rest)), F.length(s))
 
 
 def longest_run(s: Column, base: str | None = None) -> Column:
-    """FN-08: the longest run of one base, or of ``base``."""
-    pattern = f"({base}+)" if base else "(A+|C+|G+|T+)"
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.length)), F.lit(0))
+    """FN-08: the longest run of one base, or of ``base``; 0 without one.
+
+    Most runs of a sequence are of one base: runs of four or more are taken out
+    first, shorter ones only where there is none.
+    """
+    one = f"[{base or 'ACGT'}]"
+    longest = lambda least: F.array_max(F.transform(F.regexp_extract_all(s, F.lit(rf"({one})\1{{{least - 1},}}"), F.lit(0)), F.length))
+    return F.coalesce(longest(4), longest(2), F.when(s.rlike(one), F.lit(1)), F.lit(0))
 
 
 def masks(s: Column) -> Column:

@@ -1,6 +1,7 @@
 """Costly queries deal their rows over tasks, whatever file they lie in."""
 
 import os
+import re
 
 import pytest
 
@@ -24,6 +25,14 @@ def test_contigs_have_as_many_tasks_as_their_number_needs(spark, monkeypatch, na
     assert found.rdd.getNumPartitions() == -(-found.count() // 100) > spark.sparkContext.defaultParallelism
 
 
+def test_runs_of_one_base_are_not_taken_out(spark):
+    rows = catalogue.queries()["seq_runs_gc"](spark, SF)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    patterns = re.findall(r"regexp_extract_all\(seq#\d+, (\S+), \d\)", plan)
+    assert patterns and not any(re.fullmatch(p, "G") for p in patterns)  # three runs of four are of one base, and each would be a string
+    assert "regexp_replace(" not in plan  # nor is each base removed by a match of its own
+
+
 def test_oligos_and_their_pairs_are_dealt_over_tasks(spark):
     for sql in (_OLIGO_ROWS, _EIGHTS):
         assert view(spark, SF, sql, spread=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

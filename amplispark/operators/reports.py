@@ -41,11 +41,19 @@ def search_terms(tiers: DataFrame, excluded: DataFrame | None = None, taxa_per_s
 
 
 def planned_searches(oligos: DataFrame, tiers: DataFrame, taxa_per_search: int = 20, excluded: DataFrame | None = None) -> DataFrame:
-    """PL-01, PL-04, PL-05: a search for each concrete oligo, tier and chunk of taxa, with its query text and key; all of them a plan's size."""
-    variants = oligos.select("oligo", F.size(seq.expand(F.col("sequence"))).alias("n"), F.posexplode(seq.expand(F.col("sequence"))).alias("v", "sequence"))
+    """PL-01, PL-04, PL-05: a search for each concrete oligo, tier and chunk of taxa, with its query text and key; all of them a plan's size.
+
+    A key is of the whole request, whose query names its oligo as a FASTA record
+    does: equal sequences of two oligos are two requests.
+    """
+    grown = oligos.select("oligo", seq.expand(F.col("sequence")).alias("all")).withColumn("n", F.size("all"))
+    # There is always a variant; without outer a test for one would expand every oligo again, where the table is read.
+    variants = grown.select("oligo", "n", F.posexplode_outer("all").alias("v", "sequence"))
     label = F.when(F.col("n") > 1, F.concat("oligo", F.lit("_v"), (F.col("v") + 1).cast("string"))).otherwise(F.col("oligo"))
+    query = F.concat(F.lit(">"), "label", F.lit("\n"), "sequence", F.lit("\n"))
     chunks = search_terms(tiers, excluded, taxa_per_search)
-    return variants.crossJoin(F.broadcast(chunks)).select(label.alias("label"), "sequence", "tier", "chunk", "term", F.sha2(F.concat_ws("|", "sequence", "term"), 256).alias("key"))  # both sides are an assay's own
+    every = variants.select(label.alias("label"), "sequence").crossJoin(F.broadcast(chunks))  # both sides are an assay's own
+    return every.select("label", "sequence", "tier", "chunk", "term", F.sha2(F.concat_ws("|", query, "term"), 256).alias("key"))
 
 
 def fetch_windows(asked: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ _TIER_LIST = "SELECT CASE WHEN n_nationkey < 22 THEN 'near' ELSE 'background' EN
 _ALL_OLIGOS = f"SELECT 'o' || CAST(k AS {{STR}}) AS oligo, sequence FROM ({DEGENERATE}) t"
 register(
     "planned_searches",
-    lambda s, d: reports.planned_searches(view(s, d, _ALL_OLIGOS), view(s, d, _TIER_LIST)).groupBy("tier", "chunk", "term").agg(F.count("*").alias("searches"), F.countDistinct("key").alias("keys"), F.countDistinct("label").alias("labels")),
+    lambda s, d: reports.planned_searches(view(s, d, _ALL_OLIGOS, spread=True), view(s, d, _TIER_LIST)).groupBy("tier", "chunk", "term").agg(F.count("*").alias("searches"), F.countDistinct("key").alias("keys"), F.countDistinct("label").alias("labels")),
     f"""WITH t AS (SELECT *, (row_number() OVER (PARTITION BY tier ORDER BY taxid) - 1) // 20 AS chunk FROM {duck(_TIER_LIST)}), c AS (SELECT tier, chunk, string_agg('txid' || taxid || '[ORGN]', ' OR ' ORDER BY taxid) AS term FROM t GROUP BY 1, 2),
 n AS (SELECT CAST(sum(list_product(list_transform(regexp_extract_all(sequence, '[^ACGT]'), lambda c: CASE WHEN c = 'N' THEN 4 WHEN c IN ('B', 'D', 'H', 'V') THEN 3 ELSE 2 END))) AS BIGINT) AS n FROM {duck(_ALL_OLIGOS)})
 SELECT tier, chunk, term, n AS searches, n AS keys, n AS labels FROM c, n""",

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from amplispark.functions import seq
+from amplispark.operators import reports
 from amplispark.plans import catalogue
 from amplispark.plans.sequences import DEGENERATE
 from amplispark.plans.synthetic import view
@@ -38,3 +39,11 @@ def test_all_oligos_are_in_the_matrix(spark):
 def test_all_oligos_are_planned(spark):
     concrete = view(spark, SF, DEGENERATE).agg(F.sum(F.size(seq.expand(F.col("sequence"))))).first()[0]
     assert {r.searches for r in run(spark, "planned_searches").collect()} == {concrete}
+
+
+def test_equal_sequences_of_two_oligos_are_two_requests(spark):
+    oligos = spark.createDataFrame([("a", "ACGT"), ("b", "ACGN")], "oligo string, sequence string")
+    tiers = spark.createDataFrame([("near", 1)], "tier string, taxid long")
+    rows = reports.planned_searches(oligos, tiers).collect()
+    assert sorted((r.label, r.sequence) for r in rows) == [("a", "ACGT"), ("b_v1", "ACGA"), ("b_v2", "ACGC"), ("b_v3", "ACGG"), ("b_v4", "ACGT")]
+    assert len({r.key for r in rows}) == 5

@@ -17,7 +17,8 @@ def product_groups(products: DataFrame, sites: DataFrame, species: DataFrame) ->
 
     Products are (tier, accession, start, end, length, left_id, right_id,
     left_role, right_role, probe_id); those of :func:`specificity.products` with
-    details need no look at the sites again. Equal ones of a record, place, pair of roles
+    details need no look at the sites again (of sites that share an id if they are
+    :func:`specificity.told_by_id`). Equal ones of a record, place, pair of roles
     and tier count once. The best has the fewest defects of both primer sites,
     then a probe inside, then the lowest ids.
     """

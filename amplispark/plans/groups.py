@@ -14,7 +14,7 @@ from amplispark.sources import sinks
 _SPECIES = "SELECT CAST(s_suppkey AS BIGINT) AS taxid, 'species ' || CAST(s_nationkey AS {STR}) AS name FROM {supplier} WHERE s_suppkey % 3 > 0"
 register(
     "products_by_species",
-    lambda s, d: groups.product_groups(specificity.products(view(s, d, SITES), per_tier=None, details=True), view(s, d, SITES), view(s, d, _SPECIES)),
+    lambda s, d: groups.product_groups(specificity.products(specificity.told_by_id(view(s, d, SITES)), per_tier=None, details=True), view(s, d, SITES), view(s, d, _SPECIES)),
     f"""WITH {_ALL_PAIRS}, j AS (SELECT c.*, probe_id, l.taxid, l.mismatches + l.gaps + r.mismatches + r.gaps AS defects FROM cut c JOIN s l ON l.site_id = c.left_id JOIN s r ON r.site_id = c.right_id LEFT JOIN best b ON b.left_id = c.left_id AND b.right_id = c.right_id),
 o AS (SELECT tier, accession, start, "end", left_role, right_role, min(row(defects, probe_id IS NULL, left_id, right_id)) AS o, min(length) AS length, min(taxid) AS taxid, bool_or(probe_id IS NOT NULL) AS detected FROM j GROUP BY 1, 2, 3, 4, 5, 6),
 g AS (SELECT tier, coalesce(name, 'unknown') AS species, count(*) AS products, count(DISTINCT accession) AS records, count(*) FILTER (detected) AS detected, min(length) AS shortest, max(length) AS longest, string_agg(DISTINCT left_role || '/' || right_role, ',' ORDER BY left_role || '/' || right_role) AS pairs, min(o) AS o

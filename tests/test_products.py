@@ -1,4 +1,11 @@
+import os
+
+from compare import oracle, rows
+
 from amplispark.operators import specificity, windows
+from amplispark.plans import catalogue
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_cut_sees_products_beyond_the_cap(spark):
@@ -12,3 +19,13 @@ def test_cut_sees_products_beyond_the_cap(spark):
     assert (r.cut, r.truncated, r.harmless) == (84, True, True)
     r = windows.cut_products(whole, 510).first()
     assert (r.products, r.cut, r.truncated, r.harmless) == (510, 0, False, True)
+
+
+def test_sites_that_share_an_id_are_looked_up_by_it(spark, tmp_path):
+    lines = oracle(SF).sql("SELECT * REPLACE (CASE WHEN l_orderkey % 97 = 5 THEN min(l_extendedprice) OVER (PARTITION BY l_orderkey) ELSE l_extendedprice END AS l_extendedprice) FROM lineitem")
+    lines.write_parquet(str(tmp_path / "lineitem.parquet"))
+    for t in os.listdir(SF):
+        if t != "lineitem.parquet":
+            os.symlink(f"{SF}/{t}", tmp_path / t)
+    got, want = (catalogue.queries()["products_by_species"](spark, str(tmp_path)).toPandas(), oracle(str(tmp_path)).sql(catalogue.oracle_sql()["products_by_species"]).df())
+    assert rows(got) == rows(want)

@@ -16,7 +16,8 @@ def rule_violations(candidates: DataFrame, graded: bool = False) -> DataFrame:
     """OP-08: (…, check, defects, clean3, level) of candidates that contradict a rule; no row where all hold.
 
     Candidates are (id, role, oligo_seq, window, u3, lower_bound): partial hits
-    with the stretch around them, on the oligo's strand. A candidate without a
+    with the stretch around them, on the oligo's strand, which are relevant
+    (SP-01): nothing is ruled out by the rules of others. A candidate without a
     window is not checked.
     """
     found = alignment.semi_global(candidates).withColumn("m", alignment.measure(F.col("q_aln"), F.col("s_aln")))
@@ -29,8 +30,11 @@ def rule_violations(candidates: DataFrame, graded: bool = False) -> DataFrame:
     return site.select(*candidates.columns, F.explode(named).alias("check"), "defects", "clean3", "level")
 
 
-def partial_hits(sites: DataFrame) -> DataFrame:
-    """Of each ungapped site (oligo_seq, site) the stretch that a search would report, +1 for a match and -3 for a mismatch: u5, u3 and the lower bound of defects (SP-03)."""
+def partial_hits(sites: DataFrame, word: int = 7) -> DataFrame:
+    """Of each ungapped site (oligo_seq, site) the stretch that a search would report, +1 for a match and -3 for a mismatch: u5, u3, its identical bases and the lower bound of defects (SP-03).
+
+    A search starts from ``word`` bases in a row that agree and reports nothing without them.
+    """
     n = F.length("oligo_seq")
     scores = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.substring("oligo_seq", i, F.lit(1)) == F.substring("site", i, F.lit(1)), 1).otherwise(-3))
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("from"), F.lit(0).alias("best"), F.lit(0).alias("a"), F.lit(0).alias("b"))
@@ -43,8 +47,12 @@ def partial_hits(sites: DataFrame) -> DataFrame:
             (acc["i"] + 1).alias("i"), run.alias("run"), first.alias("from"), F.when(better, run).otherwise(acc["best"]).alias("best"), F.when(better, first).otherwise(acc["a"]).alias("a"), F.when(better, acc["i"] + 1).otherwise(acc["b"]).alias("b"),
         )
 
-    hit = sites.withColumn("_h", F.aggregate(scores, start, step)).where("_h.best > 0")
-    inside = F.size(F.filter(F.slice(scores, F.col("_h.a") + 1, F.col("_h.b") - F.col("_h.a")), lambda x: x < 0))
+    # As a generated row it is folded once a site; as a column each test of it would fold it again.
+    hit = sites.select("*", F.explode(F.array(F.aggregate(scores, start, step))).alias("_h")).where("_h.best > 0")
+    told = F.array_join(F.transform(F.slice(scores, F.col("_h.a") + 1, F.col("_h.b") - F.col("_h.a")), lambda x: F.when(x > 0, "=").otherwise("x")), "")
+    hit = hit.withColumn("_s", told).where(F.col("_s").contains("=" * word))
+    identity = F.length(F.replace("_s", F.lit("x"), F.lit("")))
+    inside = F.length("_s") - identity
     quarter = lambda x: F.ceil(x / 4).cast("int")
     u5, u3 = F.col("_h.a"), n - F.col("_h.b")
-    return hit.withColumns({"u5": u5, "u3": u3, "lower_bound": inside + quarter(u5) + quarter(u3)}).drop("_h")
+    return hit.withColumns({"u5": u5, "u3": u3, "identity": identity, "lower_bound": inside + quarter(u5) + quarter(u3)}).drop("_h", "_s")

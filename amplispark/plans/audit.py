@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 from amplispark.functions import seq
 from amplispark.functions.session import shared_dir
-from amplispark.operators import audit, oligo_qc, taxonomy
+from amplispark.operators import audit, oligo_qc, specificity, taxonomy
 from amplispark.plans.catalogue import register
 from amplispark.plans.synthetic import CONTIGS, OLIGOS, duck, view
 from amplispark.sources import cache, tables
 
 
 def _violations(s, d):
-    """Every site of up to five mismatches of every oligo as a partial hit, with ten bases around it."""
+    """Every relevant partial hit on a site of up to five mismatches of every oligo, with ten bases around it; a hit of full length leaves no end to a rule."""
     contigs, q = view(s, d, CONTIGS), F.create_map(*[F.lit(x) for kv in OLIGOS for x in kv])
     sites = oligo_qc.find_sites(contigs, OLIGOS, 5).withColumns({"oligo_seq": q[F.col("oligo")], "role": F.col("oligo")})
-    j = audit.partial_hits(sites).join(contigs.select("accession", "seq"), "accession")
+    hits = specificity.relevant(audit.partial_hits(sites.where("mismatches > 0"))).where("u5 > 0 OR u3 > 0")  # a perfect site is found whole
+    j = hits.join(contigs.select("accession", "seq"), "accession")
     lo = F.greatest(F.col("start") - 10, F.lit(0))
     cut = F.substring("seq", lo + 1, F.col("start") + F.length("site") + 10 - lo)
     window = F.when(F.col("strand") == "-", seq.reverse_complement(cut)).otherwise(cut)

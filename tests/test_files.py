@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amplispark.operators import audit, taxonomy
+from amplispark.plans import catalogue
 from amplispark.sources import cache, tables
 
 def now(days=0):
@@ -101,3 +102,24 @@ def test_violations_are_found(spark):
     cases = [(1, "forward", oligo, "TT" + site + "GG", 4, 1), (2, "forward", oligo, "TT" + site + "GG", 4, 3), (3, "forward", oligo, "TT" + oligo + "GG", 4, 0), (4, "forward", oligo, "TT" + site + "GG", 4, 9), (5, "probe", oligo, None, 0, 0)]
     got = audit.rule_violations(spark.createDataFrame(cases, "id int, role string, oligo_seq string, window string, u3 int, lower_bound int")).collect()
     assert sorted((r.id, r.check) for r in got) == [(2, "lower_bound"), (3, "first_unaligned_base"), (4, "lower_bound"), (4, "ruled_out_but_relevant")]
+
+
+def test_only_what_a_search_reports_is_audited(spark, tmp_path):
+    # Orders whose contigs have chance sites beside a better one, with stretches that are too short to be relevant or hold no word of a search.
+    keys = "249161L, 276691L, 355278L, 486087L, 640583L, 686340L, 791543L"
+    orders = spark.sql(f"SELECT explode(array({keys})) AS o_orderkey, 1L AS o_custkey, TIMESTAMP '2020-01-01 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    assert catalogue.queries()["rule_violations"](spark, str(tmp_path)).collect() == []
+    oligo = "GACCCCAAAATCAGCGAAAT"
+    short, wordless = "GACCCCAAAGACCCCAAAAT", "CACCCCACAATTAGCGAATA"
+    hit = audit.partial_hits(spark.createDataFrame([(oligo, short), (oligo, wordless), (oligo, oligo)], "oligo_seq string, site string")).collect()
+    assert [(r.site, r.identity) for r in hit] == [(short, 9), (oligo, 20)]
+
+
+def test_a_relevant_hit_that_a_gap_completes_is_a_violation(spark):
+    oligo = "GACCCCAAAATCAGCGAAAT"
+    site = "GACCCCACAATCTGCGAATG"  # seven, four and five bases, then an A less
+    rows = spark.createDataFrame([("forward", oligo, site, "TT" + site + "GG")], "role string, oligo_seq string, site string, window string")
+    hit = audit.partial_hits(rows)
+    assert [(r.identity, r.u5, r.u3) for r in hit.collect()] == [(16, 0, 2)]
+    assert {r.check for r in audit.rule_violations(hit).collect()} == {"first_unaligned_base", "ruled_out_but_relevant"}
